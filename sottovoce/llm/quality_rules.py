@@ -116,7 +116,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 def clean(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """The documents that pass, with failing lines gone and all their other columns; ``n_chars`` follows if present."""
     carried = docs.select(F.struct(*docs.columns).alias("q_row"), F.col(text_col).alias("q_in"))
-    kept = judge(carried, "q_row", "q_in", with_text=True, **limits).filter("kept")
+    # A filter moves below projections and would there repeat all that the verdict is made of; below this column it can't.
+    judged = judge(carried, "q_row", "q_in", with_text=True, **limits).select("*", F.rand(0).alias("q_stay"))
+    kept = judged.filter(F.col("kept") & (F.col("q_stay") >= 0))
     values = {c: F.col(f"q_row.`{c}`") for c in docs.columns} | {text_col: F.col("cleaned")}
     if "n_chars" in values:
         values["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
