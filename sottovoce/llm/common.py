@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,15 @@ def without(text: Column, characters: str) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most n rows while something is being written in the block."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
