@@ -25,13 +25,33 @@ def check(f: Check) -> Check:
     return f
 
 
-TEXT, PLAIN, DURATION = F.col("text"), F.col("plain"), F.col("end_ms") - F.col("start_ms")
-LINES, BARE = F.col("lines"), F.col("bare_lines")  # as they are, and without markup
+# Columns that the checks look at; functions, since a column needs a session.
+
+
+def text_() -> Column:
+    return F.col("text")
+
+
+def plain_() -> Column:
+    return F.col("plain")
+
+
+def duration_() -> Column:
+    return F.col("end_ms") - F.col("start_ms")
+
+
+def lines_() -> Column:
+    return F.col("lines")
+
+
+def bare_() -> Column:
+    """Lines without markup."""
+    return F.col("bare_lines")
 
 
 def prepared(cues: DataFrame) -> DataFrame:
     """Adds what the checks look at: the text without markup, and lines with and without it."""
-    lines = cues.withColumn("plain", strip_tags(TEXT)).withColumn("lines", F.split("text", "\n", -1))
+    lines = cues.withColumn("plain", strip_tags(text_())).withColumn("lines", F.split("text", "\n", -1))
     return lines.withColumn("bare_lines", F.transform("lines", strip_tags))
 
 
@@ -79,25 +99,25 @@ def mark_found(text: Column, marks: list[str], sep: str = ", ") -> Column:
 @check
 def duration_out_of_range(p: Profile) -> Column | None:
     low, high = _section(p, "limits", "duration_ms", "min"), _section(p, "limits", "duration_ms", "max")
-    under = DURATION < F.lit(low) if low is not None else F.lit(False)
-    over = DURATION > F.lit(high) if high is not None else F.lit(False)
-    return cue(under | over, F.when(under, F.concat(DURATION, F.lit(f"ms — 최소 {low}ms"))).otherwise(F.concat(DURATION, F.lit(f"ms — 최대 {high}ms"))))
+    under = duration_() < F.lit(low) if low is not None else F.lit(False)
+    over = duration_() > F.lit(high) if high is not None else F.lit(False)
+    return cue(under | over, F.when(under, F.concat(duration_(), F.lit(f"ms — 최소 {low}ms"))).otherwise(F.concat(duration_(), F.lit(f"ms — 최대 {high}ms"))))
 
 
 @check
 def too_many_lines(p: Profile) -> Column | None:
     if limit := _section(p, "limits", "max_lines"):
-        return cue(F.size(LINES) > limit, F.concat(F.size(LINES), F.lit(f"줄 — 최대 {limit}줄")))
+        return cue(F.size(lines_()) > limit, F.concat(F.size(lines_()), F.lit(f"줄 — 최대 {limit}줄")))
 
 
 @check
 def line_length_exceeded(p: Profile) -> Column | None:
     if limit := _section(p, "limits", "chars_per_line"):
-        return each(LINES, lambda x: weighted_chars(x, *_weights(p)) > limit, lambda x: F.concat(short_number(weighted_chars(x, *_weights(p))), F.lit(f"자 — 최대 {limit}자")))
+        return each(lines_(), lambda x: weighted_chars(x, *_weights(p)) > limit, lambda x: F.concat(short_number(weighted_chars(x, *_weights(p))), F.lit(f"자 — 최대 {limit}자")))
 
 
 def _speed(p: Profile) -> Column:
-    return chars_per_second(TEXT, DURATION, *_weights(p))
+    return chars_per_second(text_(), duration_(), *_weights(p))
 
 
 @check
@@ -117,15 +137,15 @@ def optimal_cps_exceeded(p: Profile) -> Column | None:
 @check
 def words_per_minute_exceeded(p: Profile) -> Column | None:
     if limit := _section(p, "limits", "words_per_minute"):
-        n = F.size(F.filter(F.split(PLAIN, r"(?U)\s+"), lambda w: w != ""))
-        rate = F.when(DURATION > 0, n / (DURATION / 60000.0))
+        n = F.size(F.filter(F.split(plain_(), r"(?U)\s+"), lambda w: w != ""))
+        rate = F.when(duration_() > 0, n / (duration_() / 60000.0))
         return cue(F.coalesce(rate > limit, F.lit(False)), F.concat(F.bround(rate).cast("long"), F.lit(f" 어절/분 — 최대 {limit}")))
 
 
 @check
 def too_short_to_stand_alone(p: Profile) -> Column | None:
     if limit := _section(p, "limits", "merge_shorter_than_ms"):
-        return cue(DURATION < limit, F.concat(DURATION, F.lit(f"ms — {limit}ms 미만은 병합을 검토합니다")))
+        return cue(duration_() < limit, F.concat(duration_(), F.lit(f"ms — {limit}ms 미만은 병합을 검토합니다")))
 
 
 # Line breaks
@@ -138,8 +158,8 @@ ADNOMINAL = r"(던|된|다는|라는|하는|되는|있는|없는|시킨|당한)$
 
 
 def _two_lines(p: Profile) -> tuple[Column, Column, Column]:
-    upper, lower = F.get(BARE, 0), F.get(BARE, 1)
-    return upper, lower, F.lit(p.get("language") == "ko") & (F.size(LINES) == 2) & ~lower.rlike(r"(?U)^\s*-")
+    upper, lower = F.get(bare_(), 0), F.get(bare_(), 1)
+    return upper, lower, F.lit(p.get("language") == "ko") & (F.size(lines_()) == 2) & ~lower.rlike(r"(?U)^\s*-")
 
 
 @check
@@ -162,7 +182,7 @@ def line_break_position(p: Profile) -> Column | None:
 @check
 def line_break_top_heavy(p: Profile) -> Column | None:
     _, _, two = _two_lines(p)
-    upper, lower = (weighted_chars(F.get(LINES, i), *_weights(p)) for i in (0, 1))
+    upper, lower = (weighted_chars(F.get(lines_(), i), *_weights(p)) for i in (0, 1))
     said = F.concat(F.lit("윗줄("), short_number(upper), F.lit("자)이 아랫줄("), short_number(lower), F.lit("자)의 2배 이상입니다 — 다른 자리에서 끊을 수 있는지 보세요"))
     return F.when(F.coalesce(two & (lower > 0) & (upper >= lower * 2), F.lit(False)), F.array(F.struct(F.lit(2).alias("line_no"), said.alias("detail")))).otherwise(F.array()).cast(FOUND)
 
@@ -173,58 +193,58 @@ def line_break_top_heavy(p: Profile) -> Column | None:
 @check
 def line_end_period_or_comma(p: Profile) -> Column | None:
     end = lambda x: F.regexp_replace(x, r"(?U)\s+$", "")
-    return each(BARE, lambda x: end(x).rlike(r"[.,]$") & ~F.endswith(end(x), F.lit("...")), lambda x: F.concat(F.lit("…"), F.right(end(x), F.lit(12))))
+    return each(bare_(), lambda x: end(x).rlike(r"[.,]$") & ~F.endswith(end(x), F.lit("...")), lambda x: F.concat(F.lit("…"), F.right(end(x), F.lit(12))))
 
 
 @check
 def three_dot_ellipsis(p: Profile) -> Column | None:
-    return cue(F.contains(TEXT, F.lit("...")), "'...' 발견")
+    return cue(F.contains(text_(), F.lit("...")), "'...' 발견")
 
 
 @check
 def em_or_en_dash(p: Profile) -> Column | None:
-    return mark_found(TEXT, ["–", "—"], " ")
+    return mark_found(text_(), ["–", "—"], " ")
 
 
 @check
 def double_space(p: Profile) -> Column | None:
-    return each(BARE, lambda x: F.contains(x, F.lit("  ")), "이중 공백")
+    return each(bare_(), lambda x: F.contains(x, F.lit("  ")), "이중 공백")
 
 
 @check
 def italics_present(p: Profile) -> Column | None:
-    return cue(TEXT.rlike(r"(?i)<i>|</i>|\{\\i1\}"), "이탤릭 태그")
+    return cue(text_().rlike(r"(?i)<i>|</i>|\{\\i1\}"), "이탤릭 태그")
 
 
 @check
 def acronym_with_periods(p: Profile) -> Column | None:
     pattern = r"(?U)\b(?:[A-Za-z]\.){2,}"
-    return cue(TEXT.rlike(pattern), F.regexp_extract(TEXT, pattern, 0))
+    return cue(text_().rlike(pattern), F.regexp_extract(text_(), pattern, 0))
 
 
 @check
 def dual_speaker_marker_format(p: Profile) -> Column | None:
     if marker := _section(p, "dual_speaker", "marker"):
         blank = marker.endswith(" ")
-        return each(BARE, lambda x: x.rlike(r"(?U)^\s*-[^ -]|^\s*-$" if blank else r"(?U)^\s*- "), "하이픈 뒤 공백이 없습니다" if blank else "하이픈 뒤 공백이 있습니다")
+        return each(bare_(), lambda x: x.rlike(r"(?U)^\s*-[^ -]|^\s*-$" if blank else r"(?U)^\s*- "), "하이픈 뒤 공백이 없습니다" if blank else "하이픈 뒤 공백이 있습니다")
 
 
 @check
 def bracket_unclosed(p: Profile) -> Column | None:
-    n, m = count_of(PLAIN, "["), count_of(PLAIN, "]")
+    n, m = count_of(plain_(), "["), count_of(plain_(), "]")
     return cue(n != m, F.format_string("'[' %d개 / ']' %d개", n.cast("int"), m.cast("int")))
 
 
 @check
 def forbidden_foreign_marker(p: Profile) -> Column | None:
     if marks := _section(p, "foreign_dialogue", "forbidden_markers"):
-        return mark_found(TEXT, marks)
+        return mark_found(text_(), marks)
 
 
 @check
 def discouraged_sound_ending(p: Profile) -> Column | None:
     if endings := _section(p, "sound_effect", "discouraged_endings"):
-        inner = F.regexp_extract_all(PLAIN, F.lit(r"\[([^\]]*)\]"), F.lit(1))
+        inner = F.regexp_extract_all(plain_(), F.lit(r"\[([^\]]*)\]"), F.lit(1))
         bad = F.filter(inner, lambda x: F.exists(F.array(*map(F.lit, endings)), lambda e: F.endswith(F.regexp_replace(trimmed(x), r"\.+$", ""), e)))
         return F.transform(bad, lambda x: F.struct(F.lit(None).cast("int").alias("line_no"), F.concat(F.lit("["), x, F.lit("]")).alias("detail"))).cast(FOUND)
 
@@ -232,13 +252,13 @@ def discouraged_sound_ending(p: Profile) -> Column | None:
 @check
 def stutter_label(p: Profile) -> Column | None:
     if marks := _section(p, "sound_effect", "discouraged_labels"):
-        return mark_found(TEXT, marks)
+        return mark_found(text_(), marks)
 
 
 @check
 def discouraged_silence_expression(p: Profile) -> Column | None:
     if marks := _section(p, "sound_effect", "discouraged_expressions"):
-        return mark_found(TEXT, marks)
+        return mark_found(text_(), marks)
 
 
 # Music
@@ -253,36 +273,36 @@ def music_note_spacing(p: Profile) -> Column | None:
     note = _section(p, "music", "music_note")
     if not note or not _section(p, "music", "space_between_note_and_text"):
         return None
-    opening = each(BARE, lambda x: F.startswith(trimmed(x), F.lit(note)) & (F.length(trimmed(x)) > 1) & (F.substring(trimmed(x), 2, 1) != " "), "여는 음표 뒤 공백 없음")
-    closing = each(BARE, lambda x: F.endswith(trimmed(x), F.lit(note)) & (F.length(trimmed(x)) > 1) & (F.left(F.right(trimmed(x), F.lit(2)), F.lit(1)) != " "), "닫는 음표 앞 공백 없음")
+    opening = each(bare_(), lambda x: F.startswith(trimmed(x), F.lit(note)) & (F.length(trimmed(x)) > 1) & (F.substring(trimmed(x), 2, 1) != " "), "여는 음표 뒤 공백 없음")
+    closing = each(bare_(), lambda x: F.endswith(trimmed(x), F.lit(note)) & (F.length(trimmed(x)) > 1) & (F.left(F.right(trimmed(x), F.lit(2)), F.lit(1)) != " "), "닫는 음표 앞 공백 없음")
     return F.concat(opening, closing)
 
 
 @check
 def music_note_unpaired(p: Profile) -> Column | None:
     if note := _section(p, "music", "music_note"):
-        return each(BARE, lambda x: count_of(x, note) % 2 != 0, lambda x: F.concat(F.lit("음표 "), count_of(x, note).cast("int"), F.lit("개 — 줄 앞뒤로 짝을 맞춥니다")))
+        return each(bare_(), lambda x: count_of(x, note) % 2 != 0, lambda x: F.concat(F.lit("음표 "), count_of(x, note).cast("int"), F.lit("개 — 줄 앞뒤로 짝을 맞춥니다")))
 
 
 @check
 def lyric_line_not_capitalized(p: Profile) -> Column | None:
     if _section(p, "music", "capitalize_line_start"):
         body = lambda x: trimmed(F.ltrim(trimmed(x), F.lit(_note(p))))
-        return each(BARE, lambda x: F.startswith(trimmed(x), F.lit(_note(p))) & body(x).rlike(r"^\p{Ll}"), lambda x: F.substring(body(x), 1, 20))
+        return each(bare_(), lambda x: F.startswith(trimmed(x), F.lit(_note(p))) & body(x).rlike(r"^\p{Ll}"), lambda x: F.substring(body(x), 1, 20))
 
 
 @check
 def lyrics_punctuation(p: Profile) -> Column | None:
     if marks := _section(p, "songs", "forbidden_punctuation"):
         found = lambda x: hits(trimmed(x), list(marks))
-        return each(BARE, lambda x: F.contains(x, F.lit(_note(p))) & (F.size(found(x)) > 0), lambda x: F.concat(F.lit("가사에 "), F.array_join(found(x), " "), F.lit(" — 쓰지 않습니다")))
+        return each(bare_(), lambda x: F.contains(x, F.lit(_note(p))) & (F.size(found(x)) > 0), lambda x: F.concat(F.lit("가사에 "), F.array_join(found(x), " "), F.lit(" — 쓰지 않습니다")))
 
 
 @check
 def lyrics_with_dialogue(p: Profile) -> Column | None:
     if _section(p, "songs", "lyrics_with_dialogue_in_one_event") == "forbidden":
         note = F.lit(_note(p))
-        lines = F.filter(F.transform(BARE, trimmed), lambda x: x != "")
+        lines = F.filter(F.transform(bare_(), trimmed), lambda x: x != "")
         spoken = F.exists(lines, lambda x: ~F.contains(x, note) & ~x.rlike(r"^-?\s*[\[(][^\])]*[\])]$"))
         return cue(F.exists(lines, lambda x: F.contains(x, note)) & spoken, "가사와 대사를 한 자막에 넣지 않습니다 — 자막을 나눕니다")
 
@@ -292,7 +312,7 @@ def music_marker_style(p: Profile) -> Column | None:
     want = _section(p, "music", "note_inside_bracket")
     if want is None:
         return None
-    inner = F.regexp_extract_all(PLAIN, F.lit(r"\[([^\]]*)\]"), F.lit(1))
+    inner = F.regexp_extract_all(plain_(), F.lit(r"\[([^\]]*)\]"), F.lit(1))
     bad = F.filter(inner, lambda x: x.rlike("음악|곡|연주|노래") & (~F.contains(x, F.lit("♪")) if want else F.contains(x, F.lit("♪"))))
     said = "] — 음악 효과음에는 ♪를 넣습니다" if want else "] — 음악 효과음에 ♪를 넣지 않습니다"
     return F.transform(bad, lambda x: F.struct(F.lit(None).cast("int").alias("line_no"), F.concat(F.lit("["), x, F.lit(said)).alias("detail"))).cast(FOUND)
@@ -317,28 +337,28 @@ ASIDES = r"[\[(][^)\]]*[\])]|\{[^}]*\}"
 
 @check
 def currency_bul(p: Profile) -> Column | None:
-    return each(BARE, lambda x: x.rlike(CURRENCY), "'불' -> '달러'")
+    return each(bare_(), lambda x: x.rlike(CURRENCY), "'불' -> '달러'")
 
 
 @check
 def special_symbol(p: Profile) -> Column | None:
     found = lambda x: F.transform(F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for s, w in SYMBOLS.items()]), lambda m: F.contains(x, m["s"])), lambda m: F.concat(m["s"], F.lit(" -> "), m["w"]))
-    return each(BARE, lambda x: F.size(found(x)) > 0, lambda x: F.array_join(F.slice(found(x), 1, 3), ", "))
+    return each(bare_(), lambda x: F.size(found(x)) > 0, lambda x: F.array_join(F.slice(found(x), 1, 3), ", "))
 
 
 @check
 def hangul_clock(p: Profile) -> Column | None:
-    return each(BARE, lambda x: x.rlike(CLOCK), lambda x: F.concat(F.lit("'"), F.regexp_extract(x, CLOCK, 0), F.lit("' — 시각은 아라비아 숫자로")))
+    return each(bare_(), lambda x: x.rlike(CLOCK), lambda x: F.concat(F.lit("'"), F.regexp_extract(x, CLOCK, 0), F.lit("' — 시각은 아라비아 숫자로")))
 
 
 @check
 def hangul_number_ten_plus(p: Profile) -> Column | None:
-    return each(BARE, lambda x: x.rlike(TEN_PLUS), lambda x: F.concat(F.lit("'"), F.regexp_extract(x, TEN_PLUS, 0), F.lit("' — 10 이상은 아라비아 숫자로")))
+    return each(bare_(), lambda x: x.rlike(TEN_PLUS), lambda x: F.concat(F.lit("'"), F.regexp_extract(x, TEN_PLUS, 0), F.lit("' — 10 이상은 아라비아 숫자로")))
 
 
 @check
 def colon_speaker_prefix(p: Profile) -> Column | None:
-    return each(BARE, lambda x: x.rlike(COLON_LABEL), lambda x: F.concat(F.lit("'"), F.regexp_extract(x, COLON_LABEL, 3), F.lit(":' — 대본 표기가 그대로 남았습니다")))
+    return each(bare_(), lambda x: x.rlike(COLON_LABEL), lambda x: F.concat(F.lit("'"), F.regexp_extract(x, COLON_LABEL, 3), F.lit(":' — 대본 표기가 그대로 남았습니다")))
 
 
 @check
@@ -346,7 +366,7 @@ def honorific_ssi_used(p: Profile) -> Column | None:
     if not _section(p, "address", "forbid_ssi"):
         return None
     names = lambda x: F.filter(F.regexp_extract_all(F.regexp_replace(x, ASIDES, " "), F.lit(HONORIFIC), F.lit(1)), lambda n: ~n.isin(NOT_A_NAME))
-    found = F.flatten(F.transform(BARE, lambda x, i: F.transform(names(x), lambda n: F.struct((i + 1).cast("int").alias("line_no"), F.concat(F.lit("'"), n, F.lit(" 씨'")).alias("detail")))))
+    found = F.flatten(F.transform(bare_(), lambda x, i: F.transform(names(x), lambda n: F.struct((i + 1).cast("int").alias("line_no"), F.concat(F.lit("'"), n, F.lit(" 씨'")).alias("detail")))))
     return found.cast(FOUND)
 
 
@@ -356,77 +376,77 @@ def forbidden_punctuation(p: Profile) -> Column | None:
     if not marks:
         return None
     body = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\[(][^)\]]*[\])]", " "), r"(?<=\d):(?=\d)", " ")
-    found = F.flatten(F.transform(BARE, lambda x, i: F.transform(hits(body(x), marks), lambda m: F.struct((i + 1).cast("int").alias("line_no"), F.concat(F.lit("'"), m, F.lit("' 발견")).alias("detail")))))
+    found = F.flatten(F.transform(bare_(), lambda x, i: F.transform(hits(body(x), marks), lambda m: F.struct((i + 1).cast("int").alias("line_no"), F.concat(F.lit("'"), m, F.lit("' 발견")).alias("detail")))))
     return found.cast(FOUND)
 
 
 @check
 def space_between_markers(p: Profile) -> Column | None:
-    return each(BARE, lambda x: x.rlike(r"[\])}][ \t]+[\[(]") & (trimmed(F.regexp_replace(x, ASIDES, "")) != ""), "표시끼리는 붙여 씁니다")
+    return each(bare_(), lambda x: x.rlike(r"[\])}][ \t]+[\[(]") & (trimmed(F.regexp_replace(x, ASIDES, "")) != ""), "표시끼리는 붙여 씁니다")
 
 
 @check
 def dialogue_double_quote(p: Profile) -> Column | None:
-    return each(BARE, lambda x: x.rlike('["“”]'), "말자막이면 큰따옴표를 쓰지 않습니다")
+    return each(bare_(), lambda x: x.rlike('["“”]'), "말자막이면 큰따옴표를 쓰지 않습니다")
 
 
 @check
 def unit_composed_character(p: Profile) -> Column | None:
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(TEXT, F.lit(f"([{UNITS}])"), F.lit(1))))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text_(), F.lit(f"([{UNITS}])"), F.lit(1))))
     return cue(F.size(found) > 0, F.concat(F.array_join(found, " "), F.lit(" — 조합 문자 대신 풀어 씁니다")))
 
 
 @check
 def ampersand_outside_initialism(p: Profile) -> Column | None:
-    return cue(PLAIN.rlike(r"(?<!\p{Lu})&|&(?!\p{Lu})"), "'&'는 및·겸·쉼표로 바꿉니다")
+    return cue(plain_().rlike(r"(?<!\p{Lu})&|&(?!\p{Lu})"), "'&'는 및·겸·쉼표로 바꿉니다")
 
 
 @check
 def middle_initial_period(p: Profile) -> Column | None:
     pattern = r"(?U)(?<![A-Za-z])[A-Z]\.(?=\s)"
-    return cue(PLAIN.rlike(pattern), F.concat(F.regexp_extract(PLAIN, pattern, 0), F.lit(" — 가운데 이름 뒤 온점을 뗍니다")))
+    return cue(plain_().rlike(pattern), F.concat(F.regexp_extract(plain_(), pattern, 0), F.lit(" — 가운데 이름 뒤 온점을 뗍니다")))
 
 
 @check
 def effect_after_dialogue(p: Profile) -> Column | None:
     before = lambda x: trimmed(F.regexp_extract(trimmed(x), r"(?s)^(.*?)\[[^\]]+\]\s*$", 1))
-    return each(BARE, lambda x: (before(x) != "") & ~before(x).rlike(r"^[-\s]*[\[(][^\])]*[\])]$"), lambda x: F.concat(F.lit("대사 뒤 효과음 "), F.regexp_extract(trimmed(x), r"(\[[^\]]+\])\s*$", 1)))
+    return each(bare_(), lambda x: (before(x) != "") & ~before(x).rlike(r"^[-\s]*[\[(][^\])]*[\])]$"), lambda x: F.concat(F.lit("대사 뒤 효과음 "), F.regexp_extract(trimmed(x), r"(\[[^\]]+\])\s*$", 1)))
 
 
 @check
 def ellipsis_style_mismatch(p: Profile) -> Column | None:
     want = _section(p, "text", "ellipsis_char")
     if want == "…":
-        return cue(F.contains(PLAIN, F.lit("...")), "'...' -> '…'")
+        return cue(F.contains(plain_(), F.lit("...")), "'...' -> '…'")
     if want == "...":
-        return cue(F.contains(PLAIN, F.lit("…")), "'…' -> '...'")
+        return cue(F.contains(plain_(), F.lit("…")), "'…' -> '...'")
     return None
 
 
 @check
 def double_punctuation(p: Profile) -> Column | None:
     if _section(p, "text", "double_punctuation") in ("forbidden", "limited"):
-        return cue(PLAIN.rlike("[?!]{2,}"), F.regexp_extract(PLAIN, "[?!]{2,}", 0))
+        return cue(plain_().rlike("[?!]{2,}"), F.regexp_extract(plain_(), "[?!]{2,}", 0))
 
 
 @check
 def tilde_used(p: Profile) -> Column | None:
     if _section(p, "text", "tilde") == "forbidden":
-        return cue(F.contains(PLAIN, F.lit("~")), "'~'")
+        return cue(F.contains(plain_(), F.lit("~")), "'~'")
 
 
 @check
 def sound_effect_multiline(p: Profile) -> Column | None:
-    return F.slice(each(BARE, lambda x: count_of(x, "[") != count_of(x, "]"), "효과음 표기가 줄을 넘어갑니다 — 한 줄로 씁니다"), 1, 1)
+    return F.slice(each(bare_(), lambda x: count_of(x, "[") != count_of(x, "]"), "효과음 표기가 줄을 넘어갑니다 — 한 줄로 씁니다"), 1, 1)
 
 
 @check
 def bleep_mask_character(p: Profile) -> Column | None:
     mask = _section(p, "censorship", "bleeped_word")
     if mask == "*":
-        return cue(PLAIN.rlike("O+(?=[가-힣])|(?<=[가-힣])O+"), "삐 처리는 별표(*)로 합니다")
+        return cue(plain_().rlike("O+(?=[가-힣])|(?<=[가-힣])O+"), "삐 처리는 별표(*)로 합니다")
     if mask == "O":
-        return cue(PLAIN.rlike(r"\*+(?=[가-힣])|(?<=[가-힣])\*+"), "삐 처리는 대문자 O로 합니다")
+        return cue(plain_().rlike(r"\*+(?=[가-힣])|(?<=[가-힣])\*+"), "삐 처리는 대문자 O로 합니다")
     return None
 
 
@@ -436,8 +456,8 @@ def full_bleep_style(p: Profile) -> Column | None:
     if not style:
         return None
     if style == "[음 소거 효과음]":
-        return cue(PLAIN.rlike(r"[*O]{2,}(\s+[*O]{2,})+"), "여러 단어가 삐 처리되면 [음 소거 효과음]으로 씁니다")
-    return cue(F.contains(PLAIN, F.lit("음 소거")), "여러 단어가 삐 처리되면 부호를 늘어놓습니다([음 소거 효과음] 아님)")
+        return cue(plain_().rlike(r"[*O]{2,}(\s+[*O]{2,})+"), "여러 단어가 삐 처리되면 [음 소거 효과음]으로 씁니다")
+    return cue(F.contains(plain_(), F.lit("음 소거")), "여러 단어가 삐 처리되면 부호를 늘어놓습니다([음 소거 효과음] 아님)")
 
 
 # Speakers
@@ -455,18 +475,18 @@ def speaker_id_enclosure(p: Profile) -> Column | None:
     if want not in ("[]", "()"):
         return None
     used = lambda x: F.concat(F.regexp_extract(x, HEAD, 1), F.regexp_extract(x, HEAD, 3))
-    return each(BARE, lambda x: _headed(x) & (used(x) != want), lambda x: F.concat(used(x), F.lit(f" -> {want} 로 씁니다")))
+    return each(bare_(), lambda x: _headed(x) & (used(x) != want), lambda x: F.concat(used(x), F.lit(f" -> {want} 로 씁니다")))
 
 
 @check
 def speaker_id_conjunction(p: Profile) -> Column | None:
     inner = lambda x: F.regexp_extract(x, HEAD, 2)
-    return each(BARE, lambda x: _headed(x) & inner(x).rlike(r"[가-힣]{1,6}(와|과)\s+[가-힣]"), lambda x: F.concat(F.lit("["), inner(x), F.lit("] — 쉼표로 나열하거나 [함께]로 씁니다")))
+    return each(bare_(), lambda x: _headed(x) & inner(x).rlike(r"[가-힣]{1,6}(와|과)\s+[가-힣]"), lambda x: F.concat(F.lit("["), inner(x), F.lit("] — 쉼표로 나열하거나 [함께]로 씁니다")))
 
 
 @check
 def speaker_id_alone_on_line(p: Profile) -> Column | None:
-    lines = F.transform(BARE, trimmed)
+    lines = F.transform(bare_(), trimmed)
     following = lambda i: F.get(lines, i + 1)
     pairs = F.transform(lines, lambda x, i: F.when(F.coalesce(x.rlike(r"^-?\s*[\[(][^\])]+[\])]$") & (following(i) != "") & ~following(i).rlike(r"^[\[(\-♪]"), F.lit(False)), F.struct((i + 1).cast("int").alias("line_no"), F.concat(x, F.lit(" — 대사 첫마디와 같은 줄에 둡니다")).alias("detail"))))
     return F.filter(pairs, lambda x: x.isNotNull()).cast(FOUND)
@@ -475,29 +495,29 @@ def speaker_id_alone_on_line(p: Profile) -> Column | None:
 @check
 def translator_credit_present(p: Profile) -> Column | None:
     if _section(p, "credit", "translator_credit") == "forbidden":
-        return cue(PLAIN.rlike(r"자막\s*[:：]"), "이 플랫폼은 자막 제작자 크레딧을 넣지 않습니다")
+        return cue(plain_().rlike(r"자막\s*[:：]"), "이 플랫폼은 자막 제작자 크레딧을 넣지 않습니다")
 
 
 @check
 def range_notation(p: Profile) -> Column | None:
     if not _section(p, "numbers", "range_notation_strict"):
         return None
-    part = lambda i: F.regexp_extract(PLAIN, RANGE_UNIT, i)
-    spaced = cue(PLAIN.rlike(RANGE_SPACED), F.concat(trimmed(F.regexp_extract(PLAIN, RANGE_SPACED, 0)), F.lit(" — 범위 부호 앞뒤를 띄우지 않습니다")))
-    unit = cue(PLAIN.rlike(RANGE_UNIT), F.concat(part(0), F.lit(" — 앞쪽 수에도 단위를 붙입니다("), part(1), part(3), F.lit("~"), part(2), part(3), F.lit(")")))
+    part = lambda i: F.regexp_extract(plain_(), RANGE_UNIT, i)
+    spaced = cue(plain_().rlike(RANGE_SPACED), F.concat(trimmed(F.regexp_extract(plain_(), RANGE_SPACED, 0)), F.lit(" — 범위 부호 앞뒤를 띄우지 않습니다")))
+    unit = cue(plain_().rlike(RANGE_UNIT), F.concat(part(0), F.lit(" — 앞쪽 수에도 단위를 붙입니다("), part(1), part(3), F.lit("~"), part(2), part(3), F.lit(")")))
     return F.concat(spaced, unit)
 
 
 @check
 def conjunctive_adverb_comma(p: Profile) -> Column | None:
     if _section(p, "text", "no_comma_after_conjunctive_adverb"):
-        return each(BARE, lambda x: trimmed(x).rlike(ADVERB_COMMA), lambda x: F.concat(F.regexp_extract(trimmed(x), ADVERB_COMMA, 1), F.lit(", — 접속부사 뒤에는 쉼표를 쓰지 않습니다")))
+        return each(bare_(), lambda x: trimmed(x).rlike(ADVERB_COMMA), lambda x: F.concat(F.regexp_extract(trimmed(x), ADVERB_COMMA, 1), F.lit(", — 접속부사 뒤에는 쉼표를 쓰지 않습니다")))
 
 
 @check
 def ellipsis_leading(p: Profile) -> Column | None:
     lead = r"^-?\s*(…|\.\.\.)"
-    return each(BARE, lambda x: ~F.contains(x, F.lit("♪")) & trimmed(x).rlike(lead), lambda x: F.concat(F.regexp_extract(trimmed(x), lead, 1), F.lit(" — 앞을 줄이는 말줄임표(전략)는 쓰지 않습니다")))
+    return each(bare_(), lambda x: ~F.contains(x, F.lit("♪")) & trimmed(x).rlike(lead), lambda x: F.concat(F.regexp_extract(trimmed(x), lead, 1), F.lit(" — 앞을 줄이는 말줄임표(전략)는 쓰지 않습니다")))
 
 
 def findings(cues: DataFrame, profile: Profile, names: list[str] | None = None) -> DataFrame:
