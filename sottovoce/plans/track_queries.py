@@ -111,7 +111,7 @@ def _flags(off: str, kind: str, join: str = "") -> str:
 
 
 def _spread(c: str) -> str:
-    return f"round_even(list_sort(list(abs({c} - m{c})))[count(*) // 2 + 1], 0)::bigint as {c}_spread, arg_max({c}, abs({c}) * 100000 - idx) as {c}_worst, count(*) filter (abs({c}) <= 100) as {c}_near, round_even(any_value(m{c}), 0)::bigint as {c}_median, round_even(any_value(m{c}) / (1000.0::double / 23.976), 1) as {c}_frames"
+    return f"round_even(list_sort(list(abs({c} - m{c})))[count(*) // 2 + 1], 0)::bigint as {c}_spread, arg_max({c}, abs({c}) * 100000 - idx) as {c}_worst, count(*) filter (abs({c}) <= 100) as {c}_near, round_even(any_value(m{c}), 0)::bigint as {c}_median, round_even(any_value(m{c}) / (1000.0::double / 23.976), 1) + 0.0::double as {c}_frames"
 
 
 ORACLE = {
