@@ -56,7 +56,7 @@ def resolve(records: DataFrame, partitions: int | None = None) -> DataFrame:
     order = Window.partitionBy("url", "block").orderBy("ts", F.col("kind").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
     # Of a revisit and a response at one time, the revisit comes first: the response has to be earlier.
     within = blocks.withColumn("here", F.last(full, ignorenulls=True).over(order))
-    joined = within.filter("kind = 'revisit'").join(carry, ["url", "block"], "left").withColumn("r", F.coalesce("here", "carried"))
+    joined = within.filter("kind = 'revisit'").join(carry, ["url", "block"], "left").withColumn("r", F.when(F.col("url").isNotNull(), F.coalesce("here", "carried")))
     tag, when = F.col("etag").isNotNull(), F.col("modified").isNotNull()
     agrees = F.when(tag, F.col("etag").eqNullSafe(F.col("r.etag"))).when(when, F.col("modified").eqNullSafe(F.col("r.modified"))).otherwise(True)
     status = F.when(F.col("r").isNull(), "no_response").when(agrees, "resolved").otherwise("changed")
