@@ -32,8 +32,8 @@ def parse_blocks(files: DataFrame) -> DataFrame:
 
 def read_subtitles(spark: SparkSession, folder: str) -> DataFrame:
     """Cues of all ``.srt`` and ``.vtt`` files of a folder, but of no ``*.fixed.srt``; a file is one task's row."""
-    lines = spark.read.option("pathGlobFilter", "*.{srt,vtt}").option("wholetext", "true").text(folder)
-    return parse_blocks(lines.select(F.input_file_name().alias("path"), "value").filter("path not like '%.fixed.srt'"))
+    lines = spark.read.option("pathGlobFilter", "*.{srt,vtt}").text(folder, wholetext=True)
+    return parse_blocks(lines.select(F.col("_metadata.file_path").alias("path"), "value").filter("path not like '%.fixed.srt'"))
 
 
 def clock(ms: Column) -> Column:
