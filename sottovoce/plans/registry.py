@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["check_queries", "file_queries", "timing_queries", "track_queries", "language_queries", "source_queries", "job_queries"]
+MODULES = ["check_queries", "file_queries", "timing_queries", "track_queries", "language_queries", "source_queries", "job_queries", "reference_queries"]
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")

@@ -226,3 +226,13 @@ def test_every_query_has_a_schema(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns
+
+
+def test_lexicon_and_infobox(spark):
+    from sottovoce.operators import reference_data
+
+    lexicon = spark.createDataFrame([("문", "[문이 닫힌다]"), ("문", "[닫히는 문짝]"), ("차", "[자동차 경적]")], "category string, term string")
+    out = reference_data.effect_suggestions(spark.createDataFrame([("[자동차가 지나간다]",), ("[새]",)], "marker string"), lexicon).collect()
+    assert [(r.marker, r.term) for r in out] == [("[자동차가 지나간다]", "[자동차 경적]")]
+    assert reference_data._fields("x {{Infobox a|b=[[c|d]]|e={{f|g}} h|i=}} t") == {"b": "d", "e": "{{f|g}} h"}
+    assert reference_data._fields(None) == {}
