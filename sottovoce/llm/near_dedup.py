@@ -21,7 +21,6 @@ id is linked with nothing and kept; an empty table gives an empty result; furthe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from math import comb
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import batches_of, scratch, table
 
 BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
@@ -113,18 +112,6 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-@contextmanager
-def batches_of(spark: SparkSession, n: int) -> Iterator[None]:
-    """Arrow batches of at most n rows while something is being written in the block."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -254,10 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     rest = scratch(placed.join(open_, "key"), "rest")
     left, right = rest.filter(F.col("label") != F.col("main")).select("key", F.col("id").alias("x"), F.col("label").alias("lx")), rest.select("key", F.col("id").alias("y"), F.col("label").alias("ly"), "main")
     cross = left.join(right, "key").filter((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("lx") < F.col("ly"))))
-    tried = links.select("a", "b")
     more = verified(scratch(_ordered(cross.select(F.col("x").alias("a"), F.col("y").alias("b"))), "cross"))
     if not more.isEmpty():
-        labels = components(tried.union(more))
+        labels = components(links.union(more))
     return _result(sketches, classes, labels, key)
 
 
