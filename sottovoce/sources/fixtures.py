@@ -1,11 +1,41 @@
-"""Cue tables derived by rule from the driver's tables, with integer arithmetic only."""
+"""Cue tables derived by rule from the driver's tables, with integer arithmetic only.
+
+Cues and turns are whole. Only inside ``as_in_sql`` are they those of ``CUES_SQL`` and ``DIALOGUE_SQL``, which keep
+the first 60 and 40 code points.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_AS_IN_SQL: ContextVar[bool] = ContextVar("as_in_sql", default=False)
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def as_in_sql(query: Query) -> Query:
+    """The query over the cues of its SQL, to be compared with it."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _AS_IN_SQL.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _AS_IN_SQL.reset(token)
+
+    return run
+
+
+def _taken(text: Column, n: int) -> Column:
+    return F.substring(text, 1, n) if _AS_IN_SQL.get() else text
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +53,7 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = docs.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("file_id", (F.col("pos") + 1).cast("int").alias("idx"), F.trim("line").alias("t")).filter(F.length("t") > 0)
-    t, idx = F.substring("t", 1, 60), F.col("idx")
+    t, idx = _taken(F.col("t"), 60), F.col("idx")
     forms: list[Column] = [
         t,
         F.concat(F.lit("["), F.when(idx % 5 < 2, "김 경위").otherwise("경위"), F.lit("] "), t),
@@ -79,7 +109,7 @@ CUES_B_SQL = """cues_b as (select * from (select file_id, ((idx - 1) // 2 + 1)::
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues with a speaker label from ``conversations``."""
     talk = table(spark, sf_dir, "conversations")
-    s = F.concat(F.lit("["), "role", F.lit("] "), F.substring("text", 1, 40))
+    s = F.concat(F.lit("["), "role", F.lit("] "), _taken(F.col("text"), 40))
     return _timed(talk.select(F.col("conv_id").alias("file_id"), (F.col("turn") + 1).cast("int").alias("idx"), F.col("text").alias("t"), s.alias("s")))
 
 
