@@ -312,11 +312,22 @@ def complement_spans(silences: DataFrame, totals: DataFrame) -> DataFrame:
     return spans.filter("b > a").select("media_id", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))
 
 
+def _upper_median(levels: DataFrame, value: str, name: str) -> DataFrame:
+    """Upper median by media_id from counts k of distinct values: nothing but counts is sorted."""
+    order = Window.partitionBy("media_id").orderBy(value)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = levels.filter(F.col(value).isNotNull()).withColumn("upto", F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.withColumn("n", F.sum("k").over(whole))
+    half = F.floor(F.col("n") / 2)
+    return at.filter((F.col("upto") > half) & (F.col("upto") - F.col("k") <= half)).select("media_id", F.col(value).alias(name))
+
+
 def outlier_spans(signal: DataFrame, step_ms: int = 32, factor: float = 2.5) -> DataFrame:
     """Runs of samples above the upper median plus ``factor`` times the median deviation; under four samples: none."""
-    upper = lambda values: F.get(F.array_sort(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
-    mid = signal.groupBy("media_id").agg(upper(F.col("p")).alias("mid"), F.count("*").alias("n")).filter("n >= 4")
-    off = signal.join(mid, "media_id").groupBy("media_id").agg(F.first("mid").alias("mid"), upper(F.abs(F.col("p") - F.col("mid"))).alias("mad"))
+    levels = signal.groupBy("media_id", "p").agg(F.count("p").alias("k"), F.count("*").alias("rows"))
+    mid = _upper_median(levels, "p", "mid").join(levels.groupBy("media_id").agg(F.sum("rows").alias("n")), "media_id").filter("n >= 4").drop("n")
+    far = levels.join(mid, "media_id").select("media_id", "mid", F.abs(F.col("p") - F.col("mid")).alias("d"), "k")
+    off = mid.join(_upper_median(far.groupBy("media_id", "d").agg(F.sum("k").alias("k")), "d", "mad"), "media_id", "left")
     high = signal.join(off, "media_id").filter(F.col("p") > F.col("mid") + factor * F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad")))
     order = Window.partitionBy("media_id").orderBy("i")
     runs = high.withColumn("g", F.col("i") - F.row_number().over(order)).groupBy("media_id", "g").agg(F.min("i").alias("a"), F.max("i").alias("b"))

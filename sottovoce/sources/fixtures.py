@@ -116,11 +116,21 @@ def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIALOGUE_SQL = """dia as (select conv_id as file_id, (turn + 1)::int as idx, '[' || role || '] ' || substr(text, 1, 40) as text from conversations)"""
 
 
+def numbered(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:
+    """(key, i): rows numbered from 0 by key in order of time and tie. Each hour of a key is numbered by itself and
+    starts at the total of the hours before, so that only hourly totals come together by key."""
+    hour = F.coalesce(F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 3600000000), F.lit(-(1 << 62))).cast("long")
+    rows = rows.select(key, time, tie, hour.alias("hour"))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    first = rows.groupBy(key, "hour").agg(F.count("*").alias("n")).select(key, "hour", F.coalesce(before, F.lit(0)).alias("first"))
+    within = rows.select(key, "hour", (F.row_number().over(Window.partitionBy(key, "hour").orderBy(time, tie)) - 1).alias("within"))
+    return within.join(first, [key, "hour"]).select(key, (F.col("first") + F.col("within")).cast("long").alias("i"))
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probability series per media id from ``events``, 32 ms apart."""
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("media_id"), "ts", "event_id")
-    i = F.row_number().over(Window.partitionBy("media_id").orderBy("ts", "event_id")) - 1
-    s = e.select("media_id", i.cast("long").alias("i"))
+    s = numbered(e, "media_id", "ts", "event_id")
     p = ((F.floor(F.col("i") / (5 + F.col("media_id") % 7)) * 7919 + F.col("media_id")) % 10) / 10.0
     return s.select("media_id", "i", (F.col("i") * 32).alias("t_ms"), p.alias("p"))
 

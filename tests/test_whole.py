@@ -1,6 +1,7 @@
 """Whole lines reach the operators; only what is compared with SQL is cut as the SQL is."""
 
 from pyspark.sql import functions as F
+from sottovoce.operators import timing
 from sottovoce.plans.registry import QUERIES
 from sottovoce.sources import fixtures
 
@@ -20,3 +21,24 @@ def test_cues_and_turns_are_whole(spark, tmp_path):
     assert fixtures.dialogue(spark, at).first().text == f"[user] {LINE}"
     assert QUERIES["whole_bare_text"](spark, at).filter("contains(bare, 'OMEGA')").count() == 16
     assert QUERIES["bare_text"](spark, at).filter("contains(bare, 'OMEGA')").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outlier_spans_gather_no_rows_by_key(spark):
+    values = [0.1, 0.2, 0.2, 0.3, 9.0, 9.5, 0.1, None, 0.2, 7.0]
+    rows = [(m, i, p) for m in (1, 2) for i, p in enumerate(values)] + [(3, 0, 1.0), (3, 1, 9.0)]
+    df = spark.createDataFrame(rows, "media_id int, i long, p double")
+    got = timing.outlier_spans(df)
+    assert sorted((r.media_id, r.start_ms, r.end_ms) for r in got.collect()) == [(m, a, b) for m in (1, 2) for a, b in ((128, 192), (288, 320))]
+    assert "collect_list" not in plan_of(got)
+
+
+def test_rows_are_numbered_by_hours(spark):
+    rows = [(e % 3, f"2024-01-0{1 + e % 4} 0{e % 7}:00:{e % 60:02d}", e) for e in range(200)]
+    df = spark.createDataFrame(rows, "k int, ts string, e int").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((r.k, r.i) for r in fixtures.numbered(df, "k", "ts", "e").collect())
+    assert got == sorted((k, i) for k in range(3) for i in range(sum(r[0] == k for r in rows)))
+    assert plan_of(fixtures.numbered(df, "k", "ts", "e")).count("hour") > 1
