@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions.text import TAGS
 from sottovoce.operators import checks, files, fixes
+from sottovoce.plans import jobs
 from sottovoce.plans.check_queries import BASE
 from sottovoce.plans.profiles import FULL, rules_table
 from sottovoce.sources.fixtures import CUES_SQL, DIALOGUE_SQL, SPEECH_SQL, cues, dialogue, speech
@@ -84,9 +85,19 @@ def unimplemented_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lint_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All checks of a profile over all files at once: findings by file and check, files without any included."""
+    """The five checks of its SQL over all files at once: findings by file, files without any included."""
     c = cues(spark, sf_dir)
-    found = checks.findings(c, FULL, ["duration_out_of_range", "reading_speed_exceeded", "three_dot_ellipsis", "double_space", "tilde_used"]).groupBy("file_id").agg(F.count("*").alias("n"))
+    return _by_file(c, checks.findings(c, FULL, ["duration_out_of_range", "reading_speed_exceeded", "three_dot_ellipsis", "double_space", "tilde_used"]))
+
+
+def whole_lint_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks of a profile, of single cues and of whole files, over all files at once."""
+    c = cues(spark, sf_dir)
+    return _by_file(c, jobs.lint_job(c, FULL))
+
+
+def _by_file(c: DataFrame, findings: DataFrame) -> DataFrame:
+    found = findings.groupBy("file_id").agg(F.count("*").alias("n"))
     return c.groupBy("file_id").agg(F.count("*").alias("cues")).join(found, "file_id", "left").select("file_id", "cues", F.coalesce("n", F.lit(0)).alias("findings"), F.col("n").isNotNull().alias("failed"))
 
 
@@ -96,6 +107,11 @@ def correct_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.findings(fixed, FULL, ["ellipsis_style_mismatch", "double_space", "italics_present", "tilde_used", "double_punctuation"])
 
 
+def whole_correct_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fixers, then all checks of the fixed text."""
+    return jobs.correct_and_check(cues(spark, sf_dir), FULL)[1]
+
+
 def _fix_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fixes.fix_text(cues(spark, sf_dir), FULL, [name]).select("file_id", "idx", "text", F.size("applied").alias("applied"))
@@ -103,7 +119,7 @@ def _fix_query(name: str):
     return run
 
 
-QUERIES = {f.__name__: f for f in (check_gap_too_short, check_first_event_at_zero, check_ellipsis_style_inconsistent, check_speaker_id_inconsistent, check_formality_inconsistent, check_position_collides, speaker_labels, formality_summary, overlap_join, position_suggestions, apply_positions, gap_ms, violation_report, unimplemented_checks, lint_folder, correct_and_check)} | {f"fix_{name}": _fix_query(name) for name in fixes.FIXES}
+QUERIES = {f.__name__: f for f in (check_gap_too_short, check_first_event_at_zero, check_ellipsis_style_inconsistent, check_speaker_id_inconsistent, check_formality_inconsistent, check_position_collides, speaker_labels, formality_summary, overlap_join, position_suggestions, apply_positions, gap_ms, violation_report, unimplemented_checks, lint_folder, whole_lint_folder, correct_and_check, whole_correct_and_check)} | {f"fix_{name}": _fix_query(name) for name in fixes.FIXES}
 
 _LAG = "start_ms - lag(end_ms) over (partition by file_id order by start_ms, idx)"
 _SPEAK = rf"""sp as (select file_id, idx, line_no, trim(regexp_extract(s, '^\s*-?\s*\[([^\]]+)\]\s*(.*)$', 1)) as label, trim(regexp_extract(s, '^\s*-?\s*\[([^\]]+)\]\s*(.*)$', 2)) as said from ln

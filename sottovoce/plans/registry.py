@@ -1,7 +1,8 @@
 """All registered queries of the timed-text operators and their SQL.
 
 Every query over cues reads whole lines. The SQL of those that have one cuts them: under the query's own name stands
-what is compared with that SQL, and ``whole_`` before the name is the query over whole lines.
+what is compared with that SQL, and ``whole_`` before the name is the query over whole lines,
+with all cues, checks and fixers where the SQL has some of them.
 """
 
 import re
@@ -16,5 +17,5 @@ for _name in MODULES:
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 for _name in [n for n in QUERIES if re.search(r"\b(cues|dia) as \(|\bfrom (conversations|documents)\b", ORACLE.get(n, ""))]:
-    QUERIES[f"whole_{_name}"] = QUERIES[_name]
+    QUERIES.setdefault(f"whole_{_name}", QUERIES[_name])
     QUERIES[_name] = as_in_sql(QUERIES[_name])

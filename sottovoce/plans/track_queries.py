@@ -71,7 +71,7 @@ def bare_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def align_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cues(spark, sf_dir)
-    return tracks.align_transcript(c.filter("idx % 9 <> 4"), c.filter("idx % 7 <> 5").select("file_id", F.col("idx").alias("pos"), "text"))
+    return tracks.align_transcript(c, c.select("file_id", F.col("idx").alias("pos"), "text"))
 
 
 def alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,8 +32,12 @@ def as_in_sql(query: Query) -> Query:
     return run
 
 
+def like_sql() -> bool:
+    return _AS_IN_SQL.get()
+
+
 def _taken(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n) if _AS_IN_SQL.get() else text
+    return F.substring(text, 1, n) if like_sql() else text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 from sottovoce.operators import timing
+from sottovoce.plans import jobs
+from sottovoce.plans.profiles import FULL
 from sottovoce.plans.registry import QUERIES
 from sottovoce.sources import fixtures
 
@@ -42,3 +44,18 @@ def test_rows_are_numbered_by_hours(spark):
     got = sorted((r.k, r.i) for r in fixtures.numbered(df, "k", "ts", "e").collect())
     assert got == sorted((k, i) for k in range(3) for i in range(sum(r[0] == k for r in rows)))
     assert plan_of(fixtures.numbered(df, "k", "ts", "e")).count("hour") > 1
+
+
+def test_jobs_use_all_checks_and_fixers(spark, tmp_path):
+    at = tables(spark, tmp_path)
+    c = fixtures.cues(spark, at)
+    assert QUERIES["whole_lint_folder"](spark, at).first().findings == jobs.lint_job(c, FULL).count()
+    got = {r.check for r in QUERIES["whole_correct_and_check"](spark, at).select("check").distinct().collect()}
+    assert got == {r.check for r in jobs.correct_and_check(c, FULL)[1].select("check").distinct().collect()}
+    assert {"gap_too_short", "line_length"} & got
+
+
+def test_translation_and_transcript_take_every_cue(spark, tmp_path):
+    at = tables(spark, tmp_path)
+    assert {r.idx for r in QUERIES["whole_back_translation_overlap"](spark, at).collect()} == set(range(1, 18))
+    assert {r.pos for r in QUERIES["align_transcript"](spark, at).collect()} == set(range(1, 18))
