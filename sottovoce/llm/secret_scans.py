@@ -106,10 +106,12 @@ def increment(history: DataFrame, ledger: DataFrame | None = None, text_col: str
 
 def findings(history: DataFrame, keys: list[str], ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each path of ``history`` with its blob and the spans the ledger holds for it under the given rules."""
-    live = [r.kind for r in rules]
-    whole = ledger.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")) if ledger is not None else None
+    # A ledger row holds spans of the rule versions it was scanned under.
+    key_of = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.key)])
+    live = F.filter("spans", lambda s: F.array_contains("scanned", F.coalesce(key_of[s["kind"]], F.lit(""))))
+    whole = ledger.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(live)))).alias("spans")) if ledger is not None else None
     paths = with_blob(history.select(*keys, F.col(text_col))).drop(text_col)
-    return paths.join(whole, "blob", "left").withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(live)))
+    return paths.join(whole, "blob", "left")
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from sottovoce.llm import audio_fingerprints
+from sottovoce.llm import audio_fingerprints, secret_scans
 
 
 @pytest.mark.parametrize("rate", [0.1, 0.15])
@@ -26,3 +26,14 @@ def test_fingerprint_search_finds_short_copies_with_replaced_words(spark, rate):
             if any(n >= 16 and e <= 0.25 * 32 * n for n, e in tried):
                 want.add((q, m))
     assert found <= want and len(found) >= 0.9 * len(want) > 40
+
+
+def test_a_new_rule_version_replaces_the_spans_of_the_old_one(spark):
+    assign = next(r for r in secret_scans.RULES if r.kind == "assign")
+    old, new = (assign,), (assign._replace(version=assign.version + 1, least=assign.least + 10),)
+    short, long = (f"password = '{'aB3x' * n}'" for n in (assign.least // 4 + 1, assign.least))
+    history = spark.createDataFrame([(1, short), (2, long)], "doc_id long, text string")
+    one = secret_scans.increment(history, rules=old)
+    both = one.union(secret_scans.increment(history, one, rules=new))
+    found = lambda rules: {r.doc_id: len(r.spans) for r in secret_scans.findings(history, ["doc_id"], both, rules=rules).collect()}
+    assert found(old) == {1: 1, 2: 1} and found(new) == {1: 0, 2: 1}
