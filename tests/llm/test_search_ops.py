@@ -55,6 +55,35 @@ def test_near_duplicates_equal_brute_force_on_hot_groups(spark, width, percent):
     assert all(r.kept == (r.id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize(("width", "percent", "centre"), [(3, 85, True), (3, 85, False), (5, 80, False)])
+def test_near_duplicates_equal_brute_force_just_below_the_threshold(spark, width, percent, centre):
+    """Copies whose edits put most of them just out of reach of the original and of one another, with few edit words."""
+    rng = random.Random(width)
+    rows = []
+    for g, n in ((0, 140), (1, 60)):
+        base = [f"g{g}w{rng.randint(0, 9999)}" for _ in range(150)]
+        for i in range(n):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.choice([2, 4, 5, 6, 8, 10] if centre else [4, 5, 6, 7])):
+                words[at] = f"edit{rng.randint(0, 3)}"
+            cut = rng.choice([0, 0, 0, 5, 12, 25])
+            rows.append((1000 * g + i, " ".join(words[cut:] if i % 2 else words[: len(words) - cut])))
+        if centre:
+            rows.append((1000 * g + 999, " ".join(base)))
+    rng.shuffle(rows)
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
+    want = classes_of(rows, width, percent)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
+def test_shingles_of_long_texts_do_not_depend_on_pieces():
+    rng = random.Random(1)
+    text = " ".join("x" * rng.choice([1, 5, 300_000]) if rng.random() < 0.001 else f"Word{rng.randint(0, 50)}" for _ in range(9000)) + " \n"
+    cut = near_dedup.Shingler(3)
+    assert len(cut(text.encode())) == len(sets_of(text, 3))
+    assert cut(text.encode()).tolist() == cut(("\t" * 70_000 + text.replace(" ", "  ")).encode()).tolist()
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
