@@ -146,6 +146,57 @@ def test_packing_turns_are_a_permutation_near_the_targets():
         assert np.abs(served - np.arange(1, 258) * quanta[s] / 257).max() <= 1.5
 
 
+@pytest.mark.parametrize("weights", [[5.0, 1.0, 2.0, 0.25], [1.0, 1.0, 1.0, 1.0], [40.0, 7.0, 90.0, 13.0]])
+def test_packing_turns_equal_a_plain_deficit_round_robin(weights):
+    """Step by step: each source that still has quanta earns credit by its weight, the one whose quantum has been due longest is served."""
+    quanta = [40, 7, 90, 13]
+    served, order = [0] * 4, []
+    while sum(served) < sum(quanta):
+        due = [((served[q] + 0.5) / weights[q], q) for q in range(4) if served[q] < quanta[q]]
+        q = min(due)[1]
+        order.append(q)
+        served[q] += 1
+    q = np.repeat(np.arange(4), quanta)
+    i = np.concatenate([np.arange(n) for n in quanta])
+    turns = packing.turn(q, i, np.array(quanta), np.array(weights))
+    assert q[np.argsort(turns)].tolist() == order and sorted(turns) == list(range(sum(quanta)))
+    dry, at = set(), np.zeros(4)
+    for k in range(0, len(order), 8):  # windows of eight quanta hold the target proportions of the sources that are left
+        at += np.bincount(order[k : k + 8], minlength=4)
+        if not dry:
+            share = np.array(weights) / sum(weights)
+            assert np.abs(at - share * at.sum()).max() <= 1.5
+        dry |= {q for q in range(4) if at[q] == quanta[q]}
+
+
+def test_packing_gives_each_of_many_sources_its_own_queue(spark):
+    rows = [(i, f"word{i} " * 120, f"s{i % 1500}") for i in range(3000)]
+    weights = {f"s{i}": 1.0 + i % 3 for i in range(1500)}
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), window=256, quantum=32, weights=weights).collect()
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    served = defaultdict(int)
+    for p in pieces:
+        if p.sequence_id < 750:  # 6000 quanta: six, four and two of each source by its weight
+            served[p.doc_id % 1500] += p.length
+    assert served == {i: 64 * (1 + i % 3) for i in range(1500)}
+
+
+def test_packing_with_another_vocabulary_and_long_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(1, "Some words, and more. " * 20_000, "a", 1), (2, "x", "b", 2), (None, "no id", None, 3), (3, "q" * 70_000, "a", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        whole.encode_special_tokens = True
+        pieces = packing.pack(docs, vocabulary=public_tokenizers.path(name)).collect()
+        for i, t, *_ in rows:
+            mine = sorted((p.start, bytes(p.ids)) for p in pieces if p.doc_id == i)
+            assert np.frombuffer(b"".join(x for _, x in mine), dtype="<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 0]
+    assert packing.id_type(65_536) == "H" and packing.id_type(65_537) == "I"
+
+
 def test_token_counts_equal_the_public_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
