@@ -6,8 +6,8 @@ that loses more than ``max_loss`` of its word characters this way is rejected. D
 base limits (too few words, too much repeated wording) are rejected before that.
 
 Edge cases: a null or empty text has no words and is rejected by the base limits; lines without a word
-are neither judged nor counted as loss; duplicate rows give duplicate results; other columns of the input
-are ignored by ``judge`` and kept by ``clean``.
+are neither judged nor counted as loss; very long lines and texts are judged whole; duplicate rows give duplicate
+results; an empty table gives an empty result; other columns of the input are ignored by ``judge`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ SYMBOLS = "#*$%&|<>"
 TERMINAL = [".", "!", "?", "\u2026", ":", ";"]
 CLOSING = "\"'\u201d\u2019\u00bb)]"
 #: Menus, breadcrumb marks and phrases of page furniture (compared in lower case).
-NAVIGATION = r"(?i)^(?:(?:home|menu|login|log in|sign in|sign up|next|previous|back|search|share|contact|about|sitemap)[\s|>/\u00bb\u203a\u2022-]*)+$"
+MENU = r"home|menu|login|log in|sign in|sign up|next|previous|back|search|share|contact|about|sitemap"
+BETWEEN = r"[\s|>/\u00bb\u203a\u2022-]+"
 BREADCRUMB = "|>\u00bb\u203a\u2022"
 BOILERPLATE = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "enable javascript", "lorem ipsum", "subscribe to our", "click here"]
-#: Longest line, in code points, that is compared with the menus.
-SHORT = 160
 
 
 def has_phrase(low: Column) -> Column:
@@ -48,12 +47,14 @@ def line_verdict(parts: Column, max_symbol_share: float = 0.1) -> Column:
     length = F.length(bare)
     marks = length - F.length(without(bare, BREADCRUMB))
     blanks = F.length(line) - F.length(without(line, " \t\x0b\x0c\r"))
-    end = F.right(F.rtrim(F.right(bare, F.lit(8)), F.lit(CLOSING)), F.lit(1))
+    end = F.right(F.when(F.right(bare, F.lit(1)).isin(*CLOSING), F.rtrim(bare, F.lit(CLOSING))).otherwise(bare), F.lit(1))
+    # Nothing but menu words and what stands between them, however long: two linear passes, the second for few lines.
+    menu = bare.rlike(f"^(?i:{MENU})") & (F.length(F.regexp_replace(bare, f"(?i:{MENU})|{BETWEEN}", "")) == 0)
     sentence = F.contains(line, F.lit(". ")) | F.contains(line, F.lit("! ")) | F.contains(line, F.lit("? "))
     return (
         F.when(length == 0, F.lit(None).cast("string"))
         .when(has_phrase(parts["low"]), "boilerplate")
-        .when(((marks > 0) & (marks * 3 > blanks)) | ((length <= SHORT) & bare.rlike(NAVIGATION)), "navigation")
+        .when(((marks > 0) & (marks * 3 > blanks)) | menu, "navigation")
         .when(length - F.length(without(bare, SYMBOLS)) > max_symbol_share * length, "symbols")
         .when(~end.isin(TERMINAL) & ~sentence, "punctuation")
     )
