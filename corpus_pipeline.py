@@ -21,9 +21,12 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of three-line passages are cut; a document that loses all its text goes with them."""
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("d_removed") > 0) & (F.length(without(F.col("text"), " \t\n\x0b\x0c\r")) == 0)
-    return out.filter(~emptied).select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = line_dedup.cut_passages(docs)
+    emptied = (F.col("removed") > 0) & (F.length(without(F.col("text"), " \t\n\x0b\x0c\r")) == 0)
+    values = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in values:
+        values["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.filter(~emptied).select(*[v.alias(c) for c, v in values.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

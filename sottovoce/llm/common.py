@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one in /tmp is used only where the session names none (local tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sottovoce-checkpoints").rstrip("/")
+    """The folder that all executors see, which the session names; one in /tmp only in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or "/tmp/sottovoce-checkpoints").rstrip("/")
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ DOCS = [
     (5, "a line.\nb line.\nc line.\nd line.\na line.\nb line.\nc line.", "s1"),
     (6, LONG, "s0"),
     (None, "\n\n\n\n", "s2"),
-    (7, "home | menu | login\n" + " ".join(f"Word{i} goes on, and it ends well here." for i in range(20)), "s0"),
+    (7, "home | menu | login\n" + " ".join(f"Word{i} goes{i} on{i}, and{i} it{i} ends{i} well{i} here{i}." for i in range(20)), "s0"),
     (8, "password: abcdef9 and token=ab token = 'longer_value' AKIA" + "A" * 16 + " " + "0af" * 9 + " 가나 secret:zzzzzzz", "s3"),
 ]
 SCHEMA = "doc_id long, text string, source string, key string, pos int, id string, block string, spans string"
@@ -38,6 +38,13 @@ def test_line_dedup_keeps_first_and_merges(docs):
     assert line_dedup.dedup_lines(docs).count() == len(DOCS)
 
 
+def test_line_dedup_keeps_first_occurrences_that_overlap_their_repetition(spark):
+    texts = ["a.\na.\na.\na.\na.", "a.\na.\na.\na.", "b.\nc.\nb.\nc.\nb.\nc.", "d.\ne.\nf.\nd.\ne.\nf.", "long " * 50_000 + "\n" * 30]
+    rows = [(i, t, i, i) for i, t in enumerate(texts)]
+    out = {r.doc_id: (r.text, r.d_lines, r.d_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, d_lines int, d_removed int")).collect()}
+    assert out == {0: ("a.\na.\na.", 5, 2), 1: ("", 4, 4), 2: ("b.\nc.\nb.\nc.", 6, 2), 3: ("d.\ne.\nf.", 6, 3), 4: (texts[4], 31, 0)}
+
+
 def test_line_dedup_carries_columns_and_empty_tables(spark, docs):
     assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "d_lines", "d_removed"]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
