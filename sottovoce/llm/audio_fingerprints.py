@@ -7,6 +7,9 @@ but for two bits whose values lie next to a quantisation step (any two bits, whe
 windows to vote). Of the offsets with votes, those whose share of unequal bits over the whole overlap is low enough
 match, and the one with most votes is given.
 
+By chance alone, pairs of numbers agree in proportion to queries times recordings. The join therefore looks at the
+numbers around both places too, and a vote counts only if no more than ``LOOSE`` of their bits differ.
+
 Recordings with equal fingerprints form a class, and only class representatives are compared; a query set is
 searched against all of them. The tolerated bits are set on the side of the queries, so the other side is read once.
 Recordings that share no vote are not compared: a copy with a fifth of its words replaced can be lost (see README).
@@ -27,7 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, scratch, table
@@ -40,6 +43,8 @@ STEPS = np.array([-0.35, 0.0, 0.35])
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 #: Bits nearest a step, of which any two may differ; a query of fewer windows than SHORT tolerates any two of all 32.
 NEAR, SHORT = 8, 48
+#: Windows around a vote that are compared as well, and the share of their bits that may differ (by chance, half do).
+AROUND, LOOSE = (-6, -3, 3, 6), 0.375
 ONE = np.array([0, *(1 << k for k in range(32))], dtype=np.uint32)
 TWO = np.array([1 << a | 1 << b for a, b in combinations(range(32), 2)], dtype=np.uint32)
 
@@ -132,21 +137,30 @@ def fingerprints(recordings: DataFrame, is_query: str = "false") -> DataFrame:
 
 
 def _exploded(classes: DataFrame, name: str) -> DataFrame:
-    """(id, pos, key) of each number; of queries (with near bits) of each number that votes."""
-    asks = name == "q"
+    """(id, pos, key, around) of each number; of queries (with near bits) of each number that votes."""
+    asks, around = name == "q", [f"{name}_{k}" for k in range(len(AROUND))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, (i, m) in enumerate(zip(batch.column("id"), batch.column("marks"), strict=True)):
                 keys = np.frombuffer(m.as_buffer(), dtype=np.uint32)
                 pos = np.arange(len(keys), dtype=np.int32)
+                seen, n = keys.view(np.int32), len(keys)
                 if asks:
                     pos, keys = probes(keys, np.frombuffer(batch.column("near")[k].as_buffer(), dtype=np.uint8).reshape(-1, NEAR))
                 if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i.as_py())), pa.array(pos), pa.array(keys.view(np.int32))], ["id", "pos", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i.as_py())), pa.array(pos), pa.array(keys.view(np.int32)), *(pa.array(seen[np.clip(pos + d, 0, n - 1)], mask=(pos + d < 0) | (pos + d >= n)) for d in AROUND)], ["id", "pos", "key", *around])
+
+    made = classes.select("id", "marks", *(["near"] if asks else [])).mapInArrow(run, "id long, pos int, key int, " + ", ".join(f"{c} int" for c in around))
+    return made.select(F.col("id").alias(f"{name}_id"), F.col("pos").alias(f"{name}_pos"), "key", *around)
+
 
-    made = classes.select("id", "marks", *(["near"] if asks else [])).mapInArrow(run, "id long, pos int, key int")
-    return made.select(F.col("id").alias(f"{name}_id"), F.col("pos").alias(f"{name}_pos"), "key")
+def _alike() -> Column:
+    """Whether the numbers around a vote that both sides have differ in few enough bits."""
+    unequal = [F.bit_count(F.col(f"q_{k}").bitwiseXOR(F.col(f"m_{k}")).bitwiseAND(F.lit(0xFFFFFFFF))) for k in range(len(AROUND))]
+    wrong = sum((F.coalesce(x, F.lit(0)) for x in unequal), F.lit(0))
+    bits = sum((F.when(x.isNotNull(), 32).otherwise(0) for x in unequal), F.lit(0))
+    return wrong <= LOOSE * bits
 
 
 def align(recordings: DataFrame, is_query: str, max_error: float = 0.25, least_overlap: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +176,7 @@ def align(recordings: DataFrame, is_query: str, max_error: float = 0.25, least_o
     members = made.select("id", "class_key").join(classes.select("class_key", "class_id"), "class_key", "left").select("id", "class_id")
     heads = classes.select(F.col("class_id").alias("id"), "marks", "near", "query")
     asked = scratch(_exploded(heads.filter("query"), "q"), "query-votes")
-    same = asked.join(_exploded(heads, "m"), "key").filter("q_id != m_id")
+    same = asked.join(_exploded(heads, "m"), "key").filter("q_id != m_id").filter(_alike())
     counted = same.groupBy("q_id", "m_id", (F.col("q_pos") - F.col("m_pos")).alias("offset")).agg(F.count("*").alias("votes"))
     # Most votes first; of equal ones the least shift, then the lower one. There are as many as offsets at most.
     tried = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("votes"), F.abs("offset").alias("shift"), "offset")))
@@ -189,10 +203,12 @@ def align(recordings: DataFrame, is_query: str, max_error: float = 0.25, least_o
 
 
 def op7_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a conversation as a recording (id = conv_id * 1000 + turn), those of every fiftieth conversation
-    as queries: one row for each recording with its class, and one for each match between classes."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    members, matches = align(turns, "floor(id / 1000) % 50 = 0")
+    """Each turn of a conversation as a recording, those of every fiftieth conversation as queries: one row for each
+    recording with its class, and one for each match between classes. A recording's id is conv_id times one more than
+    the longest conversation's last turn, plus its turn."""
+    turns = table(spark, sf_dir, "conversations")
+    step = int(turns.agg(F.coalesce(F.max("turn"), F.lit(0)) + 1).first()[0])
+    members, matches = align(turns.select((F.col("conv_id") * step + F.col("turn")).alias("id"), "text"), f"floor(id / {step}) % 50 = 0")
     none = F.lit(None).cast("long")
     rows = members.select(F.lit("member").alias("kind"), "id", "class_id", none.alias("match_id"), none.alias("offset"), none.alias("votes"), none.alias("overlap"), none.alias("bit_errors"))
     found = matches.select(F.lit("match").alias("kind"), F.col("query_id").alias("id"), F.col("query_id").alias("class_id"), "match_id", F.col("offset").cast("long").alias("offset"), "votes", "overlap", "bit_errors")
