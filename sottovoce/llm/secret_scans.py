@@ -100,7 +100,8 @@ def increment(history: DataFrame, ledger: DataFrame | None = None, text_col: str
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
         unseen = texts.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("pending")).filter(F.size("pending") > 0)
-        pending = texts.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob")
+        # Seen texts go before the rest is grouped.
+        pending = texts.join(scratch(unseen, "unseen-blobs"), "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("pending").alias("pending"))
     return scan_blobs(pending, rules)
 
 
@@ -109,16 +110,20 @@ def findings(history: DataFrame, keys: list[str], ledger: DataFrame, text_col: s
     # A ledger row holds spans of the rule versions it was scanned under.
     key_of = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.key)])
     live = F.filter("spans", lambda s: F.array_contains("scanned", F.coalesce(key_of[s["kind"]], F.lit(""))))
-    whole = ledger.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(live)))).alias("spans")) if ledger is not None else None
+    # Written, so that the join knows its size and can split the paths of a blob with many copies.
+    whole = scratch(ledger.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(live)))).alias("spans")), "secret-spans")
     paths = with_blob(history.select(*keys, F.col(text_col))).drop(text_col)
     return paths.join(whole, "blob", "left")
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    new = scratch(increment(docs), "secret-ledger")
-    # One increment holds each blob once: the join can take the table as it is, and split a hot blob's paths.
-    found = with_blob(docs.select("doc_id", "text")).drop("text").join(new, "blob", "left")
+    """Two increments over the table, as if the documents of odd ids had come later; the second scans only blobs that
+    the first's ledger lacks, and the findings are joined back to all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    odd = F.coalesce(F.col("doc_id") % 2 != 0, F.lit(True))
+    ledger = scratch(increment(docs.filter(~odd)), "secret-ledger")
+    ledger = ledger.unionByName(scratch(increment(docs.filter(odd), ledger), "secret-ledger"))
+    found = findings(docs, ["doc_id"], ledger)
     text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(text_of(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"))
