@@ -6,10 +6,15 @@ candidate replaces an earlier one only with a strictly higher score, candidates
 an unknown character is a candidate only where no piece covers it alone, costs 10 less than the lowest score,
 and neighbouring unknown characters are one piece.
 
+The default vocabulary is that of a public BPE file: no unigram model is at hand, and that file's scores are the negated
+ranks of its merges. They serve as unigram scores here, so counts are those of the unigram method over this
+vocabulary, not those of the file's own BPE. Its byte pieces are left out: unknown characters count as unknown.
+
 Texts are cut at blanks, which pieces never cross, and each task remembers the counts of words it has seen.
 
 Edge cases: a null or empty text has 0 pieces; a leading blank is not doubled; other white space is part of a
-word; words of any length are searched whole; duplicate rows give duplicate results; other columns are ignored.
+word; words of any length are searched whole, PART code points at a
+time; an empty table gives an empty result; duplicate rows give duplicate results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ BLANK = "▁"
 #: Fixed value: what an unknown character costs beside the lowest score.
 UNKNOWN_PENALTY = 10.0
 REMEMBERED = 250_000
+#: Code points of a word that are searched at a time.
+PART = 1 << 14
 
 
 def public_pieces(path: str | None = None) -> list[tuple[str, float]]:
@@ -48,25 +55,34 @@ def word_counter(pieces: list[tuple[str, float]]) -> Callable[[str], int]:
     automaton.make_automaton()
     unknown = min(scores.values()) - UNKNOWN_PENALTY
 
+    reach = max(map(len, scores))
+
     def count(word: str) -> int:
-        n = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in automaton.iter(word):
-            ending[end].append(match)
-        best, pieces_to, open_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(n):
-            top, here, open_here, alone = None, 0, False, False
-            # Longest first, so starts ascend.
-            for length, score in sorted(ending[end], reverse=True):
-                start = end + 1 - length
-                value = score + best[start]
-                if top is None or value > top:
-                    top, here = value, pieces_to[start] + 1
-                alone = alone or length == 1
-            if not alone and (top is None or unknown + best[end] > top):
-                top, here, open_here = unknown + best[end], pieces_to[end] + (not open_unknown[end]), True
-            best[end + 1], pieces_to[end + 1], open_unknown[end + 1] = top, here, open_here
-        return pieces_to[n]
+        # The state of every prefix of the part and of as many before it as a piece can reach back.
+        best, pieces_to, open_unknown = [0.0], [0], [False]
+        for low in range(0, len(word), PART):
+            part = word[max(0, low - reach) : low + PART]
+            skip, n = min(low, reach), min(PART, len(word) - low)
+            ending: list[list[tuple[int, float]]] = [[] for _ in range(skip + n)]
+            for end, match in automaton.iter(part):
+                ending[end].append(match)
+            for end in range(skip, skip + n):
+                top, here, open_here, alone = None, 0, False, False
+                # Longest first, so starts ascend.
+                for length, score in sorted(ending[end], reverse=True):
+                    start = end + 1 - length
+                    value = score + best[start]
+                    if top is None or value > top:
+                        top, here = value, pieces_to[start] + 1
+                    alone = alone or length == 1
+                if not alone and (top is None or unknown + best[end] > top):
+                    top, here, open_here = unknown + best[end], pieces_to[end] + (not open_unknown[end]), True
+                best.append(top)
+                pieces_to.append(here)
+                open_unknown.append(open_here)
+            if low + PART < len(word):
+                best, pieces_to, open_unknown = (x[-reach - 1 :] for x in (best, pieces_to, open_unknown))
+        return pieces_to[-1]
 
     return count
 
