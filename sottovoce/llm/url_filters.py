@@ -25,11 +25,18 @@ BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
 #: Fixed values: (host and path prefix, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Invented labelled URLs: 1 is to be blocked.
-LABELLED = (
-    *((f"https://{h}/{p}", 1) for h in ("cheap-pills.shop", "www.best-pills.example.com", "spam-farm.info", "link-farm.example.net", "free-bets.win", "m.casino-bets.example.com", "adult-x.club", "m.hot-adult-x.example.net", "replica-watch.top", "www.quick-loans.example.com") for p in ("buy/1", "win/free?id=3", "en/88", "fr/412.html", "de/7/")),
-    *((f"https://{h}/{p}", 0) for h in ("news.daily-journal.net", "www.cityscience.edu", "blog.gardening.example.com", "m.weather-report.com", "library.history.example.net", "therin.example.net", "www.thand.example.com", "m.ththou.example.com", "www.rivers.example.net", "m.tionand.example.net") for p in ("article/1", "2021/05/notes?id=3", "en/88", "fr/412.html", "de/7/")),
+#: The parts of invented labelled URLs; none is taken from the judged table. 1 is to be blocked.
+BAD_HOSTS = (
+    "cheap-pills.shop", "best-pills.example.com", "pills-discount.biz", "free-bets.win", "casino-bets.example.com", "lucky-casino.click", "spam-farm.info", "link-farm.example.net",
+    "adult-x.club", "hot-adult-x.example.net", "replica-watch.top", "luxury-replica.store", "quick-loans.example.com", "payday-loans-now.biz", "crypto-doubler.xyz", "win-prize.click",
 )
+GOOD_HOSTS = (
+    "daily-journal.net", "cityscience.edu", "gardening.example.com", "weather-report.com", "history.example.net", "riverside-library.net", "cooking-notes.example.com", "open-museum.example.net",
+    "mountain-guide.info", "local-news.example.com", "mathclub.edu", "bird-atlas.net", "village-council.example.net", "oldmaps.example.com", "trainspotters.net", "poetry-review.info",
+)
+BAD_PATHS = ("buy/now", "win/free?id=3", "offer/cheap-deal", "en/88", "bonus/claim.html", "xxx/gallery/2")
+GOOD_PATHS = ("article/1", "2021/05/notes?id=3", "about/history", "en/88", "archive/letters.html", "wiki/river")
+LABELLED = tuple((f"https://{sub}{h}/{p}", y) for hosts, paths, y in ((BAD_HOSTS, BAD_PATHS, 1), (GOOD_HOSTS, GOOD_PATHS, 0)) for i, h in enumerate(hosts) for k, p in enumerate(paths) for sub in (("", "www.", "m.")[(i + k) % 3],))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
