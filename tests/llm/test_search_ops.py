@@ -206,6 +206,7 @@ def test_token_counts_equal_the_public_tokenizer(spark):
     rng = random.Random(8)
     texts = ["", " ", "  a", "a  b\nc", "▁x y", "日本語 テスト", "ab\U0001f600\U0001f600c", "aaaaaaaaaaaaaaaa", "in in in the thethethe"]
     texts += ["".join(rng.choice("abetion r\n\U0001f600é中 ") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts.append("".join(rng.choice("abetion\U0001f600é中") for _ in range(3 * token_counts.PART + 17)))  # one word, searched in parts
     got = {r.id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, None])], "doc_id long, text string, n_tokens int")).collect()}
     assert got.pop(len(texts)) == 0
     assert got == {i: len(whole.encode(t).ids) for i, t in enumerate(texts)}
@@ -236,6 +237,30 @@ def test_url_rules_and_held_out_urls(spark):
     out = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string"), model, rules=()).collect()}
     assert sum((out[i] == "block") == bool(y) for i, (_, y) in enumerate(held)) >= 5
     assert url_filters.train([]) [1] < 0
+    assert url_filters.judge(pages.limit(0), model).count() == 0
+
+
+def test_url_classifier_on_held_out_hosts(spark):
+    """Trained on three quarters of the hosts and judged on the others."""
+    host = lambda u: re.sub(r"^(www|m)\.", "", u.split("/")[2])
+    held = {h for hosts in (url_filters.BAD_HOSTS, url_filters.GOOD_HOSTS) for h in hosts[::4]}
+    model = url_filters.fit(spark.createDataFrame([x for x in url_filters.LABELLED if host(x[0]) not in held], "url string, label int"))
+    rest = [x for x in url_filters.LABELLED if host(x[0]) in held]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rest)] + [(-1, "https://" + "a" * 30_000 + "/" + "b" * 30_000)], "page_id long, url string")
+    out = {r.page_id: r.verdict for r in url_filters.judge(pages, model, rules=()).collect()}
+    assert len(rest) == 48 and sum((out[i] == "block") == bool(y) for i, (_, y) in enumerate(rest)) >= 40
+
+
+def test_url_rules_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    part = lambda: rng.choice(["org", "com", "example.org", "a.example.org", "xorg", "ORG", "example.org.net", "shop.com"])
+    urls = [rng.choice(["http://", "https://", "://", "x", ""]) + part() + rng.choice(["", "/", "/es/", "/es", "/en/1", "/en/12?x", "/en/2", "/fr/a", "/de/a#b", "?fr/", "#/de/"]) for _ in range(500)]
+    for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), (np.zeros(url_filters.BUCKETS), -1.0)).collect():
+        _, found, rest = urls[r.page_id].partition("://")
+        host, path = (re.split("[/?#]", rest)[0].lower(), re.split("[?#]", re.sub("^[^/?#]*", "", rest))[0]) if found else ("", "")
+        fits = [(p, v) for p, v in url_filters.RULES if (host == p.split("/")[0] or host.endswith("." + p.split("/")[0])) and path.startswith("/" + p.split("/", 1)[1])]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
 def test_revisits_equal_a_plain_search(spark):

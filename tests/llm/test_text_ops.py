@@ -1,6 +1,7 @@
 """Line dedup, quality rules, secret scans and mixing on small and awkward inputs."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -74,6 +75,37 @@ def test_quality_cleaning_cuts_lines_and_drops_documents(docs):
     assert quality_rules.clean(docs.limit(0)).count() == 0
 
 
+def line_rule(line):
+    """A plain version of the line rules."""
+    bare = line.rstrip(" \t\n\x0b\x0c\r")
+    if not bare:
+        return None
+    if any(p in line.lower() for p in quality_rules.BOILERPLATE):
+        return "boilerplate"
+    marks, blanks = sum(c in quality_rules.BREADCRUMB for c in bare), sum(c in " \t\x0b\x0c\r" for c in line)
+    left = re.sub(f"{quality_rules.BETWEEN}", "", re.sub(f"(?i){quality_rules.MENU}", " ", bare, flags=re.A))
+    if (marks and marks * 3 > blanks) or (re.match(f"(?i){quality_rules.MENU}", bare) and not left):
+        return "navigation"
+    if sum(c in quality_rules.SYMBOLS for c in bare) > 0.1 * len(bare):
+        return "symbols"
+    if bare.rstrip(quality_rules.CLOSING)[-1:] not in quality_rules.TERMINAL and not any(x in line for x in (". ", "! ", "? ")):
+        return "punctuation"
+    return None
+
+
+def test_quality_verdicts_match_a_plain_version(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    line = lambda: rng.choice([say(9) + ".", say(6), say(4) + "! " + say(2), "Home | Menu > login", "home about " * 40, "back next x", say(3) + "." + '"' * rng.randint(0, 12), "a > b > c", say(5) + " # $ % & * |", "All Rights Reserved " + say(2), "", "  ", say(4) + "\u2026\u201d", "|", say(8) + ")"])
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    for r in quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        rules = [(x, line_rule(x)) for x in texts[r.doc_id].split("\n")]
+        count = Counter(v for _, v in rules if v)
+        lost = sum(len(re.sub("[ \t\x0b\x0c\r]", "", x)) for x, v in rules if v)
+        assert (r.n_no_punctuation, r.n_navigation, r.n_boilerplate, r.n_symbol_lines) == (count["punctuation"], count["navigation"], count["boilerplate"], count["symbols"])
+        assert r.removed_chars == lost and r.kept == (not r.base_failed and lost <= 0.5 * r.word_chars)
+
+
 def base_spans(text):
     out = []
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -115,6 +147,22 @@ def test_mixing_takes_each_document_and_keeps_the_limit(spark):
     assert {r.source for r in out} == {"big", "small", None, "empty"}
 
 
+@pytest.mark.parametrize("target", [1.4, 1.6, 1.9, 2.5])
+def test_mixing_exponent_equals_a_plain_bisection(spark, target):
+    from math import log2
+
+    sizes = {"a": 5000, "b": 700, "c": 260, "d": 40}
+    rows = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n_docs long, n_tokens long")
+    got = mixing.source_plan(rows, None, target, 1000).first().exponent
+    shares = [n / sum(sizes.values()) for n in sizes.values()]
+    bits = lambda x: sum(-(p**x) / sum(q**x for q in shares) * log2(p**x / sum(q**x for q in shares)) for p in shares)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        low, high = ((low + high) / 2, high) if bits((low + high) / 2) >= target else (low, (low + high) / 2)
+    assert got == pytest.approx(0.0 if bits(0) < target else low, abs=2e-6)
+    assert (got == 0) == (target > 2)
+
+
 def test_mixing_to_entropy_and_budget(spark):
     rows = [(i, "w " * 10, f"s{0 if i < 600 else i % 4}") for i in range(1000)]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_repeats=None, target_entropy=1.9, budget=5000, block_docs=8)
