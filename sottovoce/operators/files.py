@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sottovoce.functions.text import SPEAKER_HEAD, formality_level, strip_tags, topic_particle, trimmed
+from sottovoce.operators.near import meeting
 
 FRAME = 1000.0 / 23.976
 
@@ -74,7 +75,7 @@ def formality_inconsistent(cues: DataFrame, cast: DataFrame | None) -> DataFrame
     if cast is None:
         return None
     lines = speaker_lines(cues).withColumn("got", formality_level(F.col("said")))
-    off = lines.join(F.broadcast(cast.filter("tone is not null and tone <> ''")), lines["label"] == cast["speaker"]).filter("got <> tone")
+    off = lines.join(cast.filter("tone is not null and tone <> ''"), lines["label"] == cast["speaker"]).filter("got <> tone")
     return _found(off, F.concat("label", topic_particle(F.col("label")), F.lit(" "), "tone", F.lit("로 정했는데 "), "got", F.lit("입니다")), F.col("line_no"))
 
 
@@ -89,9 +90,9 @@ def formality_summary(cues: DataFrame) -> DataFrame:
 
 def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs (file_id, a_idx, b_idx) that share time within a file."""
-    x, y = a.alias("x"), b.alias("y")
-    meet = (F.col("x.file_id") == F.col("y.file_id")) & (F.col("x.start_ms") < F.col("y.end_ms")) & (F.col("y.start_ms") < F.col("x.end_ms"))
-    return x.join(y, meet).select(F.col("x.file_id").alias("file_id"), F.col("x.idx").alias("a_idx"), F.col("y.idx").alias("b_idx"))
+    x, y = (d.select("file_id", *[F.col(c).alias(f"{n}_{c}") for c in ("idx", "start_ms", "end_ms")]) for d, n in ((a, "a"), (b, "b")))
+    met = meeting(x, y, (F.col("a_start_ms"), F.col("a_end_ms")), (F.col("b_start_ms"), F.col("b_end_ms")))
+    return met.filter("a_start_ms < b_end_ms and b_start_ms < a_end_ms").select("file_id", "a_idx", "b_idx")
 
 
 # Positions on the screen
@@ -140,8 +141,9 @@ def position_suggestions(cues: DataFrame, rules: Mapping[str, str], busy: DataFr
     if busy is None:
         joined = joined.withColumn("busy", F.lit(False))
     else:
-        b = busy.select(F.col("file_id").alias("bf"), F.col("start_ms").alias("bs"), F.col("end_ms").alias("be"))
-        seen = spoken.join(b, (F.col("file_id") == F.col("bf")) & (F.col("bs") < F.col("end_ms")) & (F.col("start_ms") < F.col("be"))).select("file_id", "idx").distinct().withColumn("busy", F.lit(True))
+        b = busy.select("file_id", F.col("start_ms").alias("bs"), F.col("end_ms").alias("be"))
+        met = meeting(spoken.select("file_id", "idx", "start_ms", "end_ms"), b, (F.col("start_ms"), F.col("end_ms")), (F.col("bs"), F.col("be")))
+        seen = met.filter("bs < end_ms and start_ms < be").select("file_id", "idx").distinct().withColumn("busy", F.lit(True))
         joined = joined.join(seen, ["file_id", "idx"], "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
     place = F.regexp_extract("text", PLACE, 1)
     tag, where = f"{{\\an{PLACES[to]}}}", PLACE_NAMES[to]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions.split import split_text
 from sottovoce.functions.text import trimmed, weighted_chars
+from sottovoce.operators.near import meeting
 
 
 
@@ -133,10 +134,10 @@ def spotting_suggestions(cues: DataFrame, speech: DataFrame, fps: float = 23.976
     """(file_id, idx, field, current, suggested): in- and out-points that are too far from the speech below them."""
     (low_in, lead_in), (lead_out, _), tail = LEADS[detector]
     frame = 1000.0 / fps
-    heard = speech.select(F.col("file_id").alias("sf"), F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"))
+    heard = speech.select("file_id", F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"))
     c = cues.select("file_id", "idx", "start_ms", "end_ms", F.lead("start_ms").over(by_start()).alias("following"))
-    near = c.join(heard, (F.col("file_id") == F.col("sf")) & (F.col("se") > F.col("start_ms")) & (F.col("ss") < F.col("end_ms")), "left")
-    near = near.groupBy("file_id", "idx", "start_ms", "end_ms", "following").agg(F.min("ss").alias("voice"), F.max("se").alias("quiet"))
+    met = meeting(c.select("file_id", "idx", "start_ms", "end_ms"), heard, (F.col("start_ms"), F.col("end_ms")), (F.col("ss"), F.col("se"))).filter("se > start_ms and ss < end_ms")
+    near = c.join(met.groupBy("file_id", "idx").agg(F.min("ss").alias("voice"), F.max("se").alias("quiet")), ["file_id", "idx"], "left")
     near = near.withColumn("quiet", F.when(F.col("quiet").isNotNull(), F.least("quiet", "following")))
     want_in = F.col("voice") - lead_in * frame
     want_out = F.least(F.col("quiet") + (tail + lead_out) * frame, F.col("following").cast("double"))
@@ -171,12 +172,14 @@ def apply_spotting(cues: DataFrame, suggestions: DataFrame) -> DataFrame:
 def shot_change_suggestions(cues: DataFrame, shots: DataFrame, fps: float = 23.976, clearance_ms: int = 500) -> DataFrame:
     """The first shot, in list order, that an edge touches (quiet) or misses by less than the clearance (snap)."""
     frame = 1000.0 / fps
-    s = shots.select(F.col("file_id").alias("sf"), "shot_ms", F.col("pos").alias("shot_pos"))
+    s = shots.select("file_id", "shot_ms", F.col("pos").alias("shot_pos"))
+    reach = max(clearance_ms, 4 * frame)
 
     def side(field: str, target: Column) -> DataFrame:
         touches = F.abs(F.col(field) - target) <= frame
         near = F.abs(F.col(field) - F.col("shot_ms")) < clearance_ms
-        hit = cues.join(s, (F.col("file_id") == F.col("sf")) & (near | touches))
+        edges = cues.select("file_id", "idx", field)
+        hit = meeting(edges, s, (F.col(field), F.col(field)), (F.col("shot_ms") - reach, F.col("shot_ms") + reach)).filter(near | touches)
         first = hit.groupBy("file_id", "idx", F.col(field).alias("current")).agg(F.min(F.struct("shot_pos", touches.alias("quiet"), target.alias("target"))).alias("f"))
         return first.filter("not f.quiet").select("file_id", "idx", F.lit(field).alias("field"), "current", F.col("f.target").cast("long").alias("suggested"))
 
@@ -199,21 +202,33 @@ def resplit_cues(cues: DataFrame, profile: Mapping[str, Any], speech: DataFrame
 
     whole = F.array(F.col("text"))
     cut = F.when(weighted_chars(F.col("text"), wide, other) > capacity, pieces("text")).otherwise(whole)
-    parts = cues.select("file_id", F.col("idx").alias("origin_idx"), "start_ms", "end_ms", F.posexplode(cut).alias("pos", "piece"))
-    in_cue = Window.partitionBy("file_id", "origin_idx").orderBy("pos")
-    size = F.greatest(weighted_chars(F.col("piece"), wide, other), F.lit(0.5))
-    parts = parts.withColumn("size", size)
-    share = F.sum("size").over(in_cue.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("size").over(Window.partitionBy("file_id", "origin_idx"))
-    parts = parts.withColumn("bound", F.when(F.lead("pos").over(in_cue).isNotNull(), F.bround(F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * share).cast("long")))
+    split = cues.select("file_id", F.col("idx").alias("origin_idx"), "start_ms", "end_ms", cut.alias("pieces"))
+    sizes = F.transform("pieces", lambda p: F.greatest(weighted_chars(p, wide, other), F.lit(0.5)))
+    split = split.select("*", sizes.alias("sizes"), F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    # Each bound is rounded before the next share is laid on it; the last piece ends with the cue.
+    shares = F.transform(F.slice("sizes", 1, F.greatest(F.size("sizes") - 1, F.lit(0))), lambda x: (F.col("end_ms") - F.col("start_ms")) * x / F.col("total"))
+    laid = F.aggregate(shares, F.array("start_ms"), lambda a, x: F.concat(a, F.array(F.rint(F.element_at(a, -1) + x).cast("long"))))
+    split = split.select("file_id", "origin_idx", "pieces", F.concat(laid, F.array("end_ms")).alias("bounds"))
     if speech is not None:
         order = Window.partitionBy("file_id").orderBy("start_ms", "end_ms")
-        quiet = speech.select("file_id", F.col("end_ms").alias("a"), F.lead("start_ms").over(order).alias("b")).filter("b is not null").select(F.col("file_id").alias("qf"), F.floor((F.col("a") + F.col("b")) / 2).alias("middle"), "a")
-        near = parts.filter("bound is not null").join(quiet, (F.col("file_id") == F.col("qf")) & (F.abs(F.col("middle") - F.col("bound")) <= tolerance_ms))
-        snap = near.groupBy("file_id", "origin_idx", "pos").agg(F.min(F.struct(F.abs(F.col("middle") - F.col("bound")).alias("d"), "a", "middle")).alias("q")).select("file_id", "origin_idx", "pos", F.col("q.middle").alias("snap"))
-        parts = parts.join(snap, ["file_id", "origin_idx", "pos"], "left")
-        low, high = F.coalesce(F.lag("bound").over(in_cue), "start_ms"), F.coalesce(F.lead("bound").over(in_cue), "end_ms")
-        parts = parts.withColumn("bound", F.when((F.col("snap") > low) & (F.col("snap") < high), F.col("snap")).otherwise(F.col("bound")))
-    out = parts.select("file_id", "origin_idx", "pos", F.coalesce(F.lag("bound").over(in_cue), "start_ms").alias("start_ms"), F.coalesce("bound", "end_ms").alias("end_ms"), F.col("piece").alias("text"))
+        quiet = speech.select("file_id", F.col("end_ms").alias("a"), F.lead("start_ms").over(order).alias("b")).filter("b is not null").select("file_id", F.floor((F.col("a") + F.col("b")) / 2).alias("middle"), "a")
+        inner = split.select("file_id", "origin_idx", F.posexplode("bounds").alias("pos", "bound"), F.size("pieces").alias("n")).filter("pos > 0 and pos < n")
+        near = meeting(inner, quiet, (F.col("bound") - tolerance_ms, F.col("bound") + tolerance_ms), (F.col("middle"), F.col("middle")))
+        best = near.groupBy("file_id", "origin_idx", "pos").agg(F.min(F.struct(F.abs(F.col("middle") - F.col("bound")).alias("d"), "a", "middle")).alias("q"))
+        snaps = best.groupBy("file_id", "origin_idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "q.middle"))).alias("snaps"))
+        split = split.join(snaps, ["file_id", "origin_idx"], "left")
+
+        def moved(done: Column, i: Column) -> Column:
+            """A bound goes into its silence if that lies between the bound before, as it is by now, and the one after."""
+            to, here = F.col("snaps")[i], F.get("bounds", i)
+            fits = F.coalesce((to > F.element_at(done, -1)) & (to < F.get("bounds", i + 1)), F.lit(False))
+            return F.concat(done, F.array(F.when(fits, to).otherwise(here)))
+
+        inside = F.filter(F.sequence(F.lit(0), F.size("pieces")), lambda i: (i > 0) & (i < F.size("pieces")))
+        settled = F.concat(F.aggregate(inside, F.array(F.get("bounds", F.lit(0))), moved), F.array(F.element_at("bounds", -1)))
+        split = split.select("file_id", "origin_idx", "pieces", F.when(F.col("snaps").isNull(), F.col("bounds")).otherwise(settled).alias("bounds"))
+    out = split.select("file_id", "origin_idx", "bounds", F.posexplode("pieces").alias("pos", "text"))
+    out = out.select("file_id", "origin_idx", "pos", F.get("bounds", F.col("pos")).alias("start_ms"), F.get("bounds", F.col("pos") + 1).alias("end_ms"), "text")
     return out.select("file_id", F.row_number().over(Window.partitionBy("file_id").orderBy("origin_idx", "pos")).alias("idx"), "origin_idx", "start_ms", "end_ms", "text")
 
 

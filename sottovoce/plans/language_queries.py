@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions.text import TAGS
 from sottovoce.operators import language
-from sottovoce.sources.fixtures import CUES_SQL, cues, dialogue, like_sql
+from sottovoce.sources.fixtures import CUES_SQL, cues, dialogue
 
 GLOSSARY = [("the", "그"), ("not", "아니"), ("and", "그리고")]
 TARGETS = ["[사라] 가요", "안 가요", "다섯 개 있어", "그리고 갔어", "모르겠어"]
@@ -20,11 +20,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(source, " ")
     back = F.array_join(F.filter(words, lambda w, k: k % 4 != 3), " ")
     c = cues(spark, sf_dir)
-    c = c.filter("idx % 2 = 1") if like_sql() else c
     return c.select("file_id", "idx", source.alias("source"), F.element_at(F.array(*map(F.lit, TARGETS)), i % 5 + 1).alias("target"), back.alias("back"))
 
 
-_PAIRS = f"""with {CUES_SQL}, p0 as (select file_id, idx, case idx % 3 when 0 then 'not ' when 1 then '5 ' else 'Dr. ' end || text as source, [{', '.join(f"'{t}'" for t in TARGETS)}][idx % 5 + 1] as target from cues where idx % 2 = 1),
+_PAIRS = f"""with {CUES_SQL}, p0 as (select file_id, idx, case idx % 3 when 0 then 'not ' when 1 then '5 ' else 'Dr. ' end || text as source, [{', '.join(f"'{t}'" for t in TARGETS)}][idx % 5 + 1] as target from cues),
 p as (select *, array_to_string(list_filter(string_split(source, ' '), lambda w, k: (k - 1) % 4 <> 3), ' ') as back from p0)"""
 
 

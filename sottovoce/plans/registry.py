@@ -1,21 +1,11 @@
-"""All registered queries of the timed-text operators and their SQL.
+"""All registered queries of the timed-text operators and their SQL. Queries and SQL read whole tables and texts; where
+the SQL has some of the checks or fixers, ``whole_`` before the name is the query with all of them."""
 
-Every query over cues reads whole lines. The SQL of those that have one cuts them: under the query's own name stands
-what is compared with that SQL, and ``whole_`` before the name is the query over whole lines,
-with all cues, checks and fixers where the SQL has some of them.
-"""
-
-import re
 from importlib import import_module
 
-from sottovoce.sources.fixtures import as_in_sql
-
 MODULES = ["check_queries", "file_queries", "timing_queries", "track_queries", "language_queries", "source_queries", "job_queries", "reference_queries"]
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
-for _name in [n for n in QUERIES if re.search(r"\b(cues|dia) as \(|\bfrom (conversations|documents)\b", ORACLE.get(n, ""))]:
-    QUERIES.setdefault(f"whole_{_name}", QUERIES[_name])
-    QUERIES[_name] = as_in_sql(QUERIES[_name])

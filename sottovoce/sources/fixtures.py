@@ -1,43 +1,15 @@
 """Cue tables derived by rule from the driver's tables, with integer arithmetic only.
 
-Cues and turns are whole. Only inside ``as_in_sql`` are they those of ``CUES_SQL`` and ``DIALOGUE_SQL``, which keep
-the first 60 and 40 code points.
+A line too long for a cue is cut into successive cues, so every character of every text is in one; turns are whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-_AS_IN_SQL: ContextVar[bool] = ContextVar("as_in_sql", default=False)
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def as_in_sql(query: Query) -> Query:
-    """The query over the cues of its SQL, to be compared with it."""
-
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _AS_IN_SQL.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _AS_IN_SQL.reset(token)
-
-    return run
-
-
-def like_sql() -> bool:
-    return _AS_IN_SQL.get()
-
-
-def _taken(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n) if like_sql() else text
+#: Longest cue, in code points, before defects are planted.
+LONGEST = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +25,13 @@ def _timed(lines: DataFrame) -> DataFrame:
 
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cue for each line of ``documents`` that is not blank, with planted defects by line number."""
+    """The lines of ``documents`` in cues of at most ``LONGEST`` code points, with planted defects by number."""
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("file_id", (F.col("pos") + 1).cast("int").alias("idx"), F.trim("line").alias("t")).filter(F.length("t") > 0)
-    t, idx = _taken(F.col("t"), 60), F.col("idx")
+    parts = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_extract_all(F.trim(x), F.lit(f"(?s).{{1,{LONGEST}}}"), F.lit(0)))
+    said = F.filter(F.transform(F.flatten(parts), F.trim), lambda x: F.length(x) > 0)
+    lines = docs.select(F.col("doc_id").alias("file_id"), F.posexplode(said).alias("pos", "t"))
+    lines = lines.select("file_id", (F.col("pos") + 1).cast("int").alias("idx"), "t")
+    t, idx = F.col("t"), F.col("idx")
     forms: list[Column] = [
         t,
         F.concat(F.lit("["), F.when(idx % 5 < 2, "김 경위").otherwise("경위"), F.lit("] "), t),
@@ -84,14 +58,14 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(lines.withColumn("s", broken))
 
 
-CUES_SQL = """lines0 as (select doc_id as file_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as idx from documents),
-lines1 as (select file_id, idx, trim(line) as t0, substr(trim(line), 1, 60) as t from lines0 where length(trim(line)) > 0),
+CUES_SQL = """lines0 as (select doc_id as file_id, list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(trim(x), '(?s).{1,60}'))), lambda p: trim(p)), lambda p: length(p) > 0) as ps from documents),
+lines1 as (select file_id, unnest(ps) as t, unnest(range(1, len(ps) + 1))::int as idx from lines0),
 lines2 as (select *, case idx % 16
   when 1 then '[' || (case when idx % 5 < 2 then '김 경위' else '경위' end) || '] ' || t when 2 then '[문이 쾅 닫히는 소리]' when 3 then '♪' || t || ' ♪'
   when 4 then t || '...' when 5 then '-' || t when 6 then '3천 불을 ' || t when 7 then '아홉 시에 ' || t when 8 then '열다섯 명 ' || t
   when 9 then '<i>' || t || '</i>' when 10 then '민수: ' || t when 11 then '(철수) [작게] ' || t when 12 then replace(t, ' ', '  ')
   when 13 then '그러나, ' || t || ' ~' when 14 then 'J.F.K. ' || t || '?!' when 15 then '"' || t || '"' else t end as s,
-  300 + (length(t0) * 37 + idx * 101) % 8200 as dur, (idx * 7919 + file_id * 104729) % 1500 - 300 as lead from lines1),
+  300 + (length(t) * 37 + idx * 101) % 8200 as dur, (idx * 7919 + file_id * 104729) % 1500 - 300 as lead from lines1),
 cues as (select file_id, idx, (sum(lead + dur) over (partition by file_id order by idx) + 1000 - dur)::bigint as start_ms,
   (sum(lead + dur) over (partition by file_id order by idx) + 1000)::bigint as end_ms,
   case when idx % 3 = 0 and length(s) > 24 then substr(s, 1, 12) || chr(10) || substr(s, 13) else s end as text from lines2)"""
@@ -113,11 +87,11 @@ CUES_B_SQL = """cues_b as (select * from (select file_id, ((idx - 1) // 2 + 1)::
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues with a speaker label from ``conversations``."""
     talk = table(spark, sf_dir, "conversations")
-    s = F.concat(F.lit("["), "role", F.lit("] "), _taken(F.col("text"), 40))
+    s = F.concat(F.lit("["), "role", F.lit("] "), F.col("text"))
     return _timed(talk.select(F.col("conv_id").alias("file_id"), (F.col("turn") + 1).cast("int").alias("idx"), F.col("text").alias("t"), s.alias("s")))
 
 
-DIALOGUE_SQL = """dia as (select conv_id as file_id, (turn + 1)::int as idx, '[' || role || '] ' || substr(text, 1, 40) as text from conversations)"""
+DIALOGUE_SQL = """dia as (select conv_id as file_id, (turn + 1)::int as idx, '[' || role || '] ' || text as text from conversations)"""
 
 
 def numbered(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:

@@ -133,6 +133,21 @@ def test_resplit_cuts_at_sentences(spark):
     assert [(r.idx, r.start_ms, r.end_ms) for r in out] == [(1, 0, 1875), (2, 1875, 4000)]
 
 
+def test_resplit_never_makes_cues_without_length(spark):
+    """One silence near two bounds: the first takes it, the second stays; shares are laid on rounded bounds."""
+    c = spark.createDataFrame([(1, 1, 0, 3000, "aaaa aaaa aaaa"), (1, 2, 4000, 4001, "x" * 9)], CUE)
+    speech = spark.createDataFrame([(1, 0, 1400), (1, 1600, 3000)], "file_id long, start_ms long, end_ms long")
+    out = timing.resplit_cues(c, {"limits": {"chars_per_line": 4, "max_lines": 1}}, speech, tolerance_ms=600).orderBy("idx").collect()
+    assert [(r.start_ms, r.end_ms, r.text) for r in out] == [(0, 1500, "aaaa"), (1500, 2000, "aaaa"), (2000, 3000, "aaaa"), (4000, 4001, "x" * 9)]
+
+
+def test_spans_meet_once_across_cells(spark):
+    rows = [(1, i, 5000 * i, 5000 * i + 21_000, "t") for i in range(12)] + [(2, 1, 0, 40_000, "t")]
+    c = spark.createDataFrame(rows, CUE)
+    got = sorted((r.file_id, r.a_idx, r.b_idx) for r in files.overlap_join(c, c).collect())
+    assert got == sorted((f, i, j) for f, i, a, b, _ in rows for g, j, x, y, _ in rows if f == g and a < y and x < b)
+
+
 def test_alignment_follows_the_script(spark):
     segments = spark.createDataFrame([(1, 1, 0, 1000, "hello there friend"), (1, 2, 1000, 2000, "something else"), (1, 3, 2000, 3000, "goodbye now")], CUE)
     script = spark.createDataFrame([(1, 0, "Hello there, friend."), (1, 1, "Never spoken line."), (1, 2, "Goodbye now.")], "file_id long, pos int, text string")
