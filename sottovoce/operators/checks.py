@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sottovoce.functions.text import SPEAKER_HEAD, chars_per_second, excerpt, one_decimal, particle, short_number, strip_tags, trimmed, weighted_chars
+from sottovoce.functions.text import SPEAKER_HEAD, chars_per_second, excerpt, one_decimal, particle, quoted, short_number, strip_tags, trimmed, weighted_chars
 
 FOUND = "array<struct<line_no:int,detail:string>>"
 Profile = Mapping[str, Any]
@@ -193,7 +193,7 @@ def line_break_top_heavy(p: Profile) -> Column | None:
 @check
 def line_end_period_or_comma(p: Profile) -> Column | None:
     end = lambda x: F.regexp_replace(x, r"(?U)\s+$", "")
-    return each(bare_(), lambda x: end(x).rlike(r"[.,]$") & ~F.endswith(end(x), F.lit("...")), lambda x: F.concat(F.lit("…"), F.right(end(x), F.lit(12))))
+    return each(bare_(), lambda x: end(x).rlike(r"[.,]$") & ~F.endswith(end(x), F.lit("...")), lambda x: F.concat(F.lit("…"), quoted(F.right(end(x), F.lit(12)))))
 
 
 @check
@@ -203,7 +203,8 @@ def three_dot_ellipsis(p: Profile) -> Column | None:
 
 @check
 def em_or_en_dash(p: Profile) -> Column | None:
-    return mark_found(text_(), ["–", "—"], " ")
+    found = hits(text_(), ["–", "—"])
+    return cue(F.size(found) > 0, F.concat(F.array_join(found, " "), F.lit(" 발견")))
 
 
 @check
@@ -288,7 +289,7 @@ def music_note_unpaired(p: Profile) -> Column | None:
 def lyric_line_not_capitalized(p: Profile) -> Column | None:
     if _section(p, "music", "capitalize_line_start"):
         body = lambda x: trimmed(F.ltrim(trimmed(x), F.lit(_note(p))))
-        return each(bare_(), lambda x: F.startswith(trimmed(x), F.lit(_note(p))) & body(x).rlike(r"^\p{Ll}"), lambda x: F.substring(body(x), 1, 20))
+        return each(bare_(), lambda x: F.startswith(trimmed(x), F.lit(_note(p))) & body(x).rlike(r"^\p{Ll}"), lambda x: quoted(F.substring(body(x), 1, 20)))
 
 
 @check
@@ -365,8 +366,9 @@ def colon_speaker_prefix(p: Profile) -> Column | None:
 def honorific_ssi_used(p: Profile) -> Column | None:
     if not _section(p, "address", "forbid_ssi"):
         return None
-    names = lambda x: F.filter(F.regexp_extract_all(F.regexp_replace(x, ASIDES, " "), F.lit(HONORIFIC), F.lit(1)), lambda n: ~n.isin(NOT_A_NAME))
-    found = F.flatten(F.transform(bare_(), lambda x, i: F.transform(names(x), lambda n: F.struct((i + 1).cast("int").alias("line_no"), F.concat(F.lit("'"), n, F.lit(" 씨'")).alias("detail")))))
+    part = lambda x, k: F.regexp_extract_all(F.regexp_replace(x, ASIDES, " "), F.lit(HONORIFIC), F.lit(k))
+    names = lambda x: F.filter(F.arrays_zip(part(x, 0).alias("all"), part(x, 1).alias("name")), lambda n: ~n["name"].isin(NOT_A_NAME))
+    found = F.flatten(F.transform(bare_(), lambda x, i: F.transform(names(x), lambda n: F.struct((i + 1).cast("int").alias("line_no"), F.concat(F.lit("'"), trimmed(n["all"]), F.lit("' — 다큐·리얼리티에서는 쓰지 않습니다")).alias("detail")))))
     return found.cast(FOUND)
 
 
@@ -380,9 +382,18 @@ def forbidden_punctuation(p: Profile) -> Column | None:
     return found.cast(FOUND)
 
 
+def marker_brackets(p: Profile) -> tuple[str, str]:
+    """Patterns of what ends and what begins a mark, with the brackets that the profile uses."""
+    pairs = {_section(p, "speaker_id", "enclosure") or "[]", _section(p, "tone", "enclosure") or _section(p, "sound_effect", "enclosure") or "[]", "[]", "()"}
+    either = lambda at: "".join(sorted({rf"\{x[at]}" for x in pairs}))
+    return rf"[{either(-1)}]|\}}", f"[{either(0)}]"
+
+
 @check
 def space_between_markers(p: Profile) -> Column | None:
-    return each(bare_(), lambda x: x.rlike(r"[\])}][ \t]+[\[(]") & (trimmed(F.regexp_replace(x, ASIDES, "")) != ""), "표시끼리는 붙여 씁니다")
+    before, after = marker_brackets(p)
+    gap = rf"(?:{before})[ \t]+{after}"
+    return each(bare_(), lambda x: x.rlike(gap) & (trimmed(F.regexp_replace(x, ASIDES, "")) != ""), "표시끼리는 붙여 씁니다")
 
 
 @check

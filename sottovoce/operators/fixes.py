@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sottovoce.functions.text import trimmed
-from sottovoce.operators.checks import ASIDES, COLON_LABEL, CURRENCY
+from sottovoce.operators.checks import ASIDES, COLON_LABEL, CURRENCY, marker_brackets
 
 Fix = Callable[[Column, Mapping[str, Any]], Column]
 FIXES: dict[str, Fix] = {}
@@ -104,7 +104,8 @@ def colon_speaker_prefix(text: Column, p: Mapping[str, Any]) -> Column:
 
 @fix
 def space_between_markers(text: Column, p: Mapping[str, Any]) -> Column:
-    return by_line(text, lambda x: F.when(trimmed(F.regexp_replace(x, ASIDES, "")) == "", x).otherwise(F.regexp_replace(x, r"([\])}])[ \t]+(?=[\[(])", "$1")))
+    before, after = marker_brackets(p)
+    return by_line(text, lambda x: F.when(trimmed(F.regexp_replace(x, ASIDES, "")) == "", x).otherwise(F.regexp_replace(x, rf"({before})[ \t]+(?={after})", "$1")))
 
 
 #: Particles after a consonant and what they are after a vowel; only one-syllable ones can follow a match.

@@ -174,7 +174,7 @@ ORACLE = {
     "fix_acronym_with_periods": _fixed("replace(text, 'J.F.K.', 'JFK')"),
     "fix_music_note_spacing": _fixed(r"regexp_replace(regexp_replace(trim(x), '^♪\s*', '♪ '), '\s*♪$', ' ♪')", True),
     "fix_dual_speaker_marker_format": _fixed(r"case when ltrim(x) like '-%' and ltrim(x) not like '--%' then '- ' || ltrim(substr(ltrim(x), 2)) else ltrim(x) end", True),
-    "fix_lyric_line_not_capitalized": _fixed(r"case when starts_with(trim(x), '♪') and regexp_matches(ltrim(substr(trim(x), 2)), '^\p{Ll}') then '♪ ' || upper(substr(ltrim(substr(trim(x), 2)), 1, 1)) || substr(ltrim(substr(trim(x), 2)), 2) else trim(x) end", True),
+    "fix_lyric_line_not_capitalized": _fixed(r"case when starts_with(trim(x), '♪') and regexp_matches(ltrim(substr(trim(x), 2)), '^\p{Ll}') then '♪ ' || replace(upper(substr(ltrim(substr(trim(x), 2)), 1, 1)), 'ẞ', 'SS') || substr(ltrim(substr(trim(x), 2)), 2) else trim(x) end", True),
     "fix_space_between_markers": _fixed(r"case when trim(regexp_replace(x, '[\[(][^)\]]*[\])]|\{[^}]*\}', '', 'g')) = '' then x else regexp_replace(x, '([\])}])[ \t]+([\[(])', '\1\2', 'g') end", True),
     "fix_currency_bul": _fixed("replace(text, '3천 불을', '3천 달러를')"),
     "fix_ellipsis_style_mismatch": _fixed(r"regexp_replace(text, '\.{3,}', '…', 'g')"),

@@ -153,7 +153,7 @@ _DG = r"regexp_extract_all(source, '(\d+(?:[.,]\d+)*)')"
 _MISS = "array_to_string(list_sort(list_filter([" + ", ".join(f"case when {{}} and not contains(target, '{k}') then '{t} -> {k}' end" for t, k in GLOSSARY) + "], lambda x: x is not null)), ', ')"
 ORACLE = {
     "translation_flags": f"""{_PAIRS} select file_id, idx, 'speaker' as kind, '화자 표시·효과음이 ' || {_N} || '개에서 ' || {_M} || case when {_M} < {_N} then '개로 줄었습니다' else '개로 늘었습니다' end as reason, true as certain from p where {_N} <> {_M}
-        union all select file_id, idx, 'negation', '원문에 부정이 있는데 번역에서 보이지 않습니다', false from p where regexp_matches(source, '{_EN}') and not {_KN}
+        union all select file_id, idx, 'negation', '원문에 부정이 있는데 번역에서 보이지 않습니다', false from p where regexp_matches(regexp_replace(source, '[À-ɏ]', 'x', 'g'), '{_EN}') and not {_KN}
         union all select file_id, idx, 'number', '원문의 숫자(' || array_to_string({_DG}[1:3], ', ') || ')가 번역에서 보이지 않습니다', false from p where len({_DG}) > 0 and not regexp_matches({_TB}, '{language.KO_NUMBER}')""",
     "glossary_misses": f"{_PAIRS}, g as (select file_id, idx, {_MISS.format(*[f'''contains(lower(source), '{t}')''' for t, _ in GLOSSARY])} as missed from p) select * from g where missed <> ''",
     "translation_flags_with_glossary": f"{_PAIRS}, g as (select file_id, idx, {_MISS.format(*[rf'''regexp_matches(source, '(?i)\b{t}\b')''' for t, _ in GLOSSARY])} as missed from p) select file_id, idx, 'glossary' as kind, '통일표 표기를 쓰지 않았습니다: ' || missed as reason, true as certain from g where missed <> ''",

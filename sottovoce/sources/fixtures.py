@@ -28,7 +28,7 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of ``documents`` in cues of at most ``LONGEST`` code points, with planted defects by number."""
     docs = table(spark, sf_dir, "documents")
     parts = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_extract_all(F.trim(x), F.lit(f"(?s).{{1,{LONGEST}}}"), F.lit(0)))
-    said = F.filter(F.transform(F.flatten(parts), F.trim), lambda x: F.length(x) > 0)
+    said = F.filter(F.transform(F.flatten(parts), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     lines = docs.select(F.col("doc_id").alias("file_id"), F.posexplode(said).alias("pos", "t"))
     lines = lines.select("file_id", (F.col("pos") + 1).cast("int").alias("idx"), "t")
     t, idx = F.col("t"), F.col("idx")
@@ -50,11 +50,31 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("J.F.K. "), t, F.lit("?!")),
         F.concat(F.lit('"'), t, F.lit('"')),
     ]
-    s = forms[0]
+    # Every sixteenth cue is plain or has a rarer defect, dealt by file.
+    rare: list[Column] = [
+        t,
+        F.concat(F.lit("— "), t),
+        F.concat(F.lit("["), t),
+        F.concat(F.lit("♪ la la ♪\n"), t),
+        F.lit("[잔잔한 음악]"),
+        F.concat(F.lit("5㎏ "), t),
+        F.concat(t, F.lit(" [탁 소리]")),
+        F.lit("[쾅\n소리]"),
+        F.concat(F.lit("[철수와 영희] "), t),
+        F.concat(F.lit("[철수]\n"), t),
+        F.lit("자막: 홍길동"),
+        F.concat(F.lit("…"), t),
+        F.lit("아주 길고 긴 윗줄이 여기에 있습니다\n짧은 줄"),
+        F.concat(F.lit("민수 씨, 10 ~ 20분 "), t),
+    ]
+    plain = rare[0]
+    for i, form in list(enumerate(rare))[1:]:
+        plain = F.when((F.floor(idx / 16) + F.col("file_id")) % len(rare) == i, form).otherwise(plain)
+    s = plain
     for i, form in list(enumerate(forms))[1:]:
         s = F.when(idx % 16 == i, form).otherwise(s)
     lines = lines.withColumn("s0", s)
-    broken = F.when((idx % 3 == 0) & (F.length("s0") > 24), F.concat(F.substring("s0", 1, 12), F.lit("\n"), F.expr("substring(s0, 13)"))).otherwise(F.col("s0"))
+    broken = F.when((idx % 3 == 0) & (idx % 16 != 0) & (F.length("s0") > 24), F.concat(F.substring("s0", 1, 12), F.lit("\n"), F.expr("substring(s0, 13)"))).otherwise(F.col("s0"))
     return _timed(lines.withColumn("s", broken))
 
 
@@ -64,11 +84,13 @@ lines2 as (select *, case idx % 16
   when 1 then '[' || (case when idx % 5 < 2 then '김 경위' else '경위' end) || '] ' || t when 2 then '[문이 쾅 닫히는 소리]' when 3 then '♪' || t || ' ♪'
   when 4 then t || '...' when 5 then '-' || t when 6 then '3천 불을 ' || t when 7 then '아홉 시에 ' || t when 8 then '열다섯 명 ' || t
   when 9 then '<i>' || t || '</i>' when 10 then '민수: ' || t when 11 then '(철수) [작게] ' || t when 12 then replace(t, ' ', '  ')
-  when 13 then '그러나, ' || t || ' ~' when 14 then 'J.F.K. ' || t || '?!' when 15 then '"' || t || '"' else t end as s,
+  when 13 then '그러나, ' || t || ' ~' when 14 then 'J.F.K. ' || t || '?!' when 15 then '"' || t || '"' else case (idx // 16 + file_id) % 14 when 1 then '— ' || t when 2 then '[' || t when 3 then '♪ la la ♪' || chr(10) || t when 4 then '[잔잔한 음악]' when 5 then '5㎏ ' || t
+  when 6 then t || ' [탁 소리]' when 7 then '[쾅' || chr(10) || '소리]' when 8 then '[철수와 영희] ' || t when 9 then '[철수]' || chr(10) || t when 10 then '자막: 홍길동' when 11 then '…' || t
+  when 12 then '아주 길고 긴 윗줄이 여기에 있습니다' || chr(10) || '짧은 줄' when 13 then '민수 씨, 10 ~ 20분 ' || t else t end end as s,
   300 + (length(t) * 37 + idx * 101) % 8200 as dur, (idx * 7919 + file_id * 104729) % 1500 - 300 as lead from lines1),
 cues as (select file_id, idx, (sum(lead + dur) over (partition by file_id order by idx) + 1000 - dur)::bigint as start_ms,
   (sum(lead + dur) over (partition by file_id order by idx) + 1000)::bigint as end_ms,
-  case when idx % 3 = 0 and length(s) > 24 then substr(s, 1, 12) || chr(10) || substr(s, 13) else s end as text from lines2)"""
+  case when idx % 3 = 0 and idx % 16 <> 0 and length(s) > 24 then substr(s, 1, 12) || chr(10) || substr(s, 13) else s end as text from lines2)"""
 
 
 def second_track(cues: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from sottovoce.functions.similar import similarity
 from sottovoce.functions.split import split_text
-from sottovoce.functions.text import formality_level, topic_particle, weighted_chars
+from sottovoce.functions.text import formality_level, one_decimal, quoted, topic_particle, weighted_chars
 from sottovoce.operators import checks, files, fixes, language, timing, tracks
 from sottovoce.plans import jobs, profiles
 from sottovoce.sources import subtitles
@@ -133,6 +133,14 @@ def test_resplit_cuts_at_sentences(spark):
     assert [(r.idx, r.start_ms, r.end_ms) for r in out] == [(1, 0, 1875), (2, 1875, 4000)]
 
 
+def test_one_decimal_follows_the_binary_value(spark):
+    values = [10.35, 10.45, 11.65, 0.25, 0.35, 0.05, 10.3, 99.95, 12345.65, 7.0, 14 / 3, 0.0, 1e-9] + [k / 20 for k in range(1, 200, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", one_decimal(F.col("v")).alias("s"))
+    assert {r.v: r.s for r in df.collect()} == {v: f"{v:.1f}" for v in values}
+    said = ["it's", 'a "b"', "x", "it's \"b\"", "back\\slash"]
+    assert [r.s for r in spark.createDataFrame([(x,) for x in said], "x string").select(quoted(F.col("x")).alias("s")).collect()] == [repr(x) for x in said]
+
+
 def test_resplit_never_makes_cues_without_length(spark):
     """One silence near two bounds: the first takes it, the second stays; shares are laid on rounded bounds."""
     c = spark.createDataFrame([(1, 1, 0, 3000, "aaaa aaaa aaaa"), (1, 2, 4000, 4001, "x" * 9)], CUE)
