@@ -44,7 +44,7 @@ GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 #: Bits nearest a step, of which any two may differ; a query of fewer windows than SHORT tolerates any two of all 32.
 NEAR, SHORT = 8, 48
 #: Windows around a vote that are compared as well, and the share of their bits that may differ (by chance, half do).
-AROUND, LOOSE = (-6, -3, 3, 6), 0.375
+AROUND, LOOSE = (-12, -6, -3, 3, 6, 12), 0.3
 ONE = np.array([0, *(1 << k for k in range(32))], dtype=np.uint32)
 TWO = np.array([1 << a | 1 << b for a, b in combinations(range(32), 2)], dtype=np.uint32)
 
