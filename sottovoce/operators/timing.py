@@ -1,7 +1,7 @@
 """Timecodes: limits, merging, speech and shot suggestions, re-splitting, edits and span detection.
 
-What depends on the cue already changed before it (convergence, guarded application) runs as one small fold per
-file; everything else is a window, a range join within a file, or an aggregation.
+What depends on the cue already changed before it is in ``moves``; everything else is a window, a range join within
+a file, or an aggregation.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions.split import split_text
 from sottovoce.functions.text import trimmed, weighted_chars
+from sottovoce.operators.moves import apply_spotting, converge
 from sottovoce.operators.near import meeting
 
+__all__ = ["apply_spotting", "converge"]
 
 
 def by_start() -> WindowSpec:
@@ -59,73 +61,6 @@ def limits_of(profile: Mapping[str, Any], fps: float = 23.976) -> dict[str, Any]
     return {"least": duration.get("min"), "most": duration.get("max"), "gap": int(gap), "cps": (limits.get("reading_speed_cps") or {}).get("children" if profile.get("children") else "adult"), "wide": float(weights.get("cjk", 1.0)), "other": float(weights.get("other", 1.0))}
 
 
-CONVERGED = "file_id long, kind string, idx int, start_ms long, end_ms long, field string, before long, after long, reason string"
-
-
-def converge(cues: DataFrame, limits: Mapping[str, Any], rounds: int = 3) -> DataFrame:
-    """Cues moved into the limits, the changes made, and what stays unresolved: one table, told apart by ``kind``.
-
-    Each cue sees the cue before it as already changed, so a file is one fold; the weighted length that reading
-    speed needs is made before, as a column.
-    """
-    least, most, gap, cps = limits["least"], limits["most"], limits["gap"], limits["cps"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "idx"], kind="stable")
-        idx, s, e, n = pdf["idx"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["chars"].tolist()
-        log: list[tuple] = []
-
-        def move(i: int, field: str, value: float, reason: str) -> None:
-            side, value = (s if field == "start_ms" else e), int(round(value))
-            if side[i] != value:
-                log.append(("change", idx[i], None, None, field, side[i], value, reason))
-                side[i] = value
-
-        for _ in range(rounds):
-            had = len(log)
-            for i in range(len(idx)):
-                after = s[i + 1] if i + 1 < len(idx) else None
-                if after is not None and e[i] > after:
-                    move(i, "end_ms", after - gap, f"다음 자막(#{idx[i + 1]})과 겹쳐 아웃점을 당김")
-                if least and e[i] - s[i] < least:
-                    room = None if after is None else after - gap
-                    if room is None or s[i] + least <= room:
-                        move(i, "end_ms", s[i] + least, "최소 표시 시간 확보")
-                    else:
-                        start = max(e[i - 1] + gap if i else 0, e[i] - least)
-                        if room - start >= least:
-                            move(i, "start_ms", start, "최소 표시 시간 확보(인점 당김)")
-                            move(i, "end_ms", room, "최소 표시 시간 확보")
-                if after is not None and gap and 0 <= after - e[i] < gap and (not least or after - gap - s[i] >= least):
-                    move(i, "end_ms", after - gap, f"자막 간 간격 {gap}ms 확보")
-                if most and e[i] - s[i] > most:
-                    move(i, "end_ms", s[i] + most, "최대 표시 시간 초과")
-                if cps and (e[i] <= s[i] or n[i] / ((e[i] - s[i]) / 1000.0) > cps):
-                    end = s[i] + n[i] * 1000 / cps
-                    end = min(end, s[i] + most) if most else end
-                    end = min(end, after - gap) if after is not None else end
-                    if end > e[i]:
-                        move(i, "end_ms", end, "읽기 속도 확보")
-            if len(log) == had:
-                break
-        for i in range(len(idx)):
-            duration, after = e[i] - s[i], s[i + 1] if i + 1 < len(idx) else None
-            speed = n[i] / (duration / 1000.0) if duration > 0 else float("inf")
-            if least and duration < least:
-                log.append(("unresolved", idx[i], None, None, None, None, None, f"최소 표시 시간 {least}ms를 확보하지 못했습니다(현재 {duration}ms) — 앞뒤 자막과 병합을 검토하세요"))
-            if after is not None and e[i] > after:
-                log.append(("unresolved", idx[i], None, None, None, None, None, f"다음 자막(#{idx[i + 1]})과 여전히 겹칩니다"))
-            if cps and speed > cps:
-                log.append(("unresolved", idx[i], None, None, None, None, None, f"읽기 속도 {speed:.1f} CPS — 시간으로는 더 못 줄입니다. 글자를 줄이거나 자막을 나누세요"))
-        log += [("cue", *x, None, None, None, None) for x in zip(idx, s, e, strict=True)]
-        out = pd.DataFrame(log, columns=["kind", "idx", "start_ms", "end_ms", "field", "before", "after", "reason"]).astype({c: "Int64" for c in ("start_ms", "end_ms", "before", "after")})
-        out.insert(0, "file_id", key[0])
-        return out
-
-    sized = cues.select("file_id", "idx", "start_ms", "end_ms", weighted_chars(F.col("text"), limits["wide"], limits["other"]).alias("chars"))
-    return sized.groupBy("file_id").applyInPandas(run, CONVERGED)
-
-
 #: Fixed values, in frames: least and most lead before speech, after it, and what a loudness detector hears too late.
 LEADS = {"loudness": ((2, 3), (6, 9), 6), "vad": ((1, 2), (3, 4), 0)}
 
@@ -151,24 +86,6 @@ def spotting_suggestions(cues: DataFrame, speech: DataFrame, fps: float = 23.976
     return near.select("file_id", "idx", F.explode(F.filter(F.array(none, first, second), lambda x: x.isNotNull())).alias("s")).select("file_id", "idx", "s.*")
 
 
-def apply_spotting(cues: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Suggestions in the order of cue starts, each taken only if it does not cross a neighbour as that stands by then."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "idx"], kind="stable").reset_index(drop=True)
-        s, e = pdf["start_ms"].tolist(), pdf["end_ms"].tolist()
-        for i, (a, b) in enumerate(zip(pdf["want_start"], pdf["want_end"], strict=True)):
-            if pd.notna(a) and a != pdf["start_ms"][i] and (e[i - 1] if i else 0) <= a < e[i]:
-                s[i] = int(a)
-            if pd.notna(b) and b != pdf["end_ms"][i] and s[i] < b <= (s[i + 1] if i + 1 < len(s) else b + 1):
-                e[i] = int(b)
-        return pd.DataFrame({"file_id": key[0], "idx": pdf["idx"], "start_ms": s, "end_ms": e})
-
-    want = suggestions.groupBy("file_id", "idx").agg(F.max(F.when(F.col("field") == "start_ms", F.col("suggested"))).alias("want_start"), F.max(F.when(F.col("field") == "end_ms", F.col("suggested"))).alias("want_end"))
-    joined = cues.select("file_id", "idx", "start_ms", "end_ms").join(want, ["file_id", "idx"], "left")
-    return joined.groupBy("file_id").applyInPandas(run, "file_id long, idx int, start_ms long, end_ms long")
-
-
 def shot_change_suggestions(cues: DataFrame, shots: DataFrame, fps: float = 23.976, clearance_ms: int = 500) -> DataFrame:
     """The first shot, in list order, that an edge touches (quiet) or misses by less than the clearance (snap)."""
     frame = 1000.0 / fps
