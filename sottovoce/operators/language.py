@@ -239,16 +239,20 @@ def proper_nouns(cues: DataFrame, common: list[str]) -> DataFrame:
     return named.groupBy("file_id", "term").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
 
 
+#: Words that show the kind of a note, the narrowest kind first, and its explicit tags.
+TIMECODE_WORDS = ["인점", "아웃점", "타임코드", "스파팅", "스포팅", "최소시간", "간격", "프레임", "칸 정도", "자막이 끊기", "합치", "나누어", "타이틀로 칩니다", "듀레이션"]
+NOTATION_WORDS = ["표기", "맞춤법", "띄어쓰기", "붙여 써", "붙여 씁", "고유명사", "숫자", "지명", "말줄임표", "따옴표", "물음표", "느낌표", "쉼표", "마침표", "하이픈", "달러", "단위"]
+TRANSLATION_WORDS = ["오역", "윤문", "의미", "번역", "말투", "어미", "존대", "반말", "직역", "자연스럽", "문장", "대사"]
+NOTE_TAGS = {"오역": "translation", "윤문": "translation", "표기": "notation", "맞춤법": "notation", "스포팅": "timecode", "기타": "other"}
+
+
 def bookmark_kind(text: Column) -> Column:
     """An explicit tag wins; else the first list of words that fits, the narrowest first."""
-    tag = F.regexp_extract(text, "<(오역|윤문|표기|맞춤법|스포팅|기타)>", 1)
-    return (
-        F.when(tag.isin("오역", "윤문"), "translation").when(tag.isin("표기", "맞춤법"), "notation").when(tag == "스포팅", "timecode").when(tag == "기타", "other")
-        .when(text.rlike("인점|아웃점|타임코드|스파팅|스포팅|최소시간|간격|프레임|칸 정도|자막이 끊기|합치|나누어|타이틀로 칩니다|듀레이션"), "timecode")
-        .when(text.rlike("표기|맞춤법|띄어쓰기|붙여 써|붙여 씁|고유명사|숫자|지명|말줄임표|따옴표|물음표|느낌표|쉼표|마침표|하이픈|달러|단위"), "notation")
-        .when(text.rlike("오역|윤문|의미|번역|말투|어미|존대|반말|직역|자연스럽|문장|대사"), "translation")
-        .otherwise("other")
-    )
+    tag = F.regexp_extract(text, "<(" + "|".join(NOTE_TAGS) + ")>", 1)
+    tagged = F.element_at(F.create_map(*[F.lit(x) for kv in NOTE_TAGS.items() for x in kv]), tag)
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    by_words = F.when(holds(TIMECODE_WORDS), "timecode").when(holds(NOTATION_WORDS), "notation").when(holds(TRANSLATION_WORDS), "translation").otherwise("other")
+    return F.coalesce(tagged, by_words)
 
 
 def title_links(links: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sottovoce.operators import checks, files, fixes, language, timing, tracks
+from sottovoce.operators import checks, files, fixes, language, names, proofread, reference_data, timing, tracks
 
 
 def lint_job(cues: DataFrame, profile: Mapping[str, Any], cast: DataFrame | None = None, job: Mapping[str, Any] | None = None) -> DataFrame:
@@ -34,6 +34,12 @@ def correct_and_check(cues: DataFrame, profile: Mapping[str, Any], proofread: Ca
     return fixed, lint_job(fixed, profile)
 
 
+def proofread_job(cues: DataFrame, correct: proofread.Corrector) -> tuple[DataFrame, DataFrame]:
+    """(cues with the corrected dialogue, findings K01 and K02) of a caller's corrector."""
+    answered = proofread.corrected(cues, correct)
+    return proofread.rebuild(cues, answered.filter("before <> after")), proofread.proofread_findings(answered)
+
+
 def corpus_job(all_tracks: DataFrame, source_lang: str, target_lang: str, limits: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
     """Pairs, statistics, flags and evidence from (file_id, track, lang, kind, idx, start_ms, end_ms, text); of one language's tracks a plain one goes before a descriptive one."""
     rank = F.dense_rank().over(Window.partitionBy("file_id", "lang").orderBy((F.col("kind") == "sdh").cast("int"), "track"))
@@ -96,3 +102,38 @@ def preferred_speech(spans: DataFrame) -> DataFrame:
     """Speech spans of a model where a file has them, else those of loudness."""
     best = Window.partitionBy("file_id")
     return spans.withColumn("best", F.min(F.when(F.col("method") == "vad", 0).otherwise(1)).over(best)).filter((F.col("best") == 1) | (F.col("method") == "vad")).drop("best")
+
+
+def spot_job(cues: DataFrame, spans: DataFrame, shots: DataFrame | None = None, fps: float = 23.976, apply: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cues, suggestions): speech of the better detector, spotting and shot changes, and what of it is safe, taken if asked for.
+
+    ``spans`` has a column ``method``, vad or loudness; each detector has its own leads. Shots are given where the
+    profile asks for them.
+    """
+    chosen = preferred_speech(spans)
+    heard = {m: chosen.filter(F.col("method") == m).drop("method") for m in ("vad", "loudness")}
+    of = {m: cues.join(heard["vad"], "file_id", how) for m, how in (("vad", "left_semi"), ("loudness", "left_anti"))}
+    parts = [timing.spotting_suggestions(of[m], heard[m], fps, detector=m) for m in heard]
+    found = parts[0].unionByName(parts[1]).withColumn("by", F.lit("speech"))
+    if shots is not None:
+        found = found.unionByName(timing.shot_change_suggestions(cues, shots, fps).withColumn("by", F.lit("shot")))
+    if not apply:
+        return cues, found
+    moved = timing.apply_spotting(cues, found.filter("by = 'speech'"))
+    return cues.drop("start_ms", "end_ms").join(moved, ["file_id", "idx"]), found
+
+
+def terms_job(cues: DataFrame, glossary: DataFrame, dictionary: DataFrame, links: DataFrame, min_count: int = 1) -> DataFrame:
+    """Terms of all files with their spelling and where it comes from, ready for ``write_tsv``."""
+    terms = names.term_extract(cues, min_count)
+    known = language.term_research(terms.select("term").distinct(), glossary, dictionary, links)
+    return terms.join(known, "term")
+
+
+def cast_job(cues: DataFrame, pages: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Speakers with their levels, who names whom, and dialogue without a speaker; descriptions where pages are given."""
+    people = names.cast_profile(cues)
+    out = {"people": people, "relations": names.cross_reference(cues), "untagged": names.untagged_dialogue(cues)}
+    if pages is not None:
+        out["described"] = reference_data.cast_research(people.select(F.col("label").alias("name"), F.lit(None).cast("string").alias("description")).distinct(), pages)
+    return out

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 KINDS = ("sdh", "translation", "template", "common")
+CHECKING = ("sdh", "translation")
 HEADER = ("platform", "kind", "status", "source")
 #: Keys that belong to sound description alone.
 SDH_ONLY = ("sound_effect", "speaker_id", "music")
@@ -58,6 +59,10 @@ def validated(profile: Mapping[str, Any]) -> Mapping[str, Any]:
         raise ProfileError("unknown schema version")
     if profile["kind"] not in KINDS:
         raise ProfileError(f"unknown kind {profile['kind']}")
+    if profile["kind"] not in CHECKING:
+        raise ProfileError(f"cues are not checked by a profile of kind {profile['kind']}")
+    if not (isinstance(profile["source"], Mapping) and (profile["source"].get("official") or profile["source"].get("client"))):
+        raise ProfileError("the source is neither an official document nor a client")
     if profile["status"] != "complete":
         raise ProfileError("the profile is not complete")
     if profile["kind"] == "translation" and (bad := [k for k in SDH_ONLY if k in profile]):
@@ -65,6 +70,31 @@ def validated(profile: Mapping[str, Any]) -> Mapping[str, Any]:
     return profile
 
 
+def with_genre(profile: Mapping[str, Any], name: str | None, genres: Mapping[str, Mapping[str, Any]]) -> dict[str, Any]:
+    """The profile with a genre's part over it. The genre's source stands beside the profile's, not in its place."""
+    if not name:
+        return dict(profile)
+    if name not in genres:
+        raise ProfileError(f"no genre {name}; there are {', '.join(sorted(genres))}")
+    part = {k: v for k, v in genres[name].items() if k not in ("source", "schema_version", "label")}
+    source = genres[name].get("source")
+    return {**merge(profile, part), "genre": part.get("genre", name), **({"genre_source": source} if source else {})}
+
+
+def recommended_ms(profile: Mapping[str, Any]) -> tuple[int | None, int | None]:
+    """Shortest and longest recommended duration of a profile's genre."""
+    low, high = (profile.get("spotting") or {}).get("recommended_ms") or (None, None)
+    return low, high
+
+
+#: Recommended durations of the genres, and whether they forbid the plain form of address.
+GENRES: dict[str, Any] = {
+    "documentary": {"genre": "documentary", "source": {"client": "practice"}, "spotting": {"recommended_ms": [3000, 5000]}, "address": {"forbid_ssi": True}},
+    "drama": {"genre": "drama", "source": {"client": "practice"}, "spotting": {"recommended_ms": [2000, 3000]}, "address": {"forbid_ssi": False}},
+    "variety": {"genre": "variety", "source": {"client": "practice"}, "spotting": {"recommended_ms": [None, 2000]}, "address": {"forbid_ssi": True}},
+}
+
+
 def rules_table(spark: SparkSession, profiles: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """(profile, pos, rule_id, clause, check, auto, message): one row for each check that a rule names."""
     rows = []

@@ -27,8 +27,8 @@ def converge_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def converge_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unresolved part of a run of no rounds is what a window over the cues as they are gives."""
-    left = timing.converge(cues(spark, sf_dir), timing.limits_of(FULL), rounds=0).filter("kind = 'unresolved'")
+    """How many limits each cue still misses after the rounds."""
+    left = timing.converge(cues(spark, sf_dir), timing.limits_of(FULL)).filter("kind = 'unresolved'")
     return left.groupBy("file_id", "idx").agg(F.count("*").alias("n"))
 
 
@@ -120,7 +120,6 @@ ORACLE = {
         m(file_id, rn, g, s, e) as (select file_id, rn, 1, start_ms, end_ms from o where rn = 1 union all
           select o.file_id, o.rn, case when j then g else g + 1 end, case when j then m.s else o.start_ms end, o.end_ms from (select m.*, o2.start_ms as ns, o2.end_ms as ne, (o2.start_ms - m.e between 0 and 250 and o2.end_ms - m.s <= 9000) as j from m join o o2 on o2.file_id = m.file_id and o2.rn = m.rn + 1) m join o on o.file_id = m.file_id and o.rn = m.rn + 1)
         select m.file_id, m.g::int as idx, min(o.start_ms) as start_ms, arg_max(o.end_ms, o.rn) as end_ms, trim(string_agg(o.text, ' ' order by o.rn)) as text from m join o on o.file_id = m.file_id and o.rn = m.rn group by m.file_id, m.g""",
-    "converge_unresolved": f"with {CUES_SQL}, w as (select *, end_ms - start_ms as dur, lead(start_ms) over (partition by file_id order by start_ms, idx) as nx from cues), u as (select file_id, idx, (case when dur < 833 then 1 else 0 end) + (case when end_ms > nx then 1 else 0 end) + (case when dur <= 0 or {{}} / (dur / 1000.0) > 14 then 1 else 0 end) as n from w) select file_id, idx, n::bigint as n from u where n > 0",
     "spotting_suggestions": f"""with {CUES_SQL}, {SPEECH_SQL}, c as (select *, lead(start_ms) over (partition by file_id order by start_ms, idx) as nx from cues),
         v as (select c.file_id, c.idx, c.start_ms, c.end_ms, nx, min(s.start_ms) as voice, max(s.end_ms) as q0 from c left join speech s on s.file_id = c.file_id and s.end_ms > c.start_ms and s.start_ms < c.end_ms group by 1, 2, 3, 4, 5),
         w as (select *, voice - 3 * {_FRAME} as wi, least(least(q0, coalesce(nx, q0)) + 12 * {_FRAME}, coalesce(nx::double, 1e18)) as wo from v)
@@ -152,4 +151,38 @@ ORACLE = {
         h as (select s.media_id, i, i - row_number() over (partition by s.media_id order by i) as g from signal s join d on s.media_id = d.media_id where p > mid + 1.0 * case when mad = 0 then 1.0 else mad end) select media_id, (min(i) * 32)::bigint as start_ms, ((max(i) + 1) * 32)::bigint as end_ms from h group by media_id, g""",
     "waveform_peaks": f"with {SIGNAL_SQL} select media_id, (i // 128)::bigint as block, min(p)::double as low, max(p)::double as high from signal group by media_id, i // 128 having count(*) = 128",
 }
-ORACLE["converge_unresolved"] = ORACLE["converge_unresolved"].replace("{}", _wc("text"))
+
+
+def _converged() -> str:
+    """Rounds of the limits of the sample profile (833 to 7,000 ms, 83 ms apart, 14 characters a second), cue by cue where one is squeezed."""
+    steps = [f"r0 as (select file_id, (row_number() over (partition by file_id order by start_ms, idx))::int as pos, idx, start_ms as s, end_ms as e, {_wc('text')}::double as n from cues)"]
+    for i in (1, 2, 3):
+        want = "least(s1 + n * 1000 / 14.0::double, (s1 + 7000)::double, coalesce(edge::double, 1e18::double))"
+
+        def one(source: str) -> str:
+            pull = f"select *, case when squeezed and edge - greatest(coalesce(p + 83, 0), cut - 833) >= 833 then greatest(coalesce(p + 83, 0), cut - 833) end as pull from ({source})"
+            first = f"select *, coalesce(pull, s) as s1, case when pull is not null then edge else held end as e1 from ({pull})"
+            apart = f"select *, case when e1 > edge and e1 <= edge + 83 and edge - s1 >= 833 then edge else e1 end as e2 from ({first})"
+            capped = f"select *, least(e2, s1 + 7000) as e3 from ({apart})"
+            return f"select file_id, pos, idx, n, s, e, next_idx, cut, s1, e1, e2, e3, case when (e3 <= s1 or n / ((e3 - s1) / 1000.0::double) > 14) and {want} > e3 then round_even({want}, 0)::bigint else e3 end as e4 from ({capped})"
+
+        steps += [
+            f"w{i} as (select *, lead(s) over f - 83 as edge, lead(idx) over f as next_idx from r{i - 1} window f as (partition by file_id order by pos))",
+            f"c{i} as (select *, case when e > edge + 83 then edge else e end as cut from w{i})",
+            f"h{i} as (select *, coalesce(cut - s < 833 and s + 833 > edge, false) as squeezed, case when cut - s < 833 and not coalesce(s + 833 > edge, false) then s + 833 else cut end as held from c{i})",
+            f"g{i} as ({one(f'select *, null::bigint as p from h{i} where not squeezed or pos = 1')} union all {one(f'select h{i}.*, g{i}.e4 as p from g{i} join h{i} on h{i}.file_id = g{i}.file_id and h{i}.pos = g{i}.pos + 1 and h{i}.squeezed')})",
+            f"r{i} as (select file_id, pos, idx, s1 as s, e4 as e, n from g{i})",
+        ]
+    return f"with recursive {CUES_SQL}, {', '.join(steps)}, last as (select *, lead(s) over f as next_s, lead(idx) over f as next_idx, e - s as d, case when e > s then n / ((e - s) / 1000.0::double) else 'inf'::double end as v from r3 window f as (partition by file_id order by pos))"
+
+
+def _changes() -> str:
+    moves = [("end_ms", "e", "cut", "'다음 자막(#' || next_idx || ')과 겹쳐 아웃점을 당김'"), ("start_ms", "s", "s1", "'최소 표시 시간 확보(인점 당김)'"), ("end_ms", "cut", "e1", "'최소 표시 시간 확보'"), ("end_ms", "e1", "e2", "'자막 간 간격 83ms 확보'"), ("end_ms", "e2", "e3", "'최대 표시 시간 초과'"), ("end_ms", "e3", "e4", "'읽기 속도 확보'")]
+    return " union all ".join(f"select file_id, 'change', idx, null, null, '{field}', {was}, {now}, {why} from g{i} where {was} <> {now}" for i in (1, 2, 3) for field, was, now, why in moves)
+
+
+_LEFT = """select file_id, 'unresolved', idx, null, null, null, null, null, '최소 표시 시간 833ms를 확보하지 못했습니다(현재 ' || d || 'ms) — 앞뒤 자막과 병합을 검토하세요' from last where d < 833
+        union all select file_id, 'unresolved', idx, null, null, null, null, null, '다음 자막(#' || next_idx || ')과 여전히 겹칩니다' from last where e > next_s
+        union all select file_id, 'unresolved', idx, null, null, null, null, null, '읽기 속도 ' || printf('%.1f', v) || ' CPS — 시간으로는 더 못 줄입니다. 글자를 줄이거나 자막을 나누세요' from last where v > 14"""
+ORACLE["converge_timing"] = f"{_converged()} select file_id, 'cue' as kind, idx, s as start_ms, e as end_ms, null::varchar as field, null::bigint as before, null::bigint as after, null::varchar as reason from last union all {_changes()} union all {_LEFT}"
+ORACLE["converge_unresolved"] = f"{_converged()}, u as (select file_id, idx, (case when d < 833 then 1 else 0 end) + (case when e > next_s then 1 else 0 end) + (case when v > 14 then 1 else 0 end) as n from last) select file_id, idx, n::bigint as n from u where n > 0"

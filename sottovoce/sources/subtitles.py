@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -199,6 +199,27 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("확인 필요")).alias(c) for c in df.columns]).write.option("sep", "\t").option("header", "true").csv(path)
 
 
+def read_cast_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated sheet, its columns found by name, as (speaker, tone)."""
+    return clean_cast(spark.read.option("sep", "\t").option("header", "true").csv(path))
+
+
+def list_subtitle_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path): subtitle files of a folder and of the folders right in it, in any case of the ending, without ``*.fixed.srt``."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    parts = lambda p: F.size(F.filter(F.split(F.regexp_replace(p, r"^[a-z0-9]+:/+", ""), "/"), lambda x: x != ""))
+    deep = parts(F.col("path")) - parts(F.lit(folder))
+    return found.filter(F.lower("path").rlike(r"\.(srt|vtt)$") & ~F.endswith(F.lower("path"), F.lit(".fixed.srt")) & (deep <= 2))
+
+
+def write_json(tables: Mapping[str, DataFrame], path: str, by: str | None = None) -> None:
+    """Each table as JSON lines under its name, in folders by ``by`` where it is given: the pairs, flags and statistics of
+    a corpus by title, notes, or an evaluation's pairs beside its one-row summary."""
+    for name, df in tables.items():
+        writer = df.write.partitionBy(by) if by and by in df.columns else df.write
+        writer.json(f"{path.rstrip('/')}/{name}")
+
+
 class StageStore:
     """Stages of a work as Parquet by step, beside a log of steps; nothing is overwritten."""
 

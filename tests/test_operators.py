@@ -88,14 +88,14 @@ def test_check_after_fix_and_unfixable_names(spark):
 
 
 def test_profiles_merge_and_refuse():
-    base = {"schema_version": 1, "platform": "p", "kind": "common", "status": "complete", "source": "s", "limits": {"a": 1, "b": 2}, "rules": [{"id": "R1", "check": "x"}, {"id": "R2", "check": "y"}]}
+    base = {"schema_version": 1, "platform": "p", "kind": "common", "status": "complete", "source": {"client": "s"}, "limits": {"a": 1, "b": 2}, "rules": [{"id": "R1", "check": "x"}, {"id": "R2", "check": "y"}]}
     child = {**base, "kind": "sdh", "extends": "base", "limits": {"b": 3}, "rules": [{"id": "R1", "check": "z"}], "disable_rules": ["R2"]}
     out = profiles.resolve("child", {"base": base, "child": child})
     assert out["limits"] == {"a": 1, "b": 3} and [r["check"] for r in out["rules"]] == ["z"]
     profiles.validated(out)
     with pytest.raises(profiles.ProfileError):
         profiles.resolve("a", {"a": {**base, "extends": "b"}, "b": {**base, "extends": "a"}})
-    for broken in ({"status": "draft"}, {"schema_version": 2}, {"kind": "translation", "music": {}}, {"source": None}):
+    for broken in ({"status": "draft"}, {"schema_version": 2}, {"kind": "translation", "music": {}}, {"source": None}, {"source": {"note": "x"}}, {"kind": "template"}, {"kind": "common"}):
         with pytest.raises(profiles.ProfileError):
             profiles.validated({**out, **broken})
 
