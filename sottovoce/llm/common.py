@@ -6,6 +6,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,13 @@ def batches_of(spark: SparkSession, n: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, was)
+
+
+def blocks_of(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose values in ``column`` have at most ``size`` bytes together, or one row."""
+    sums = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(sums, sums[low] + size, side="right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
