@@ -19,10 +19,30 @@ def similarity(a: str, b: str) -> float:
 
 
 def token_similarity(a: Column, b: Column) -> Column:
-    """``similarity`` in Arrow batches."""
+    """``similarity`` in Arrow batches, null where ``a`` is; a text's words are made once in a batch."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(p, q) for p, q in zip(x, y, strict=True)])
+        words: dict[str, list[str]] = {}
+        matcher, second = SequenceMatcher(None), None
+
+        def of(text: str) -> list[str]:
+            if text not in words:
+                words[text] = _WORDS.findall(text.lower())
+            return words[text]
+
+        def one(p: str | None, q: str | None) -> float | None:
+            nonlocal second
+            if p is None or q is None:
+                return None
+            if not of(p) or not of(q):
+                return 0.0
+            if q != second:
+                matcher.set_seq2(of(q))
+                second = q
+            matcher.set_seq1(of(p))
+            return matcher.ratio()
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return ratio(a, b)

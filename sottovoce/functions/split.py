@@ -1,29 +1,61 @@
-"""Where to cut a text that is too long for a cue."""
+"""Where to cut a text that is too long for a cue.
+
+Every run of white space is a place to cut, better or worse by the word before it. The lengths of all heads are summed
+once, so a piece's choice is among the places that its capacity reaches.
+"""
 
 import re
 
+import numpy as np
+
 from sottovoce.functions.text import TAGS, WIDE
 
+#: Marks after which a sentence ends, and marks and endings after which a clause ends.
+SENTENCE_MARKS = ".?!。？！"
+CLAUSE_MARKS = ",;、"
+CLAUSE_ENDINGS = ("고", "며", "는데", "지만", "면서", "다가", "거나")
+
+_TAG, _WIDE = re.compile(TAGS), re.compile(f"[{WIDE}]")
+
+
+def _lengths(text: str, wide: float, other: float) -> np.ndarray:
+    """Weighted length of every head of the text; markup and line breaks have none."""
+    each = np.array([0.0 if c in "\r\n" else wide if _WIDE.match(c) else other for c in text])
+    for tag in _TAG.finditer(text):
+        each[tag.start() : tag.end()] = 0.0
+    return np.concatenate([[0.0], np.cumsum(each)])
 
-def _cuts(text: str) -> list[int]:
-    """Places to cut: after sentence ends, else after clause ends, else at blanks; nearest to the middle first."""
-    middle, out = len(text) / 2, []
-    for pattern in (r"(?<=[.!?…])\s+", r"(?<=[,;:])\s+", r"\s+"):
-        out += sorted((m.start() for m in re.finditer(pattern, text)), key=lambda p: abs(p - middle))
-    return list(dict.fromkeys(out))
 
+def _places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first blank, first character after, rank) of the places within the text: 0 after a sentence, 1 after a clause, 2 elsewhere."""
+    found = [(m.start(), m.end()) for m in re.finditer(r"\s+", text)]
+    at, after = (np.array([f[k] for f in found], dtype=np.int64) for k in (0, 1))
+    rank = [0 if text[a - 1] in SENTENCE_MARKS else 1 if text[a - 1] in CLAUSE_MARKS or text.endswith(CLAUSE_ENDINGS, 0, a) else 2 for a in at.tolist()]
+    return at, after, np.array(rank, dtype=np.int64)
 
-def split_text(text: str, capacity: float, wide: float, other: float) -> list[str]:
-    def size(x: str) -> float:
-        plain = re.sub(TAGS + r"|[\r\n]", "", x)
-        rest = re.sub(f"[{WIDE}]", "", plain)
-        return (len(plain) - len(rest)) * wide + len(rest) * other
 
-    done, text = [], text.strip()
-    while text and size(text) > capacity:
-        cut = next((p for p in _cuts(text) if text[:p].strip() and text[p:].strip() and size(text[:p].strip()) <= capacity), None)
-        if cut is None:
+def pieces(text: str, capacity: float, wide: float = 1.0, other: float = 1.0) -> list[str]:
+    """A text in pieces of at most the capacity: of the places in reach the best rank, then the nearest to the middle of
+    what is left; what no place divides stays whole. Markup with a blank in it is measured piece by piece."""
+    text = text.strip()
+    if not text:
+        return []
+    heads, (at, after, rank) = _lengths(text, wide, other), _places(text)
+    # Sums of other weights than these depend on where they begin.
+    torn = any(re.search(r"\s", tag) for tag in _TAG.findall(text)) or (1024 * wide) % 1 > 0 or (1024 * other) % 1 > 0
+    length = (lambda a, b: _lengths(text[a:b], wide, other)[-1]) if torn else (lambda a, b: heads[b] - heads[a])
+    out, start = [], 0
+    while length(start, len(text)) > capacity:
+        low = int(np.searchsorted(at, start, side="right"))
+        if torn:
+            reach = np.array([k for k in range(low, len(at)) if length(start, at[k]) <= capacity], dtype=np.int64)
+        else:
+            reach = np.arange(low, np.searchsorted(heads[at], heads[start] + capacity, side="right"))
+        if not len(reach):
             break
-        done.append(text[:cut].strip())
-        text = text[cut:].strip()
-    return [*done, text] if text else done
+        # Doubled, so that the middle is a whole number.
+        off = np.abs(2 * (at[reach] - start) - (len(text) - start))
+        best = reach[np.lexsort((at[reach], off, rank[reach]))[0]]
+        out.append(text[start : at[best]])
+        start = int(after[best])
+    return [*out, text[start:]]

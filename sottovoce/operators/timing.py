@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sottovoce.functions.split import split_text
+from sottovoce.functions.split import pieces as pieces_of
 from sottovoce.functions.text import trimmed, weighted_chars
 from sottovoce.operators.moves import apply_spotting, converge
 from sottovoce.operators.near import meeting
@@ -115,11 +115,12 @@ def resplit_cues(cues: DataFrame, profile: Mapping[str, Any], speech: DataFrame
 
     @F.pandas_udf("array<string>")
     def pieces(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_text(t, capacity, wide, other))
+        return text.map(lambda t: pieces_of(t, capacity, wide, other) if t is not None else None)
 
-    whole = F.array(F.col("text"))
-    cut = F.when(weighted_chars(F.col("text"), wide, other) > capacity, pieces("text")).otherwise(whole)
-    split = cues.select("file_id", F.col("idx").alias("origin_idx"), "start_ms", "end_ms", cut.alias("pieces"))
+    # Most cues are short whatever they hold; only long ones are measured, and only their texts go to Python.
+    long = (F.length("text") * max(wide, other) > capacity) & (weighted_chars(F.col("text"), wide, other) > capacity)
+    cut = cues.select("file_id", F.col("idx").alias("origin_idx"), "start_ms", "end_ms", "text", pieces(F.when(long, F.col("text"))).alias("cut"))
+    split = cut.select("file_id", "origin_idx", "start_ms", "end_ms", F.when(F.size("cut") > 1, F.col("cut")).otherwise(F.array("text")).alias("pieces"))
     sizes = F.transform("pieces", lambda p: F.greatest(weighted_chars(p, wide, other), F.lit(0.5)))
     split = split.select("*", sizes.alias("sizes"), F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x).alias("total"))
     # Each bound is rounded before the next share is laid on it; the last piece ends with the cue.

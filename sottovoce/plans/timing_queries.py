@@ -108,6 +108,9 @@ _ACT = """act0 as (select media_id, i, lag(i) over (partition by media_id order
 act1 as (select *, sum(case when was is null or (i - was - 1) * 32 >= 250 then 1 else 0 end) over (partition by media_id order by i) as g from act0),
 act as (select media_id, min(i) * 32 as start_ms, (max(i) + 1) * 32 as end_ms from act1 group by media_id, g having (max(i) + 1 - min(i)) * 32 >= 120)"""
 
+#: Ends of sentences and clauses, as in the operator.
+_RANK = r"case when regexp_matches(w, '[.?!。？！]$') then 0 when regexp_matches(w, '([,;、]|고|며|는데|지만|면서|다가|거나)$') then 1 else 2 end"
+
 
 def _wc(x: str) -> str:
     from sottovoce.plans.check_queries import wc
@@ -115,7 +118,30 @@ def _wc(x: str) -> str:
     return wc(x)
 
 
+def _resplit(capacity: int = 16, tolerance_ms: int = 400) -> str:
+    head = "list_sum(list_transform(w[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(b[1:i - 1], lambda x: length(x))), 0)"
+    return rf"""with recursive {CUES_SQL}, {SPEECH_SQL},
+cut(file_id, origin_idx, k, rest, piece) as (select file_id, idx, 0, regexp_replace(text, '^\s+|\s+$', '', 'g'), null::varchar from cues where {_wc('text')} > {capacity} union all
+  select file_id, origin_idx, k + 1, regexp_replace(substr(rest, spot::bigint + 1), '^\s+', ''), coalesce(left(rest, spot::bigint), rest) from
+    (select *, list_sort(list_transform(list_filter(places, lambda c: {_wc('left(rest, c.p::bigint)')} <= {capacity}), lambda c: {{'r': c.r, 'off': abs(2 * c.p - length(rest)), 'p': c.p}}))[1].p as spot from
+      (select *, case when {_wc('rest')} > {capacity} then list_transform(range(1, len(b) + 1), lambda i: {{'p': {head}, 'r': {_RANK.replace('(w,', '(w[i],')}}}) end as places from
+        (select *, regexp_extract_all(rest, '\S+') as w, regexp_extract_all(rest, '\s+') as b from cut where rest is not null)))),
+pc as (select file_id, origin_idx, k, piece, count(*) over c as n, greatest({_wc('piece')}, 0.5) as size, sum(greatest({_wc('piece')}, 0.5)) over c as total from cut where k > 0 window c as (partition by file_id, origin_idx)),
+pt as (select p.*, c.start_ms, c.end_ms from pc p join cues c on p.file_id = c.file_id and p.origin_idx = c.idx where n > 1),
+bd(file_id, origin_idx, k, bound) as (select file_id, origin_idx, 0, start_ms from pt where k = 1 union all
+  select p.file_id, p.origin_idx, p.k, case when p.k = n then p.end_ms else round_even(bound + (p.end_ms - p.start_ms) * size / total, 0)::bigint end from bd join pt p on p.file_id = bd.file_id and p.origin_idx = bd.origin_idx and p.k = bd.k + 1),
+q as (select file_id, a, floor((a + b) / 2.0)::bigint as middle from (select file_id, end_ms as a, lead(start_ms) over (partition by file_id order by start_ms, end_ms) as b from speech) where b is not null),
+near as (select bd.file_id, origin_idx, k, min({{'d': abs(middle - bound), 'a': a, 'm': middle}}).m as silence from bd join q on bd.file_id = q.file_id and middle between bound - {tolerance_ms} and bound + {tolerance_ms} group by all),
+bn as (select bd.*, silence, lead(bound) over (partition by bd.file_id, bd.origin_idx order by k) as following from bd left join near using (file_id, origin_idx, k)),
+mv(file_id, origin_idx, k, moved) as (select file_id, origin_idx, 0, bound from bn where k = 0 union all
+  select b.file_id, b.origin_idx, b.k, case when silence > moved and silence < following then silence else bound end from mv join bn b on b.file_id = mv.file_id and b.origin_idx = mv.origin_idx and b.k = mv.k + 1),
+parts as (select p.file_id, p.origin_idx, p.k, x.moved as start_ms, y.moved as end_ms, piece as text from pt p join mv x on x.file_id = p.file_id and x.origin_idx = p.origin_idx and x.k = p.k - 1 join mv y on y.file_id = p.file_id and y.origin_idx = p.origin_idx and y.k = p.k
+  union all select file_id, idx, 1, start_ms, end_ms, text from cues c where not exists (select 1 from pt where pt.file_id = c.file_id and pt.origin_idx = c.idx))
+select file_id, (row_number() over (partition by file_id order by origin_idx, k))::int as idx, origin_idx, start_ms, end_ms, text from parts"""
+
+
 ORACLE = {
+    "resplit_cues": _resplit(),
     "merge_fragments": f"""with recursive {CUES_SQL}, o as (select *, row_number() over (partition by file_id order by idx) as rn from cues),
         m(file_id, rn, g, s, e) as (select file_id, rn, 1, start_ms, end_ms from o where rn = 1 union all
           select o.file_id, o.rn, case when j then g else g + 1 end, case when j then m.s else o.start_ms end, o.end_ms from (select m.*, o2.start_ms as ns, o2.end_ms as ne, (o2.start_ms - m.e between 0 and 250 and o2.end_ms - m.s <= 9000) as j from m join o o2 on o2.file_id = m.file_id and o2.rn = m.rn + 1) m join o on o.file_id = m.file_id and o.rn = m.rn + 1)

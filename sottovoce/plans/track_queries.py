@@ -85,7 +85,7 @@ r as (select *, max(end_ms) over (partition by file_id, flat order by start_ms,
 g as (select *, sum(case when reach is null or start_ms >= reach or flat then 1 else 0 end) over (partition by file_id, flat order by start_ms, side, idx rows unbounded preceding) as g from r),
 pr as (select file_id, min(start_ms) as start_ms, max(end_ms) as end_ms, coalesce(string_agg(text, chr(10) order by start_ms, idx) filter (side = 0), '') as source, coalesce(string_agg(text, chr(10) order by start_ms, idx) filter (side = 1), '') as target, count(*) filter (side = 0) as n_source, count(*) filter (side = 1) as n_target from g group by file_id, flat, g)"""
 _DIFF = f"with {CUES_SQL}, {CUES_B_SQL}, df as (select c.file_id, c.idx, c.start_ms - b.start_ms as start_diff, c.end_ms - b.end_ms as end_diff from cues c join cues_b b on c.file_id = b.file_id and c.idx = b.idx)"
-_BARE = rf"trim(array_to_string(list_transform(string_split(regexp_replace(text, '{TAGS}', '', 'g'), chr(10)), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^[\[(][^\])]{{0,20}}[\])]\s*', ''), '^-\s*', ''))), chr(10)))"
+_BARE = rf"regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '{TAGS}', '', 'g'), chr(10)), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^[\[(][^\])]{{0,20}}[\])]\s*', ''), '^-\s*', ''))), chr(10)), '^\s+|\s+$', '', 'g')"
 
 
 def _measured(size: Callable[[str], str]) -> str:

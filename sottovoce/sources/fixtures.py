@@ -1,15 +1,26 @@
 """Cue tables derived by rule from the driver's tables, with integer arithmetic only.
 
-A line too long for a cue is cut into successive cues, so every character of every text is in one; turns are whole.
+A line too long for a cue is cut into successive cues, so every character of every text is in one, and defects are put
+before or after a text, not in its place; turns are whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Longest cue, in code points, before defects are planted.
 LONGEST = 60
+#: What defects put before and after a text, by number: none, 15 by the cue's place, the label's other form, and the rarer ones.
+FREQUENT = [
+    ("[김 경위] ", ""), ("[문이 쾅 닫히는 소리] ", ""), ("♪", " ♪"), ("", "..."), ("-", ""), ("3천 불을 ", ""), ("아홉 시에 ", ""), ("열다섯 명 ", ""), ("<i>", "</i>"), ("민수: ", ""), ("(철수) [작게] ", ""),
+    ("", ""), ("그러나, ", " ~"), ("J.F.K. ", "?!"), ('"', '"'),
+]
+RARE = [
+    ("", ""), ("— ", ""), ("[", ""), ("♪ la la ♪\n", ""), ("[잔잔한 음악] ", ""), ("5㎏ ", ""), ("", " [탁 소리]"), ("[쾅\n소리] ", ""), ("[철수와 영희] ", ""), ("[철수]\n", ""), ("자막: 홍길동 ", ""), ("…", ""),
+    ("아주 길고 긴 윗줄이 여기에 있습니다\n짧은 줄 ", ""), ("민수 씨, 10 ~ 20분 ", ""), ("할\n수 있다 ", ""), ("이런 O같은 일이 ", ""), ("", " ** **"), ("여러\n번 보고 ", ""),
+]
+DEFECTS = [("", ""), *FREQUENT, ("[경위] ", ""), *RARE[1:]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,65 +43,29 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.select(F.col("doc_id").alias("file_id"), F.posexplode(said).alias("pos", "t"))
     lines = lines.select("file_id", (F.col("pos") + 1).cast("int").alias("idx"), "t")
     t, idx = F.col("t"), F.col("idx")
-    forms: list[Column] = [
-        t,
-        F.concat(F.lit("["), F.when(idx % 5 < 2, "김 경위").otherwise("경위"), F.lit("] "), t),
-        F.lit("[문이 쾅 닫히는 소리]"),
-        F.concat(F.lit("♪"), t, F.lit(" ♪")),
-        F.concat(t, F.lit("...")),
-        F.concat(F.lit("-"), t),
-        F.concat(F.lit("3천 불을 "), t),
-        F.concat(F.lit("아홉 시에 "), t),
-        F.concat(F.lit("열다섯 명 "), t),
-        F.concat(F.lit("<i>"), t, F.lit("</i>")),
-        F.concat(F.lit("민수: "), t),
-        F.concat(F.lit("(철수) [작게] "), t),
-        F.replace(t, F.lit(" "), F.lit("  ")),
-        F.concat(F.lit("그러나, "), t, F.lit(" ~")),
-        F.concat(F.lit("J.F.K. "), t, F.lit("?!")),
-        F.concat(F.lit('"'), t, F.lit('"')),
-    ]
-    # Every sixteenth cue is plain or has a rarer defect, dealt by file.
-    rare: list[Column] = [
-        t,
-        F.concat(F.lit("— "), t),
-        F.concat(F.lit("["), t),
-        F.concat(F.lit("♪ la la ♪\n"), t),
-        F.lit("[잔잔한 음악]"),
-        F.concat(F.lit("5㎏ "), t),
-        F.concat(t, F.lit(" [탁 소리]")),
-        F.lit("[쾅\n소리]"),
-        F.concat(F.lit("[철수와 영희] "), t),
-        F.concat(F.lit("[철수]\n"), t),
-        F.lit("자막: 홍길동"),
-        F.concat(F.lit("…"), t),
-        F.lit("아주 길고 긴 윗줄이 여기에 있습니다\n짧은 줄"),
-        F.concat(F.lit("민수 씨, 10 ~ 20분 "), t),
-    ]
-    plain = rare[0]
-    for i, form in list(enumerate(rare))[1:]:
-        plain = F.when((F.floor(idx / 16) + F.col("file_id")) % len(rare) == i, form).otherwise(plain)
-    s = plain
-    for i, form in list(enumerate(forms))[1:]:
-        s = F.when(idx % 16 == i, form).otherwise(s)
-    lines = lines.withColumn("s0", s)
+    # Every sixteenth cue is plain or has a rarer defect, dealt by file; a label is written in two ways.
+    rare = (F.floor(idx / 16) + F.col("file_id")) % len(RARE)
+    kind = F.when(idx % 16 != 0, idx % 16 + F.when((idx % 16 == 1) & (idx % 5 >= 2), 15).otherwise(0)).otherwise(F.when(rare > 0, rare + 16).otherwise(0))
+    lines = lines.withColumn("kind", kind.cast("int"))
+    before, after = (F.get(F.array(*[F.lit(d[i]) for d in DEFECTS]), F.col("kind")) for i in (0, 1))
+    said = F.when(F.col("kind") == 12, F.replace(t, F.lit(" "), F.lit("  "))).otherwise(t)
+    lines = lines.withColumn("s0", F.concat(before, said, after))
     broken = F.when((idx % 3 == 0) & (idx % 16 != 0) & (F.length("s0") > 24), F.concat(F.substring("s0", 1, 12), F.lit("\n"), F.expr("substring(s0, 13)"))).otherwise(F.col("s0"))
     return _timed(lines.withColumn("s", broken))
 
 
-CUES_SQL = """lines0 as (select doc_id as file_id, list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(trim(x), '(?s).{1,60}'))), lambda p: trim(p)), lambda p: length(p) > 0) as ps from documents),
+def _sql_list(i: int) -> str:
+    return "[" + ", ".join("'" + d[i].replace("\n", "' || chr(10) || '") + "'" for d in DEFECTS) + "]"
+
+
+CUES_SQL = f"""lines0 as (select doc_id as file_id, list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(trim(x), '(?s).{{1,60}}'))), lambda p: trim(p)), lambda p: length(p) > 0) as ps from documents),
 lines1 as (select file_id, unnest(ps) as t, unnest(range(1, len(ps) + 1))::int as idx from lines0),
-lines2 as (select *, case idx % 16
-  when 1 then '[' || (case when idx % 5 < 2 then '김 경위' else '경위' end) || '] ' || t when 2 then '[문이 쾅 닫히는 소리]' when 3 then '♪' || t || ' ♪'
-  when 4 then t || '...' when 5 then '-' || t when 6 then '3천 불을 ' || t when 7 then '아홉 시에 ' || t when 8 then '열다섯 명 ' || t
-  when 9 then '<i>' || t || '</i>' when 10 then '민수: ' || t when 11 then '(철수) [작게] ' || t when 12 then replace(t, ' ', '  ')
-  when 13 then '그러나, ' || t || ' ~' when 14 then 'J.F.K. ' || t || '?!' when 15 then '"' || t || '"' else case (idx // 16 + file_id) % 14 when 1 then '— ' || t when 2 then '[' || t when 3 then '♪ la la ♪' || chr(10) || t when 4 then '[잔잔한 음악]' when 5 then '5㎏ ' || t
-  when 6 then t || ' [탁 소리]' when 7 then '[쾅' || chr(10) || '소리]' when 8 then '[철수와 영희] ' || t when 9 then '[철수]' || chr(10) || t when 10 then '자막: 홍길동' when 11 then '…' || t
-  when 12 then '아주 길고 긴 윗줄이 여기에 있습니다' || chr(10) || '짧은 줄' when 13 then '민수 씨, 10 ~ 20분 ' || t else t end end as s,
+lines2 as (select *, case when idx % 16 <> 0 then idx % 16 + case when idx % 16 = 1 and idx % 5 >= 2 then 15 else 0 end when (idx // 16 + file_id) % {len(RARE)} > 0 then 16 + (idx // 16 + file_id) % {len(RARE)} else 0 end as kind,
   300 + (length(t) * 37 + idx * 101) % 8200 as dur, (idx * 7919 + file_id * 104729) % 1500 - 300 as lead from lines1),
+lines3 as (select * exclude (t), ({_sql_list(0)})[kind + 1] || case when kind = 12 then replace(t, ' ', '  ') else t end || ({_sql_list(1)})[kind + 1] as s from lines2),
 cues as (select file_id, idx, (sum(lead + dur) over (partition by file_id order by idx) + 1000 - dur)::bigint as start_ms,
   (sum(lead + dur) over (partition by file_id order by idx) + 1000)::bigint as end_ms,
-  case when idx % 3 = 0 and idx % 16 <> 0 and length(s) > 24 then substr(s, 1, 12) || chr(10) || substr(s, 13) else s end as text from lines2)"""
+  case when idx % 3 = 0 and idx % 16 <> 0 and length(s) > 24 then substr(s, 1, 12) || chr(10) || substr(s, 13) else s end as text from lines3)"""
 
 
 def second_track(cues: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 from sottovoce.functions.similar import similarity
-from sottovoce.functions.split import split_text
+from sottovoce.functions.split import pieces
 from sottovoce.functions.text import formality_level, one_decimal, quoted, topic_particle, weighted_chars
 from sottovoce.operators import checks, files, fixes, language, timing, tracks
 from sottovoce.plans import jobs, profiles
@@ -126,8 +126,8 @@ def test_positions_move_only_when_decided(spark):
 
 
 def test_resplit_cuts_at_sentences(spark):
-    assert split_text("First one here. Second one there.", 20, 1, 1) == ["First one here.", "Second one there."]
-    assert split_text("x" * 50, 20, 1, 1) == ["x" * 50]
+    assert pieces("First one here. Second one there.", 20) == ["First one here.", "Second one there."]
+    assert pieces("x" * 50, 20) == ["x" * 50]
     c = spark.createDataFrame([(1, 1, 0, 4000, "First one here. Second one there.")], CUE)
     out = timing.resplit_cues(c, {"limits": {"chars_per_line": 20, "max_lines": 1}}).orderBy("idx").collect()
     assert [(r.idx, r.start_ms, r.end_ms) for r in out] == [(1, 0, 1875), (2, 1875, 4000)]
