@@ -10,7 +10,8 @@ The default vocabulary is that of a public BPE file: no unigram model is at hand
 ranks of its merges. They serve as unigram scores here, so counts are those of the unigram method over this
 vocabulary, not those of the file's own BPE. Its byte pieces are left out: unknown characters count as unknown.
 
-Texts are cut at blanks, which pieces never cross, and each task remembers the counts of words it has seen.
+Texts are cut at blanks, which pieces never cross, and each task remembers the counts of words it has seen, none above
+LONGEST code points. Batches hold 500 texts.
 
 Edge cases: a null or empty text has 0 pieces; a leading blank is not doubled; other white space is part of a
 word; words of any length are searched whole, PART code points at a
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batches_of, scratch, table
 
 BLANK = "▁"
 #: Fixed value: what an unknown character costs beside the lowest score.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 250_000
+#: Words whose counts a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 250_000, 100
 #: Code points of a word that are searched at a time.
 PART = 1 << 14
 
@@ -92,9 +94,11 @@ class _Counts(dict):
         self.count = count
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[word] = self.count(BLANK + word)
+        n = self.count(BLANK + word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -122,7 +126,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    with batches_of(spark, 500):
+        return scratch(token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id"), "token-counts")
 
 
 QUERIES = {"op3_token_counts": op3_token_counts}
