@@ -17,6 +17,7 @@ from sottovoce.functions.split import pieces as pieces_of
 from sottovoce.functions.text import trimmed, weighted_chars
 from sottovoce.operators.moves import apply_spotting, converge
 from sottovoce.operators.near import meeting
+from sottovoce.sources.scratch import scratch
 
 __all__ = ["apply_spotting", "converge"]
 
@@ -29,28 +30,54 @@ def by_idx() -> WindowSpec:
     return Window.partitionBy("file_id").orderBy("idx")
 
 
+def _next_starts(long: DataFrame, max_duration_ms: int) -> DataFrame:
+    """(file_id, idx, to): the first later cue of the run that ends too late to stand with this one; none if all do."""
+    even = long.filter("not uneven")
+    # Ends ascend in a run, so among ends and limits in order the first end after a limit is the one looked for.
+    ends = even.select("file_id", "run", F.col("end_ms").alias("at"), F.lit(0).alias("asks"), "idx")
+    limits = even.select("file_id", "run", (F.col("start_ms") + max_duration_ms).alias("at"), F.lit(1).alias("asks"), "idx")
+    order = Window.partitionBy("file_id", "run").orderBy(F.col("at").desc(), F.col("asks").desc(), F.col("idx").desc())
+    after = F.last(F.when(F.col("asks") == 0, F.col("idx")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = ends.unionByName(limits).select("file_id", "run", "asks", "idx", after.alias("after")).filter("asks = 1 and after is not null")
+    follows = even.select("file_id", "run", "idx", F.lead("idx").over(Window.partitionBy("file_id", "run").orderBy("idx")).alias("following"))
+    # A cue that is too long by itself is the first such end; then its neighbour is the next start.
+    pointers = found.join(follows, ["file_id", "run", "idx"]).select("file_id", "idx", F.greatest("after", "following").alias("to")).filter("to > idx")
+    # Cues that end before they start may turn ends around; their runs are searched as they are.
+    back = long.filter("uneven")
+    later = back.select("file_id", "run", F.col("idx").alias("to"), F.col("end_ms").alias("late"))
+    searched = back.join(later, ["file_id", "run"]).filter((F.col("to") > F.col("idx")) & (F.col("late") - F.col("start_ms") > max_duration_ms))
+    return pointers.unionByName(searched.groupBy("file_id", "idx").agg(F.min("to").alias("to")))
+
+
+def _followed(starts: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(file_id, idx) of all that is reached from ``starts``; each round doubles the pointers' reach."""
+    marked, jump = starts, scratch(pointers, "pointers")
+    while not jump.isEmpty():
+        hop = marked.join(jump, ["file_id", "idx"]).select("file_id", F.col("to").alias("idx"))
+        marked = scratch(marked.unionByName(hop), "marked")
+        jump = scratch(jump.join(jump.select("file_id", F.col("idx").alias("to"), F.col("to").alias("further")), ["file_id", "to"]).select("file_id", "idx", F.col("further").alias("to")), "pointers")
+    return marked
+
+
 def merge_fragments(cues: DataFrame, max_duration_ms: int = 4000, max_gap_ms: int = 250) -> DataFrame:
     """Join a cue to the last output cue where the gap is small and the whole stays short; renumbered per file.
 
-    A file's cues are folded in order; the cap is why plain islands do not do.
+    Small gaps make runs. A run that is short as a whole is one cue. In the others each cue points to the first one
+    that could not stand with it, and the starts are what the pointers reach from the run's first cue.
     """
     if max_duration_ms <= 0:
         return cues.select("file_id", "idx", "start_ms", "end_ms", "text")
-    one = "struct<s:bigint,e:bigint,parts:array<string>>"
-    start = F.struct(F.array().cast(f"array<{one}>").alias("out"), F.lit(None).cast(one).alias("open"))
-
-    def step(acc: Column, x: Column) -> Column:
-        open_ = acc["open"]
-        joins = open_.isNotNull() & (x["start_ms"] - open_["e"]).between(0, max_gap_ms) & (x["end_ms"] - open_["s"] <= max_duration_ms)
-        fresh = F.struct(x["start_ms"].alias("s"), x["end_ms"].alias("e"), F.array(x["text"]).alias("parts")).cast(one)
-        longer = F.struct(open_["s"].alias("s"), x["end_ms"].alias("e"), F.concat(open_["parts"], F.array(x["text"])).alias("parts")).cast(one)
-        done = F.when(F.coalesce(joins, F.lit(False)) | open_.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(open_)))
-        return F.struct(done.alias("out"), F.when(F.coalesce(joins, F.lit(False)), longer).otherwise(fresh).alias("open"))
-
-    files = cues.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", "text"))).alias("cues"))
-    folded = files.select("file_id", F.aggregate("cues", start, step, lambda acc: F.concat(acc["out"], F.array(acc["open"]))).alias("out"))
-    out = folded.select("file_id", F.posexplode("out").alias("pos", "c"))
-    return out.select("file_id", (F.col("pos") + 1).alias("idx"), F.col("c.s").alias("start_ms"), F.col("c.e").alias("end_ms"), trimmed(F.array_join("c.parts", " ")).alias("text"))
+    c = cues.select("file_id", "idx", "start_ms", "end_ms", "text")
+    joins = F.coalesce((F.col("start_ms") - F.lag("end_ms").over(by_idx())).between(0, max_gap_ms), F.lit(False))
+    c = scratch(c.withColumn("fresh", (~joins).cast("int")).withColumn("run", F.sum("fresh").over(by_idx())).drop("fresh"), "runs")
+    runs = c.groupBy("file_id", "run").agg(F.min("idx").alias("first"), (F.max("end_ms") - F.min_by("start_ms", "idx") > max_duration_ms).alias("long"), F.bool_or(F.col("end_ms") < F.col("start_ms")).alias("uneven"))
+    long = scratch(c.join(runs.filter("long").drop("long"), ["file_id", "run"]).select("file_id", "run", "idx", "start_ms", "end_ms", "first", "uneven"), "long-runs")
+    reached = _followed(long.filter("idx = first").select("file_id", "idx"), _next_starts(long, max_duration_ms))
+    starts = runs.filter("not long").select("file_id", F.col("first").alias("idx")).unionByName(reached)
+    numbered = c.join(starts.withColumn("begins", F.lit(1)), ["file_id", "idx"], "left").withColumn("g", F.count("begins").over(by_idx()))
+    groups = numbered.groupBy("file_id", F.col("g").cast("int").alias("idx")).agg(F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("parts"))
+    text = F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), lambda said, x: trimmed(F.concat(said, F.lit(" "), x)))
+    return groups.select("file_id", "idx", "start_ms", "end_ms", text.alias("text"))
 
 
 def limits_of(profile: Mapping[str, Any], fps: float = 23.976) -> dict[str, Any]:
@@ -225,12 +252,33 @@ def off_recommendation(cues: DataFrame, low_ms: int | None, high_ms: int | None)
 # Spans from sampled series
 
 
+#: Samples of a series that are looked at together.
+BLOCK = 4096
+
+
+def _runs(on: DataFrame, least_between: int) -> DataFrame:
+    """(media_id, a, b): first and last sample of each run of samples ``i`` with fewer than ``least_between`` missing in between.
+
+    Runs are found within blocks of a series. Only the first and last sample of each block and its number of runs come
+    together by series; they say whether a block's first run goes on with the run before and how the runs count on.
+    """
+    block = ["media_id", "block"]
+    within = Window.partitionBy(*block).orderBy("i")
+    apart = lambda i, was: i - was - 1 >= least_between
+    on = on.select("media_id", "i", F.floor(F.col("i") / BLOCK).alias("block"))
+    breaks = F.coalesce(apart(F.col("i"), F.lag("i").over(within)), F.lit(False)).cast("int")
+    local = on.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(within)).groupBy(*block, "run").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    by_block = Window.partitionBy("media_id").orderBy("block")
+    sums = local.groupBy(*block).agg(F.min("a").alias("first"), F.max("b").alias("last"), F.max("run").alias("more"))
+    fresh = F.coalesce(apart(F.col("first"), F.lag("last").over(by_block)), F.lit(True)).cast("int")
+    sums = sums.withColumn("fresh", fresh)
+    base = F.sum("fresh").over(by_block) + F.coalesce(F.sum("more").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return local.join(sums.select(*block, base.alias("base")), block).groupBy("media_id", (F.col("base") + F.col("run")).alias("g")).agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("g")
+
+
 def activity_spans(signal: DataFrame, threshold: float = 0.5, step_ms: int = 32, least_ms: int = 120, bridge_ms: int = 250, pad_ms: int = 0) -> DataFrame:
     """(media_id, start_ms, end_ms) where p reaches the threshold; short silences are bridged, short spans dropped."""
-    order = Window.partitionBy("media_id").orderBy("i")
-    on = signal.filter(F.col("p") >= threshold).select("media_id", "i", F.lag("i").over(order).alias("was"))
-    fresh = (F.col("was").isNull() | ((F.col("i") - F.col("was") - 1) * step_ms >= bridge_ms)).cast("int")
-    spans = on.withColumn("g", F.sum(fresh).over(order)).groupBy("media_id", "g").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    spans = _runs(signal.filter(F.col("p") >= threshold), -(-bridge_ms // step_ms))
     last = signal.groupBy("media_id").agg(F.max("i").alias("last"))
     out = spans.join(last, "media_id").select("media_id", (F.col("a") * step_ms).alias("start_ms"), ((F.col("b") + 1) * step_ms).alias("end_ms"), ((F.col("last") + 1) * step_ms).alias("total"))
     out = out.filter(F.col("end_ms") - F.col("start_ms") >= least_ms)
@@ -262,9 +310,7 @@ def outlier_spans(signal: DataFrame, step_ms: int = 32, factor: float = 2.5) ->
     far = levels.join(mid, "media_id").select("media_id", "mid", F.abs(F.col("p") - F.col("mid")).alias("d"), "k")
     off = mid.join(_upper_median(far.groupBy("media_id", "d").agg(F.sum("k").alias("k")), "d", "mad"), "media_id", "left")
     high = signal.join(off, "media_id").filter(F.col("p") > F.col("mid") + factor * F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad")))
-    order = Window.partitionBy("media_id").orderBy("i")
-    runs = high.withColumn("g", F.col("i") - F.row_number().over(order)).groupBy("media_id", "g").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    return runs.select("media_id", (F.col("a") * step_ms).alias("start_ms"), ((F.col("b") + 1) * step_ms).alias("end_ms"))
+    return _runs(high, 1).select("media_id", (F.col("a") * step_ms).alias("start_ms"), ((F.col("b") + 1) * step_ms).alias("end_ms"))
 
 
 def waveform_peaks(signal: DataFrame, block: int = 128) -> DataFrame:
