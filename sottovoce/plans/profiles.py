@@ -11,11 +11,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-KINDS = ("sdh", "translation", "template", "common")
+KINDS = ("sdh", "translation", "common")
 CHECKING = ("sdh", "translation")
 HEADER = ("platform", "kind", "status", "source")
 #: Keys that belong to sound description alone.
-SDH_ONLY = ("sound_effect", "speaker_id", "music")
+SDH_ONLY = ("sound_effect", "speaker_id")
 
 
 class ProfileError(ValueError):
@@ -24,14 +24,15 @@ class ProfileError(ValueError):
 
 def merge(parent: Mapping[str, Any], child: Mapping[str, Any]) -> dict[str, Any]:
     """Child over parent: one level of nesting is merged, lists are replaced. A rule id of the child replaces all
-    rules of that id in the parent; the child's rules come last; disabled ids go."""
+    rules of that id in the parent; the child's rules come last; ids that it disables go, its own too."""
     out = dict(parent)
     for key, value in child.items():
         if key in ("rules", "disable_rules"):
             continue
         out[key] = {**out[key], **value} if isinstance(value, Mapping) and isinstance(out.get(key), Mapping) else value
-    mine = list(child.get("rules") or [])
-    gone = {r["id"] for r in mine} | set(child.get("disable_rules") or [])
+    off = set(child.get("disable_rules") or [])
+    mine = [r for r in child.get("rules") or [] if r["id"] not in off]
+    gone = {r["id"] for r in mine} | off
     out["rules"] = [r for r in parent.get("rules") or [] if r["id"] not in gone] + mine
     return out
 

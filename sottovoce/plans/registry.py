@@ -3,7 +3,7 @@ the SQL has some of the checks or fixers, ``whole_`` before the name is the quer
 
 from importlib import import_module
 
-MODULES = ["check_queries", "file_queries", "timing_queries", "track_queries", "language_queries", "source_queries", "job_queries", "reference_queries", "name_queries"]
+MODULES = ["check_queries", "file_queries", "timing_queries", "track_queries", "language_queries", "source_queries", "job_queries", "reference_queries", "name_queries", "rule_queries"]
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
