@@ -18,12 +18,48 @@ KO_NUMBER = r"\d|하나|둘|셋|넷|다섯|여섯|일곱|여덟|아홉|열|스
 ENCLOSED = r"[\[(]([^)\]]+)[\])]"
 
 
+#: Lengths of the heads by which terms are looked up; a term has the longest that it fills.
+HEADS = (8, 4, 2, 1)
+
+
+def _head_size(term: Column) -> Column:
+    size = F.lit(HEADS[-1])
+    for n in reversed(HEADS[:-1]):
+        size = F.when(F.length(term) >= n, n).otherwise(size)
+    return size
+
+
+def _small(text: Column) -> Column:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(text, upper, upper.lower())
+
+
 def glossary_misses(pairs: DataFrame, glossary: DataFrame, whole_words: bool = False) -> DataFrame:
-    """(file_id, idx, missed): glossary terms in the source whose set translation is not in the target. The glossary is small."""
+    """(file_id, idx, missed): glossary terms in the source whose set translation is not in the target.
+
+    Terms are indexed by a key that any text with the term has too: their first word where whole words count, else
+    their first 8, 4, 2 or 1 characters. Only keys are joined; the pairs found are verified on their texts.
+    """
+    g = glossary.filter("term <> '' and korean <> ''").select("term", "korean").distinct()
     # The translation check wants whole words, the note on a draft does not.
-    g = glossary.filter("term <> '' and korean <> ''").select("term", "korean")
-    found = F.rlike("source", F.concat(F.lit("(?i)\\b"), F.regexp_replace("term", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit("\\b"))) if whole_words else F.contains(F.lower("source"), F.lower("term"))
-    hit = pairs.join(F.broadcast(g), found & ~F.contains("target", F.col("korean")))
+    folded = _small if whole_words else F.lower
+    low, word = folded(F.col("term")), F.regexp_extract(_small(F.col("term")), "[0-9a-z_]+", 0)
+    by_word = (word != "") if whole_words else F.lit(False)
+    head = F.concat(_head_size(low).cast("string"), F.lit(":"), F.substring(low, F.lit(1), _head_size(low)))
+    g = g.select("term", "korean", F.when(by_word, 0).otherwise(_head_size(low)).alias("size"), F.when(by_word, F.concat(F.lit("0:"), word)).otherwise(head).alias("key"))
+    sizes = [r.size for r in g.select("size").distinct().collect()]  # five at most
+    source = folded(F.col("source"))
+
+    def heads_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(source) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(f"{n}:"), F.substring(source, i, F.lit(n))))
+
+    heads = [heads_of(n) for n in sizes if n]
+    words = [F.transform(F.regexp_extract_all(source, F.lit("([0-9a-z_]+)"), F.lit(1)), lambda w: F.concat(F.lit("0:"), w)) for n in sizes if not n]
+    none = F.array().cast("array<string>")
+    keys = pairs.filter("source is not null").select("file_id", "idx", F.explode(F.array_distinct(F.concat(none, *heads, *words))).alias("key"))
+    found = keys.join(g.drop("size"), "key").drop("key")
+    has = F.rlike("source", F.concat(F.lit("(?i)\\b"), F.regexp_replace("term", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit("\\b"))) if whole_words else F.contains(F.lower("source"), F.lower("term"))
+    hit = pairs.select("file_id", "idx", "source", "target").join(found, ["file_id", "idx"]).filter(has & ~F.contains("target", F.col("korean")))
     return hit.groupBy("file_id", "idx").agg(F.array_sort(F.collect_set(F.concat("term", F.lit(" -> "), "korean"))).alias("missed"))
 
 
@@ -53,7 +89,13 @@ def translation_flags(pairs: DataFrame, glossary: DataFrame | None = None) -> Da
 
 #: Contractions in the order they are written out, words that carry no content, negations that do.
 CONTRACTIONS = {"cannot": "can not", "can't": "can not", "won't": "will not", "shan't": "shall not", "ain't": "is not", "n't": " not", "'re": " are", "'ve": " have", "'ll": " will", "'m": " am", "'d": " would", "let's": "let us", "gonna": "going to", "wanna": "want to", "gotta": "got to"}
-STOPWORDS = "a an the is are am was were be been being do does did have has had will would shall should can could may might must of to in on at by for with from as that this these those it its and or but so if then than there here you your i me my we us our he him his she her they them their what who which when where how why about just very too also up out down over".split()
+STOPWORDS = [
+    "a", "an", "the", "is", "are", "am", "was", "were", "be", "been", "being", "do", "does", "did", "have", "has", "had", "will", "would", "shall",
+    "should", "can", "could", "may", "might", "must", "of", "to", "in", "on", "at", "by", "for", "with", "from", "as", "that", "this", "these", "those",
+    "it", "its", "and", "or", "but", "so", "if", "then", "than", "there", "here", "you", "your", "i", "me", "my", "we", "us", "our", "he",
+    "him", "his", "she", "her", "they", "them", "their", "what", "who", "which", "when", "where", "how", "why", "about", "just", "very", "too", "also", "up",
+    "out", "down", "over",
+]
 
 
 def content_words(text: Column) -> Column:
@@ -66,10 +108,11 @@ def content_words(text: Column) -> Column:
 
 def back_translation_overlap(pairs: DataFrame) -> DataFrame:
     """(file_id, idx, score, missing) from (source, back): recall of the source's content words; null where there are none."""
-    both = pairs.select("file_id", "idx", content_words(F.col("source")).alias("want"), content_words(F.col("back")).alias("got"))
-    gone = F.filter("want", lambda w: ~F.array_contains("got", w))
-    both = both.withColumn("missing", gone)
-    return both.select("file_id", "idx", F.when(F.size("want") > 0, 1.0 - F.size("missing") / F.size("want")).alias("score"), F.array_join("missing", ",").alias("missing"))
+    # One struct in a lambda, so that the words of a side are made once; repeated words count each time.
+    both = F.struct(content_words(F.col("source")).alias("want"), F.array_distinct(content_words(F.col("back"))).alias("got"))
+    gone = F.transform(F.array(both), lambda x: F.struct(F.size(x["want"]).alias("n"), F.filter(x["want"], lambda w: ~F.array_contains(x["got"], w)).alias("missing")))
+    out = pairs.select("file_id", "idx", F.explode(gone).alias("x"))
+    return out.select("file_id", "idx", F.when(F.col("x.n") > 0, 1.0 - F.size("x.missing") / F.col("x.n")).alias("score"), F.array_join("x.missing", ",").alias("missing"))
 
 
 def back_translation_summary(scores: DataFrame) -> DataFrame:

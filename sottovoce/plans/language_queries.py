@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions.text import TAGS
 from sottovoce.operators import language
-from sottovoce.sources.fixtures import CUES_SQL, cues, dialogue
+from sottovoce.sources.fixtures import CUES_SQL, cues, dialogue, table
 
 GLOSSARY = [("the", "그"), ("not", "아니"), ("and", "그리고")]
 TARGETS = ["[사라] 가요", "안 가요", "다섯 개 있어", "그리고 갔어", "모르겠어"]
@@ -35,6 +35,20 @@ def glossary_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.glossary_misses(_pairs(spark, sf_dir), spark.createDataFrame(GLOSSARY, "term string, korean string")).withColumn("missed", F.array_join("missed", ", "))
 
 
+def _benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the benchmark as terms."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter("term <> ''").distinct()
+    return words.select("term", F.when(F.length("term") % 2 == 0, "그").otherwise(F.concat(F.lit("말"), "term")).alias("korean"))
+
+
+def glossary_misses_of_many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.glossary_misses(_pairs(spark, sf_dir), _benchmark_terms(spark, sf_dir)).withColumn("missed", F.array_join("missed", ", "))
+
+
+def glossary_misses_of_many_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.glossary_misses(_pairs(spark, sf_dir), _benchmark_terms(spark, sf_dir), whole_words=True).withColumn("missed", F.array_join("missed", ", "))
+
+
 def translation_flags_with_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.translation_flags(_pairs(spark, sf_dir), spark.createDataFrame(GLOSSARY, "term string, korean string")).filter("kind = 'glossary'")
 
@@ -132,7 +146,7 @@ def term_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.term_research(terms, g, low, links)
 
 
-QUERIES = {f.__name__: f for f in (translation_flags, translation_flags_with_glossary, glossary_misses, back_translation_overlap, back_translation_summary, worst_n, revision_drift, stage_diff, timecode_lock, protect_and_restore, prompt_batches, parse_numbered_reply, translate_round_trip, platform_guess, kind_guess, profile_mismatch, cast_extract, cast_cross_reference, acronyms, proper_nouns, bookmark_kinds, term_research)}
+QUERIES = {f.__name__: f for f in (translation_flags, translation_flags_with_glossary, glossary_misses, glossary_misses_of_many_terms, glossary_misses_of_many_words, back_translation_overlap, back_translation_summary, worst_n, revision_drift, stage_diff, timecode_lock, protect_and_restore, prompt_batches, parse_numbered_reply, translate_round_trip, platform_guess, kind_guess, profile_mismatch, cast_extract, cast_cross_reference, acronyms, proper_nouns, bookmark_kinds, term_research)}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in language.STOPWORDS) + "]"
 
@@ -151,10 +165,13 @@ _KN = "(" + " or ".join(f"contains({_TB}, '{w}')" for w in language.KO_NEGATION)
 _EN = language.EN_NEGATION.replace("'", "''")
 _DG = r"regexp_extract_all(source, '(\d+(?:[.,]\d+)*)')"
 _MISS = "array_to_string(list_sort(list_filter([" + ", ".join(f"case when {{}} and not contains(target, '{k}') then '{t} -> {k}' end" for t, k in GLOSSARY) + "], lambda x: x is not null)), ', ')"
+_TERMS = "g as (select distinct term, case when length(term) % 2 = 0 then '그' else '말' || term end as korean from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark))"
 ORACLE = {
     "translation_flags": f"""{_PAIRS} select file_id, idx, 'speaker' as kind, '화자 표시·효과음이 ' || {_N} || '개에서 ' || {_M} || case when {_M} < {_N} then '개로 줄었습니다' else '개로 늘었습니다' end as reason, true as certain from p where {_N} <> {_M}
         union all select file_id, idx, 'negation', '원문에 부정이 있는데 번역에서 보이지 않습니다', false from p where regexp_matches(regexp_replace(source, '[À-ɏ]', 'x', 'g'), '{_EN}') and not {_KN}
         union all select file_id, idx, 'number', '원문의 숫자(' || array_to_string({_DG}[1:3], ', ') || ')가 번역에서 보이지 않습니다', false from p where len({_DG}) > 0 and not regexp_matches({_TB}, '{language.KO_NUMBER}')""",
+    "glossary_misses_of_many_terms": f"{_PAIRS}, {_TERMS} select file_id, idx, array_to_string(list_sort(list(distinct term || ' -> ' || korean)), ', ') as missed from p join g on contains(lower(source), term) and not contains(target, korean) group by 1, 2",
+    "glossary_misses_of_many_words": f"{_PAIRS}, {_TERMS}, w as (select distinct file_id, idx, target, unnest(regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}_]+')) as term from p) select file_id, idx, array_to_string(list_sort(list(distinct term || ' -> ' || korean)), ', ') as missed from w join g using (term) where not contains(target, korean) group by 1, 2",
     "glossary_misses": f"{_PAIRS}, g as (select file_id, idx, {_MISS.format(*[f'''contains(lower(source), '{t}')''' for t, _ in GLOSSARY])} as missed from p) select * from g where missed <> ''",
     "translation_flags_with_glossary": f"{_PAIRS}, g as (select file_id, idx, {_MISS.format(*[rf'''regexp_matches(source, '(?i)\b{t}\b')''' for t, _ in GLOSSARY])} as missed from p) select file_id, idx, 'glossary' as kind, '통일표 표기를 쓰지 않았습니다: ' || missed as reason, true as certain from g where missed <> ''",
     "back_translation_overlap": f"{_BT} select * from bt",
