@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 _WORDS = re.compile(r"[0-9A-Za-z가-힣]+")
 
 
+def words_of(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
+
+
 def similarity(a: str, b: str) -> float:
     """Ratcliff/Obershelp ratio over lower-case words; 0 where either has none."""
-    x, y = _WORDS.findall(a.lower()), _WORDS.findall(b.lower())
+    x, y = words_of(a), words_of(b)
     return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
 
 
@@ -28,7 +32,7 @@ def token_similarity(a: Column, b: Column) -> Column:
 
         def of(text: str) -> list[str]:
             if text not in words:
-                words[text] = _WORDS.findall(text.lower())
+                words[text] = words_of(text)
             return words[text]
 
         def one(p: str | None, q: str | None) -> float | None:

@@ -141,3 +141,45 @@ def test_resplit_keeps_what_it_cannot_cut_and_moves_bounds_into_silence(spark):
     out = timing.resplit_cues(spark.createDataFrame(rows, CUES), profile, speech).orderBy("file_id", "idx").collect()
     assert [(r.idx, r.origin_idx, r.text) for r in out if r.file_id == 1] == [(1, 1, "안녕하세요."), (2, 1, "오늘 날씨가 참 좋습니다."), (3, 2, " 짧은 줄 "), (4, 3, f" {'가' * 40} ")]
     assert out[0].end_ms == out[1].start_ms == 2200 and [r.text for r in out if r.file_id == 2] == [None]
+
+
+def walked(segments, told, good_enough=0.6, window=6, least=0.3):
+    """The walk along both texts of one file."""
+    out, free = [], 0
+    for _, _, start, end, said in segments:
+        ratios = [similarity(said, line) for line in told[free : free + window]] or [0.0]
+        best = ratios.index(max(ratios))
+        if ratios[best] >= least:
+            out += [(start, start, line, "script", 0.0, tracks.NO_SOUND + tracks.SKIPPED) for line in told[free : free + best]]
+            weak = f"{tracks.UNLIKE[0]}{round(ratios[best] * 100)}{tracks.UNLIKE[1]}{said.strip()[:40]}"
+            free += best + 1
+            out.append((start, end, told[free - 1], "script", ratios[best], "" if ratios[best] >= good_enough else weak))
+        else:
+            out.append((start, end, said, "transcript", max(ratios), tracks.NO_LINE + (tracks.HERE + told[free].strip()[:40] if free < len(told) else "")))
+    at = segments[-1][3] if segments else 0
+    return out + [(at, at, line, "script", 0.0, tracks.NO_SOUND) for line in told[free:]]
+
+
+@pytest.mark.parametrize("size", [4, 256])
+def test_alignment_in_blocks_equals_the_walk(spark, monkeypatch, size):
+    monkeypatch.setattr(tracks, "SEGMENTS", size)
+    rng = random.Random(size)
+    words = ["go", "on", "then", "no", "yes", "가자", "x1", "river", "mill", "bridge", "day", "home"]
+    segments, script = [], []
+    for f in range(6):
+        told = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(rng.choice([0, 1, 30, 60]))]
+        said = []
+        for line in told:
+            for _ in range(rng.choice([0, 1, 1, 1, 2])):
+                said.append(" ".join(w for w in line.split() if rng.random() < 0.8))
+            if rng.random() < 0.15:
+                said.append("nothing like it at all")
+        said = said if f != 3 else []
+        segments += [(f, i, i * 1000, i * 1000 + 700, t) for i, t in enumerate(said, 1)]
+        script += [(f, i, t) for i, t in enumerate(told, 1)]
+    got = defaultdict(list)
+    aligned = tracks.align_transcript(spark.createDataFrame(segments, CUES), spark.createDataFrame(script, "file_id long, pos int, text string"))
+    for r in aligned.orderBy("file_id", "pos").collect():
+        got[r.file_id].append((r.start_ms, r.end_ms, r.text, r.source, r.similarity, r.note))
+    for f in range(6):
+        assert got[f] == walked([s for s in segments if s[0] == f], [t for g, _, t in script if g == f])
