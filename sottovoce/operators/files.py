@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sottovoce.functions.grams import HEADS, head_key, keys_in
 from sottovoce.functions.text import SPEAKER_HEAD, formality_level, strip_tags, topic_particle, trimmed
 from sottovoce.operators.near import meeting
 
@@ -63,10 +64,15 @@ def speaker_id_inconsistent(cues: DataFrame) -> DataFrame:
     last = F.element_at("all", -1)
     spelled = same.select("file_id", last["at"]["idx"].alias("idx"), last["at"]["line_no"].alias("line_no"), F.concat(F.lit("같은 이름을 다르게 적었습니다: "), F.array_join(F.transform("all", lambda x: F.concat(F.lit("["), x["label"], F.lit("]"))), " / ")).alias("detail"))
     base = first.withColumn("base", F.replace(F.regexp_replace("label", r"\s*\d+$", ""), F.lit(" "), F.lit(""))).filter("base <> ''")
-    a, b = base.alias("a"), base.alias("b")
-    part = F.contains("b.base", F.col("a.base")) | F.contains("a.base", F.col("b.base"))
-    pairs = a.join(b, (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.at") < F.col("b.at")) & (F.col("a.base") != F.col("b.base")) & part)
-    contained = pairs.select(F.col("a.file_id").alias("file_id"), F.col("b.at.idx").alias("idx"), F.col("b.at.line_no").alias("line_no"), F.concat(F.lit("["), "a.label", F.lit("]와 ["), "b.label", F.lit("]가 같은 인물이면 하나로 통일해야 합니다 (전개상 의도적 변경이면 그대로 두세요)")).alias("detail"))
+    # Distinct names meet by the head of the shorter one; their labels follow.
+    bases = base.select("file_id", "base").distinct()
+    inner = bases.select("file_id", F.col("base").alias("inner"), head_key(F.col("base")).alias("key"))
+    outer = bases.select("file_id", F.col("base").alias("outer"), F.explode(keys_in(F.col("base"), list(HEADS))).alias("key"))
+    within = inner.join(outer, ["file_id", "key"]).filter((F.col("inner") != F.col("outer")) & F.contains("outer", F.col("inner"))).drop("key")
+    named = lambda side: base.select("file_id", F.col("base").alias(side), F.struct("at", "label").alias(f"{side}_is"))
+    pairs = within.join(named("inner"), ["file_id", "inner"]).join(named("outer"), ["file_id", "outer"])
+    pairs = pairs.select("file_id", F.least("inner_is", "outer_is").alias("a"), F.greatest("inner_is", "outer_is").alias("b"))
+    contained = pairs.select("file_id", F.col("b.at.idx").alias("idx"), F.col("b.at.line_no").alias("line_no"), F.concat(F.lit("["), "a.label", F.lit("]와 ["), "b.label", F.lit("]가 같은 인물이면 하나로 통일해야 합니다 (전개상 의도적 변경이면 그대로 두세요)")).alias("detail"))
     return spelled.unionByName(contained)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sottovoce.functions.grams import head_key, keys_in, sizes_of
 from sottovoce.functions.text import strip_tags, trimmed
 from sottovoce.operators.files import speaker_lines
 
@@ -18,17 +19,6 @@ KO_NUMBER = r"\d|하나|둘|셋|넷|다섯|여섯|일곱|여덟|아홉|열|스
 ENCLOSED = r"[\[(]([^)\]]+)[\])]"
 
 
-#: Lengths of the heads by which terms are looked up; a term has the longest that it fills.
-HEADS = (8, 4, 2, 1)
-
-
-def _head_size(term: Column) -> Column:
-    size = F.lit(HEADS[-1])
-    for n in reversed(HEADS[:-1]):
-        size = F.when(F.length(term) >= n, n).otherwise(size)
-    return size
-
-
 def _small(text: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(text, upper, upper.lower())
@@ -45,19 +35,13 @@ def glossary_misses(pairs: DataFrame, glossary: DataFrame, whole_words: bool = F
     folded = _small if whole_words else F.lower
     low, word = folded(F.col("term")), F.regexp_extract(_small(F.col("term")), "[0-9a-z_]+", 0)
     by_word = (word != "") if whole_words else F.lit(False)
-    head = F.concat(_head_size(low).cast("string"), F.lit(":"), F.substring(low, F.lit(1), _head_size(low)))
-    g = g.select("term", "korean", F.when(by_word, 0).otherwise(_head_size(low)).alias("size"), F.when(by_word, F.concat(F.lit("0:"), word)).otherwise(head).alias("key"))
-    sizes = [r.size for r in g.select("size").distinct().collect()]  # five at most
+    g = g.select("term", "korean", by_word.alias("by_word"), low.alias("low"), F.when(by_word, F.concat(F.lit("0:"), word)).otherwise(head_key(low)).alias("key"))
     source = folded(F.col("source"))
-
-    def heads_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(source) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(f"{n}:"), F.substring(source, i, F.lit(n))))
-
-    heads = [heads_of(n) for n in sizes if n]
-    words = [F.transform(F.regexp_extract_all(source, F.lit("([0-9a-z_]+)"), F.lit(1)), lambda w: F.concat(F.lit("0:"), w)) for n in sizes if not n]
-    none = F.array().cast("array<string>")
-    keys = pairs.filter("source is not null").select("file_id", "idx", F.explode(F.array_distinct(F.concat(none, *heads, *words))).alias("key"))
-    found = keys.join(g.drop("size"), "key").drop("key")
+    keys = keys_in(source, sizes_of(g.filter("not by_word"), "low"))
+    if whole_words:
+        keys = F.concat(keys, F.array_distinct(F.transform(F.regexp_extract_all(source, F.lit("([0-9a-z_]+)"), F.lit(1)), lambda w: F.concat(F.lit("0:"), w))))
+    keys = pairs.filter("source is not null").select("file_id", "idx", F.explode(keys).alias("key"))
+    found = keys.join(g.select("term", "korean", "key"), "key").drop("key")
     has = F.rlike("source", F.concat(F.lit("(?i)\\b"), F.regexp_replace("term", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit("\\b"))) if whole_words else F.contains(F.lower("source"), F.lower("term"))
     hit = pairs.select("file_id", "idx", "source", "target").join(found, ["file_id", "idx"]).filter(has & ~F.contains("target", F.col("korean")))
     return hit.groupBy("file_id", "idx").agg(F.array_sort(F.collect_set(F.concat("term", F.lit(" -> "), "korean"))).alias("missed"))

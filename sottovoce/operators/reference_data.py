@@ -18,6 +18,19 @@ def effect_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(EMPTY_WORDS))
 
 
+#: Fixed value: how suggestions are put.
+HINT = "이렇게 쓸 수 있습니다: "
+
+
+def with_effect_hints(found: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Findings whose detail is an effect marker, with what the lexicon suggests for it; markers are looked up once each."""
+    markers = found.select(F.col("detail").alias("marker")).distinct()
+    ranked = effect_suggestions(markers, lexicon).groupBy("marker").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    hinted = found.join(ranked, F.col("detail") == F.col("marker"), "left")
+    detail = F.when(F.col("terms").isNull(), F.col("detail")).otherwise(F.concat("detail", F.lit(" — " + HINT), F.array_join("terms", " / ")))
+    return hinted.select(*[detail.alias("detail") if c == "detail" else F.col(c) for c in found.columns])
+
+
 def effect_suggestions(markers: DataFrame, lexicon: DataFrame, limit: int = 3) -> DataFrame:
     """(marker, term, rank): lexicon entries that share words (by prefix) with a marker, the first word counting twice.
 
@@ -32,27 +45,52 @@ def effect_suggestions(markers: DataFrame, lexicon: DataFrame, limit: int = 3) -
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select("marker", "term", "rank")
 
 
+#: What is dropped from a wiki value or put in its place, in this order.
+WIKI = [
+    (re.compile(r"<ref[^>]*?/>"), ""), (re.compile(r"(?s)<ref[^>]*?>.*?</ref>"), ""), (re.compile(r"(?s)<!--.*?-->"), ""), (re.compile(r"(?i)<br\s*/?>"), " "), (re.compile(r"<[^>]+>"), ""),
+    (re.compile(r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]"), r"\1"), (re.compile(r"\[\[|\]\]|'{2,3}"), ""),
+]
+LIST_MARK, EDGES, TEMPLATES = re.compile(r"\s*[*•]\s*"), " /*•-", 8
+BOX = re.compile(r"\{\{\s*[^|}\n]*[Ii]nfobox")
+INNERMOST = re.compile(r"\{\{([^{}]*)\}\}")
+
+
+def _readable(value: str) -> str:
+    """A wiki value as text. Of a template what is said stays: its arguments without a name."""
+    for pattern, instead in WIKI:
+        value = pattern.sub(instead, value)
+    said = lambda m: f" {' '.join(a for a in m[1].split('|')[1:] if '=' not in a)} "
+    for _ in range(TEMPLATES):
+        value = INNERMOST.sub(said, value, count=1)
+    return LIST_MARK.sub(" / ", re.sub(r"\s+", " ", value)).strip(EDGES)
+
+
+def _closing(page: str, start: int) -> int:
+    """Where the template that opens at ``start`` ends."""
+    depth = 0
+    for mark in re.compile(r"\{\{|\}\}").finditer(page, start):
+        depth += 1 if mark[0] == "{{" else -1
+        if depth == 0:
+            return mark.end()
+    return len(page)
+
+
 def _fields(page: str) -> dict[str, str]:
-    """Fields of the first infobox of a page; separators inside links and inner templates do not count."""
-    start = re.search(r"\{\{\s*[Ii]nfobox", page or "")
+    """Fields of the first infobox of a page; bars inside links and inner templates do not separate."""
+    start = BOX.search(page or "")
     if not start:
         return {}
-    depth, part, parts, i = 0, "", [], start.start()
-    while i < len(page):
-        two = page[i : i + 2]
-        if two in ("{{", "[["):
-            depth, part, i = depth + 1, part + two, i + 2
-        elif two in ("}}", "]]"):
-            depth, part, i = depth - 1, part + two, i + 2
-            if depth == 0:
-                break
-        elif page[i] == "|" and depth == 1:
-            parts, part, i = [*parts, part], "", i + 1
-        else:
-            part, i = part + page[i], i + 1
-    pairs = (p.partition("=") for p in [*parts, part.removesuffix("}}")][1:])
-    clean = lambda v: re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", re.sub(r"<[^>]+>|'{2,}", "", v)).strip()
-    return {k.strip().lower(): clean(v) for k, _, v in pairs if clean(v)}
+    box = page[start.start() : _closing(page, start.start())][2:-2]
+    braces = brackets = 0
+    bars = []
+    for mark in re.finditer(r"[{}\[\]|]", box):
+        braces += (mark[0] == "{") - (mark[0] == "}")
+        brackets += (mark[0] == "[") - (mark[0] == "]")
+        if mark[0] == "|" and braces == brackets == 0:
+            bars.append(mark.start())
+    named = (box[a + 1 : b].partition("=") for a, b in zip(bars, [*bars[1:], len(box)], strict=True))
+    values = {key.strip().lower(): _readable(value) for key, there, value in named if there and key.strip() and _readable(value)}
+    return values
 
 
 def infobox(page: Column) -> Column:

@@ -41,5 +41,19 @@ def preferred_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.preferred_speech(spans)
 
 
-QUERIES = {f.__name__: f for f in (lint_job, corpus_job, draft_job, evaluate_job, translate_job, preferred_speech)}
-ORACLE = {"preferred_speech": f"with {CUES_SQL}, {SPEECH_SQL} select file_id, start_ms, end_ms, 'loudness' as method from speech where file_id % 3 <> 0 union all select file_id, start_ms + 1, end_ms, 'vad' from speech where file_id % 3 = 0"}
+def revision_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each round closes one double blank; every fifth cue would be doubled, which the guard refuses."""
+
+    def revise(c: DataFrame) -> DataFrame:
+        return c.withColumn("text", F.when(F.col("idx") % 5 == 0, F.concat("text", F.lit(" "), "text")).otherwise(F.regexp_replace("text", "^((?s).*?)  ", "$1 ")))
+
+    return jobs.revision_rounds(cues(spark, sf_dir), revise)[0].select("file_id", "idx", "text")
+
+
+QUERIES = {f.__name__: f for f in (lint_job, corpus_job, draft_job, evaluate_job, translate_job, preferred_speech, revision_rounds)}
+_ONCE = "regexp_replace({}, '^((?s).*?)  ', '\\1 ')"
+_THRICE = _ONCE.format(_ONCE.format(_ONCE.format("text")))
+ORACLE = {
+    "revision_rounds": f"with {CUES_SQL} select file_id, idx, case when idx % 5 = 0 and trim(text) <> '' then text else {_THRICE} end as text from cues",
+    "preferred_speech": f"with {CUES_SQL}, {SPEECH_SQL} select file_id, start_ms, end_ms, 'loudness' as method from speech where file_id % 3 <> 0 union all select file_id, start_ms + 1, end_ms, 'vad' from speech where file_id % 3 = 0",
+}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sottovoce.operators import checks, files, fixes, language, names, proofread, reference_data, timing, tracks
+from sottovoce.sources.scratch import scratch
 
 
 def lint_job(cues: DataFrame, profile: Mapping[str, Any], cast: DataFrame | None = None, job: Mapping[str, Any] | None = None) -> DataFrame:
@@ -84,18 +86,32 @@ def translate_job(cues: DataFrame, ask: Callable[[str], str], glossary: DataFram
 
 
 def revision_rounds(cues: DataFrame, revise: Callable[[DataFrame], DataFrame], settle_at: int = 0, least: int = 1, most: int = 3) -> tuple[DataFrame, list[int], str]:
-    """Rounds of a caller's revision under the drift guard, until few cues change or the cap is reached."""
-    first, current, changed = cues, cues, []
-    for done in range(1, most + 1):
-        proposed = revise(current).select("file_id", "idx", F.col("text").alias("after"))
-        pairs = current.select("file_id", "idx", F.col("text").alias("before")).join(first.select("file_id", "idx", F.col("text").alias("first")), ["file_id", "idx"]).join(proposed, ["file_id", "idx"])
-        kept = language.revision_drift(pairs).drop("rejected")
-        after = current.drop("text").join(kept, ["file_id", "idx"]).checkpoint()
-        changed.append(language.stage_diff(current, after).count())
-        current = after
-        if done >= least and changed[-1] <= settle_at:
-            return current, changed, "settled"
-    return current, changed, "cap"
+    """Rounds of a caller's revision under the drift guard, until few cues change or the cap is reached.
+
+    A revision depends on its cue alone, so a cue that a round leaves as it is would stay so: only cues that changed
+    go to the next round. A round is one table and one count.
+    """
+    open_, done, changed, end = cues.withColumn("first", F.col("text")), [], [], "cap"
+    for n in range(1, most + 1):
+        proposed = revise(open_.drop("first")).select("file_id", "idx", F.col("text").alias("after"))
+        pairs = open_.join(proposed, ["file_id", "idx"]).withColumn("before", F.col("text"))
+        kept = language.revision_drift(pairs).select("file_id", "idx", F.col("text").alias("kept"))
+        text = F.coalesce("kept", "text")  # a cue without a proposal stays
+        revised = open_.join(kept, ["file_id", "idx"], "left").withColumn("changed", ~F.col("text").eqNullSafe(text)).withColumn("text", text)
+        after = scratch(revised.drop("kept"), "revised")
+        changed.append(after.filter("changed").count())
+        done.append(after.filter("not changed"))
+        open_ = after.filter("changed").drop("changed")
+        if n >= least and changed[-1] <= settle_at:
+            end = "settled"
+            break
+        if not changed[-1]:
+            changed += [0] * (least - n)
+            end = "settled"
+            break
+    # What is still open has changed in the last round.
+    parts = [d.select(*cues.columns) for d in [*done, open_]]
+    return reduce(DataFrame.unionByName, parts), changed, end
 
 
 def preferred_speech(spans: DataFrame) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sottovoce.functions.text import TAGS
 from sottovoce.operators import checks, reference_data
 from sottovoce.plans.file_queries import SAMPLE_RULES, violation_report
-from sottovoce.plans.profiles import rules_table
+from sottovoce.plans.profiles import FULL, rules_table
 from sottovoce.sources.fixtures import CUES_SQL, cues
 
-LEXICON = [("문", "[문이 닫힌다]"), ("문", "[닫히는 문]"), ("차", "[자동차 경적]"), ("쾅", "[쾅 소리]")]
+LEXICON = [
+    ("문", "[문이 닫힌다]"), ("문", "[닫히는 문]"), ("문", "[문이 쾅 닫힌다]"), ("문", "[문을 두드린다]"), ("차", "[자동차 경적]"), ("차", "[자동차가 급히 멈춘다]"), ("쾅", "[쾅 소리]"), ("음악", "[잔잔한 음악]"), ("음악", "[음악이 멈춘다]"),
+    ("음악", "[잔잔한 피아노 음악]"), ("발", "[발을 구른다]"), ("물", "[물이 흐른다]"), ("물", "[흐르는 물]"), ("새", "[새가 지저귄다]"), ("닫힘", "[닫히는 창문]"), ("닫힘", "[닫히는 서랍]"),
+]
 
 
 def effect_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +23,20 @@ def effect_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(reference_data.effect_suggestions(c, spark.createDataFrame(LEXICON, "category string, term string")), "marker")
 
 
+def effect_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discouraged effect endings, and effect markers, with what the lexicon suggests."""
+    c = cues(spark, sf_dir)
+    found = checks.findings(c, FULL, ["discouraged_sound_ending"]).select("file_id", "idx", "detail")
+    return reference_data.with_effect_hints(found, spark.createDataFrame(LEXICON, "category string, term string"))
+
+
 def infobox_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of pages that are made of the cues."""
     name = F.regexp_replace("text", r"[|{}\[\]<>=']|\n", " ")
-    page = F.concat(F.lit("{{Infobox character | name = [[x|"), name, F.lit("]] | species = {{a|b}} human | age = "), F.col("idx").cast("string"), F.lit(" }} Intro."))
+    kind = F.when(F.col("idx") % 2 == 0, "{{Infobox character").otherwise("Intro {{x}} {{Character infobox")
+    page = F.concat(kind, F.lit(" | name = [[x|"), name, F.lit("]] | species = {{a|b}} human | age = "), F.col("idx").cast("string"), F.lit(" }} Intro."))
     fields = cues(spark, sf_dir).select("file_id", "idx", reference_data.infobox(page).alias("f"))
-    return fields.select("file_id", "idx", reference_data.pick(F.col("f"), ["full name", "name"]).alias("name"), reference_data.pick(F.col("f"), ["age"]).alias("age"))
+    return fields.select("file_id", "idx", reference_data.pick(F.col("f"), ["full name", "name"]).alias("name"), reference_data.pick(F.col("f"), ["age"]).alias("age"), reference_data.pick(F.col("f"), ["species"]).alias("species"))
 
 
 def cast_research(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +50,22 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_data.report_text(violation_report(spark, sf_dir), checks.unimplemented(rules, [*checks.CHECKS, "gap_too_short"]))
 
 
-QUERIES = {f.__name__: f for f in (effect_suggestions, infobox_fields, cast_research, report_text)}
+QUERIES = {f.__name__: f for f in (effect_suggestions, effect_hints, infobox_fields, cast_research, report_text)}
+
+
+def _tokens(x: str) -> str:
+    words = f"list_transform(regexp_extract_all({x}, '[가-힣]{{2,}}'), lambda w: case when length(w) > 2 then regexp_replace(w, '{reference_data.PARTICLES}', '') else w end)"
+    return f"list_filter({words}, lambda w: length(w) >= 2 and not list_contains({reference_data.EMPTY_WORDS}, w))"
+
+
 ORACLE = {
-    "infobox_fields": rf"with {CUES_SQL} select file_id, idx, regexp_replace(regexp_replace(text, '[|{{}}\[\]<>='']|\n', ' ', 'g'), '^\s+|\s+$', '', 'g') as name, idx::varchar as age from cues",
+    "infobox_fields": rf"with {CUES_SQL}, v as (select file_id, idx, trim(regexp_replace(regexp_replace(regexp_replace(text, '[|{{}}\[\]<>='']|\n', ' ', 'g'), '\s+', ' ', 'g'), '\s*[*•]\s*', ' / ', 'g'), ' /*•-') as name from cues) select file_id, idx, case when name <> '' then name end as name, idx::varchar as age, 'b human' as species from v",
+    "effect_hints": f"""with {CUES_SQL}, m as (select file_id, idx, '[' || unnest(regexp_extract_all(regexp_replace(text, '{TAGS}', '', 'g'), '\\[([^\\]]*)\\]', 1)) || ']' as marker from cues),
+        bad as (select * from m where regexp_matches(regexp_replace(regexp_replace(marker[2:-2], '^\\s+|\\s+$', '', 'g'), '\\.+$', ''), '(소리|소음)$')), lx as (select unnest({[t for _, t in LEXICON]}) as term),
+        mt as (select distinct marker, {_tokens('marker')} as ws from bad), lt as (select term, {_tokens('term')} as ts from lx),
+        hit as (select marker, term, list_filter(range(1, len(ws) + 1), lambda i: len(list_filter(ts, lambda t: starts_with(t, ws[i]) or starts_with(ws[i], t))) > 0) as spots from mt, lt where term <> marker),
+        rk as (select *, row_number() over (partition by marker order by len(spots) + case when list_contains(spots, 1) then 1 else 0 end desc, length(term), term) as r from hit where len(spots) > 0),
+        hn as (select marker, string_agg(term, ' / ' order by r) as terms from rk where r <= 3 group by 1)
+        select file_id, idx, bad.marker || coalesce(' — {reference_data.HINT}' || terms, '') as detail from bad left join hn on bad.marker = hn.marker""",
     "cast_research": f"with {CUES_SQL} select distinct 'P' || file_id as name, case when file_id % 5 = 0 then 'known' else 'd2' end as description, '3 pages' as note from cues",
 }
