@@ -183,27 +183,11 @@ def parse_glossary(lines: DataFrame) -> DataFrame:
     return rows.filter("term <> '' and korean <> ''")
 
 
-#: Cells that stand for nothing, and spellings of the levels of politeness.
-PLACEHOLDERS = ["확인 필요", "정해 주세요", "-", "—", ""]
-TONES = {"합니다체": "합니다체", "합쇼체": "합니다체", "하십시오체": "합니다체", "해요체": "해요체", "반말": "반말", "해체": "반말"}
-
-
-def clean_cast(sheet: DataFrame) -> DataFrame:
-    """(speaker, tone) from a sheet of these columns: placeholders are null, unknown levels are empty."""
-    tone = F.when(F.col("tone").isin(PLACEHOLDERS), None).otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TONES.items() for x in kv]), F.col("tone")), F.lit("")))
-    return sheet.select(F.when(~F.col("speaker").isin(PLACEHOLDERS), F.col("speaker")).alias("speaker"), tone.alias("tone")).filter("speaker is not null")
-
-
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated with a header; a missing value is written as needing a check."""
     df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("확인 필요")).alias(c) for c in df.columns]).write.option("sep", "\t").option("header", "true").csv(path)
 
 
-def read_cast_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated sheet, its columns found by name, as (speaker, tone)."""
-    return clean_cast(spark.read.option("sep", "\t").option("header", "true").csv(path))
-
-
 def list_subtitle_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path): subtitle files of a folder and of the folders right in it, in any case of the ending, without ``*.fixed.srt``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
@@ -218,25 +202,3 @@ def write_json(tables: Mapping[str, DataFrame], path: str, by: str | None = None
     for name, df in tables.items():
         writer = df.write.partitionBy(by) if by and by in df.columns else df.write
         writer.json(f"{path.rstrip('/')}/{name}")
-
-
-class StageStore:
-    """Stages of a work as Parquet by step, beside a log of steps; nothing is overwritten."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def save(self, cues: DataFrame, step: str, seq: int, note: str = "") -> None:
-        cues.write.mode("errorifexists").parquet(f"{self.folder}/steps/{step}")
-        log = self.spark.read.parquet(f"{self.folder}/steps/{step}").agg(F.lit(step).alias("step"), F.lit(seq).alias("seq"), F.count("*").alias("cues"), F.lit(note).alias("note"))
-        log.write.mode("append").parquet(f"{self.folder}/log")
-
-    def read(self, step: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/steps/{step}")
-
-    def steps(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/log").orderBy("seq")
-
-    def last(self) -> str | None:
-        row = self.steps().agg(F.max_by("step", "seq").alias("step")).first()
-        return row["step"] if row else None

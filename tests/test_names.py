@@ -91,10 +91,6 @@ def test_sheets_lists_and_json(spark, tmp_path):
     for name in ("x.SRT", "y.vtt", "z.fixed.srt", "n.txt", "a/w.srt", "a/deep/v.srt"):
         (tmp_path / name).write_text("1")
     assert sorted(r.path.rsplit("/", 1)[1] for r in subtitles.list_subtitle_files(spark, str(tmp_path)).collect()) == ["w.srt", "x.SRT", "y.vtt"]
-    sheet = tmp_path / "sheet"
-    sheet.mkdir()
-    (sheet / "c.tsv").write_text("tone\tspeaker\textra\n합쇼체\t철수\t1\n확인 필요\t영희\t2\n뭔가\t민수\t3\n해요체\t-\t4\n", encoding="utf-8")
-    assert sorted((r.speaker, r.tone) for r in subtitles.read_cast_sheet(spark, str(sheet)).collect()) == [("민수", ""), ("영희", None), ("철수", "합니다체")]
     pairs = spark.createDataFrame([("t1", 1), ("t2", 2)], "title string, n int")
     subtitles.write_json({"pairs": pairs, "stats": pairs.groupBy().count()}, str(tmp_path / "out"), "title")
     assert sorted(p.name for p in (tmp_path / "out" / "pairs").iterdir() if p.is_dir()) == ["title=t1", "title=t2"]

@@ -20,8 +20,10 @@ def test_cues_and_turns_are_whole(spark, tmp_path):
     at = tables(spark, tmp_path)
     cues = fixtures.cues(spark, at).orderBy("idx").collect()
     assert [c.idx for c in cues] == list(range(1, len(cues) + 1)) and len(cues) == 17 * -(-len(LINE) // 60)
-    plain = [c for c in cues if c.idx % 16 == 4]
-    assert plain and all(c.text.replace("\n", "").removesuffix("...") in LINE for c in plain)
+    # Whatever its defect, a cue holds all of its part of the line.
+    parts = [LINE[i : i + 60].strip() for i in range(0, len(LINE), 60)] * 17
+    flat = lambda x: x.replace("\n", "").replace(" ", "")
+    assert all(flat(p) in flat(c.text) for p, c in zip(parts, cues, strict=True))
     assert fixtures.dialogue(spark, at).first().text == f"[user] {LINE}"
 
 
@@ -59,4 +61,6 @@ def test_translation_and_transcript_take_every_cue(spark, tmp_path):
     at = tables(spark, tmp_path)
     n = fixtures.cues(spark, at).count()
     assert {r.idx for r in QUERIES["back_translation_overlap"](spark, at).collect()} == set(range(1, n + 1))
-    assert {r.pos for r in QUERIES["align_transcript"](spark, at).collect()} == set(range(1, n + 1))
+    said = {r.text for r in fixtures.cues(spark, at).collect()}
+    aligned = QUERIES["align_transcript"](spark, at).collect()
+    assert len([r for r in aligned if r.start_ms < r.end_ms]) == n and {r.text for r in aligned if r.source == "transcript"} <= said
