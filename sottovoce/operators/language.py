@@ -153,7 +153,7 @@ def parse_numbered_reply(replies: DataFrame, expected: DataFrame) -> DataFrame:
     """(batch, idx, text) from (batch, reply): numbered lines with their continuations, for expected numbers alone."""
     lines = replies.select("batch", F.posexplode(F.split(F.replace("reply", F.lit("\r\n"), F.lit("\n")), "\n", -1)).alias("pos", "line"))
     head = r"^\s*(\d+)\s*[.):]\s*(.*)$"
-    lines = lines.withColumn("n", F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1).cast("int")))
+    lines = lines.withColumn("n", F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1).try_cast("int")))
     lines = lines.join(expected.select(F.col("batch").alias("b"), F.col("idx").alias("known")), (F.col("batch") == F.col("b")) & (F.col("n") == F.col("known")), "left")
     said = F.when(F.col("known").isNotNull(), trimmed(F.regexp_extract("line", head, 2))).otherwise(trimmed(F.col("line")))
     owner = F.last("known", ignorenulls=True).over(Window.partitionBy("batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))

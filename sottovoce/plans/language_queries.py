@@ -82,7 +82,7 @@ def timecode_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def protect_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cues(spark, sf_dir).select("file_id", "idx", language.protect_markup(F.col("text")).alias("p"))
-    return p.select("file_id", "idx", "p.head", "p.body", "p.tail", language.restore_markup(F.upper("p.body"), F.col("p")).alias("restored"))
+    return p.select("file_id", "idx", "p.head", "p.body", "p.tail", language.restore_markup(F.lower("p.body"), F.col("p")).alias("restored"))
 
 
 def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,18 @@ def term_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.term_research(terms, g, low, links)
 
 
-QUERIES = {f.__name__: f for f in (translation_flags, translation_flags_with_glossary, glossary_misses, glossary_misses_of_many_terms, glossary_misses_of_many_words, back_translation_overlap, back_translation_summary, worst_n, revision_drift, stage_diff, timecode_lock, protect_and_restore, prompt_batches, parse_numbered_reply, translate_round_trip, platform_guess, kind_guess, profile_mismatch, cast_extract, cast_cross_reference, acronyms, proper_nouns, bookmark_kinds, term_research)}
+def term_research_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark, looked up in a glossary, a dictionary with two spellings, and links of which some are ambiguous."""
+    terms = _benchmark_terms(spark, sf_dir).select("term")
+    glossary = spark.createDataFrame(GLOSSARY, "term string, korean string")
+    third, even = F.length("term") % 3 == 0, F.length("term") % 2 == 0
+    upper = terms.filter(third).select(F.upper("term").alias("source"), F.concat(F.lit("대문자 "), "term").alias("korean"), F.lit(1).alias("pos"))
+    dictionary = upper.unionByName(terms.filter(third & even).select(F.col("term").alias("source"), F.concat(F.lit("사전 "), "term").alias("korean"), F.lit(2).alias("pos")))
+    links = terms.select(F.col("term").alias("title"), F.concat("term", F.when(even, " (영화)").otherwise("")).alias("target"))
+    return language.term_research(terms, glossary, dictionary, links)
+
+
+QUERIES = {f.__name__: f for f in (term_research_of_words, translation_flags, translation_flags_with_glossary, glossary_misses, glossary_misses_of_many_terms, glossary_misses_of_many_words, back_translation_overlap, back_translation_summary, worst_n, revision_drift, stage_diff, timecode_lock, protect_and_restore, prompt_batches, parse_numbered_reply, translate_round_trip, platform_guess, kind_guess, profile_mismatch, cast_extract, cast_cross_reference, acronyms, proper_nouns, bookmark_kinds, term_research)}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in language.STOPWORDS) + "]"
 
@@ -189,3 +200,40 @@ ORACLE = {
     "acronyms": rf"with {CUES_SQL}, a as (select file_id, idx, unnest(list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,6}}'))) as term from cues) select file_id, term, count(*) as n, min(idx) as first_idx from a where term not in ('I', 'A', 'OK') group by 1, 2",
     "bookmark_kinds": f"with {CUES_SQL} select file_id, ['timecode', 'notation', 'notation', 'translation', 'other'][idx % 5 + 1] as kind, count(*) as n from cues group by 1, 2",
 }
+
+_MARK = r"(?:\{\\[^}]*\}|</?[a-zA-Z][^>]*>|♪+)"
+_HEAD = r"^\s*-?\s*([\[(])([^\])]+)([\])])\s*(\S.*)$"
+#: What speaks for which platform: (condition, ((platform, points), ...), reason).
+_SIGNS = [
+    ("contains(s, '음 소거')", (("disney", 2), ("coupang", 2)), "[음 소거 효과음]"), ("regexp_matches(s, 'O[가-힣]|[가-힣]O')", (("disney", 2),), "대문자 O 삐 처리"), (r"regexp_matches(s, '\*[가-힣]|[가-힣]\*')", (("netflix", 1), ("coupang", 1)), "별표 삐 처리"),
+    ("contains(s, '…')", (("netflix", 1), ("disney", 1)), "전각 말줄임표"), ("contains(s, '...')", (("coupang", 1), ("disney", 1)), "점 셋 말줄임표"),
+]
+
+
+def _given(platform: str, points: int, why: str, source: str) -> str:
+    return f"select file_id, '{platform}' as platform, {points} as points, {why} as why from {source}"
+
+
+_EVIDENCE = " union all ".join([
+    _given("coupang", 3, "'소괄호 화자명 (' || inside || ')'", "hl where opener = '('"), _given("netflix", 3, "'슬래시로 나눈 화자명 [' || inside || ']'", "hl where opener = '[' and contains(inside, '/')"),
+    _given("disney", 3, "'서술형 화자명 [' || inside || ']'", r"hl where opener = '[' and not contains(inside, '/') and regexp_matches(inside, '(이|가)\s+\S+(로|게)$')"),
+    _given("disney", 3, "'음악 효과음 안의 음표 [' || x || ']'", "mu where contains(x, '♪')"), *[_given(p, 1, "'음표 없는 음악 효과음 [' || x || ']'", "mu where not contains(x, '♪')") for p in ("netflix", "coupang")],
+    *[_given(p, n, f"'{why}'", f"st where {when}") for when, given, why in _SIGNS for p, n in given],
+])
+_GUESS = rf"""with {CUES_SQL}, st as (select file_id, regexp_replace(text, '{TAGS}', '', 'g') as s from cues),
+    hl as (select file_id, regexp_extract(x, '{_HEAD}', 1) as opener, regexp_extract(x, '{_HEAD}', 2) as inside from (select file_id, unnest(string_split(s, chr(10))) as x from st) where regexp_matches(x, '{_HEAD}')),
+    mu as (select * from (select file_id, unnest(regexp_extract_all(s, '\[([^\]]*)\]', 1)) as x from st) where regexp_matches(x, '음악|곡|연주')), ev as ({_EVIDENCE})
+    select file_id, platform, sum(points)::bigint as score, array_to_string(list_sort(list(distinct why)), '; ') as evidence from ev group by 1, 2"""
+ORACLE |= {
+    "platform_guess": _GUESS,
+    "profile_mismatch": f"""with kg as ({ORACLE["kind_guess"]}), pg as ({_GUESS}), sc as (select file_id, max({{'score': score, 'top': platform}}) as b, coalesce(max(score) filter (platform = 'netflix'), 0) as own from pg group by 1),
+        w as (select kg.file_id, case when kind is not null and kind <> 'sdh' then 'kind: ' || kind when b.top <> 'netflix' and b.score - own >= 4 then 'platform: ' || b.top end as warning from kg left join sc on kg.file_id = sc.file_id) select * from w where warning is not null""",
+    "term_research_of_words": f"with {_TERMS} select term, case when term = 'the' then '그' when term = 'not' then '아니' when term = 'and' then '그리고' when length(term) % 3 = 0 then case when length(term) % 2 = 0 then '사전 ' else '대문자 ' end || term when length(term) % 2 = 1 then term end as korean, case when term in ('the', 'not', 'and') then 'glossary' when length(term) % 3 = 0 then 'dictionary' when length(term) % 2 = 1 then 'link' end as origin from g",
+    "protect_and_restore": rf"""with {CUES_SQL}, h as (select file_id, idx, text, regexp_extract(text, '^((?:\s*{_MARK}\s*)*)', 1) as h from cues), r as (select *, substr(text, length(h) + 1) as rest from h), t as (select *, regexp_extract(rest, '((?:\s*{_MARK}\s*)*)$', 1) as t from r),
+        b as (select file_id, idx, regexp_replace(h, '\s+', '', 'g') as head, regexp_replace(regexp_replace(regexp_replace(left(rest, length(rest) - length(t)), '{_MARK}', ' ', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') as body, regexp_replace(t, '\s+', '', 'g') as tail from t)
+        select *, head || case when ends_with(head, '♪') then ' ' else '' end || lower(body) || case when starts_with(tail, '♪') then ' ' else '' end || tail as restored from b""",
+    "parse_numbered_reply": rf"""with {CUES_SQL}, rp as (select file_id as batch, string_split(string_agg(idx || '. ' || text, chr(10) order by idx), chr(10)) as ls from cues group by 1), l0 as (select batch, unnest(ls) as line, unnest(range(len(ls))) as pos from rp),
+        l1 as (select *, case when regexp_matches(line, '^\s*\d+\s*[.):]') then try_cast(regexp_extract(line, '^\s*(\d+)', 1) as int) end as n from l0), l2 as (select l1.*, c.idx as known from l1 left join cues c on c.file_id = batch and c.idx = n),
+        l3 as (select batch, pos, last_value(known ignore nulls) over w as idx, last_value(case when known is not null then pos end ignore nulls) over w as since, regexp_replace(case when known is not null then regexp_replace(line, '^\s*\d+\s*[.):]\s*', '') else line end, '^\s+|\s+$', '', 'g') as said from l2 window w as (partition by batch order by pos rows unbounded preceding)),
+        l4 as (select *, max(since) over (partition by batch, idx) as latest from l3 where idx is not null and said <> '') select batch, idx, string_agg(said, chr(10) order by pos) as text from l4 where since = latest group by 1, 2""",
+}

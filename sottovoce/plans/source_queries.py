@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sottovoce.functions.text import TAGS
 from sottovoce.operators import checks
 from sottovoce.plans.file_queries import SAMPLE_RULES
 from sottovoce.plans.profiles import FULL, rules_table
@@ -76,3 +77,8 @@ ORACLE = {
     "video_of_subtitle": f"with {CUES_SQL} select distinct printf('/w/%d/t%05d_TL.srt', file_id % 7, file_id) as path, printf('/w/%d/t%05d', file_id % 7, file_id) || case when file_id % 10 = 5 then '.mp4' else '.mkv' end as video from cues",
     "glossary_of_subtitle": f"with {CUES_SQL}, f as (select distinct file_id from cues), b as (select file_id % 7 as dir, min(printf('/w/%d/t%05d KNP.xlsx', file_id % 7, file_id)) as first from f where file_id % 10 = 3 group by 1) select printf('/w/%d/t%05d_ko_TL.fixed.srt', file_id % 7, file_id) as path, case when file_id % 10 = 3 then printf('/w/%d/t%05d KNP.xlsx', file_id % 7, file_id) else first end as book from f join b on f.file_id % 7 = b.dir",
 }
+ORACLE["review_srt"] = f"""with {CUES_SQL}, k as (select *, string_split(text, chr(10)) as ls from cues),
+    f as (select file_id, idx, null::int as line_no, 'R01' as rule_id, len(ls) || '줄 — 최대 1줄' as detail, '' as mark from k where len(ls) > 1 union all select file_id, idx, null::int, 'R03', '''...'' 발견', '[자동]' from k where contains(text, '...')
+    union all select file_id, idx, line_no, 'R02', '이중 공백', '[자동]' from (select *, unnest(ls) as l, unnest(range(1, len(ls) + 1))::int as line_no from k) where contains(regexp_replace(l, '{TAGS}', '', 'g'), '  ')),
+    b as (select file_id, idx, list(mark || rule_id || ' ' || coalesce(line_no || '행 ', '') || substr(detail, 1, 40) order by rule_id, coalesce(line_no, 0)) as ls from f group by 1, 2)
+    select file_id, idx, case when b.ls is null then '·' else b.ls[1] || case when len(b.ls) > 1 then chr(10) || '… 외 ' || (len(b.ls) - 1) || '건' else '' end end as text from cues left join b using (file_id, idx)"""
