@@ -117,12 +117,51 @@ def cast_research(people: DataFrame, pages: DataFrame) -> DataFrame:
     return best.select("name", F.coalesce("description", "found").alias("description"), F.when(F.col("hits") > 1, F.concat("hits", F.lit(" pages"))).alias("note"))
 
 
-def report_text(found: DataFrame, unimplemented: DataFrame | None = None, shown: int = 200) -> DataFrame:
-    """(file_id, report): a readable report by file; what is not implemented is said, the list of findings is a report of at most ``shown``."""
-    line = F.concat(F.lit("#"), "idx", F.lit(" "), "rule_id", F.lit(" "), "message", F.lit(" — "), "detail", F.lit(" | "), "excerpt")
-    body = found.groupBy("file_id").agg(F.count("*").alias("n"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct("idx", "rule_id", F.coalesce("line_no", F.lit(0)).alias("l"), line.alias("line")))), 1, shown), lambda x: x["line"]).alias("lines"))
-    rest = F.lit("")
+def _listed(rows: DataFrame, order: list[Column], line: Column, name: str) -> DataFrame:
+    """(file_id, name): the lines of each file in order."""
+    return rows.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")))), lambda x: x["line"]).alias(name))
+
+
+def report_text(
+    files: DataFrame, found: DataFrame, header: str, basis: str | None = None, warnings: DataFrame | None = None, suggestions: DataFrame | None = None, unimplemented: DataFrame | None = None, skipped: tuple[str, ...] = (), shown: int = 8
+) -> DataFrame:
+    """(file_id, report): a readable report of each of ``files`` (file_id, name), also of those without findings.
+
+    It says by which profile and source was judged, all findings, their counts by rule, ``shown`` of the suggestions and
+    how many more there are, what is not implemented and what could not run.
+    """
+    none = F.array().cast("array<string>")
+    where = F.concat(F.lit("#"), "idx", F.when(F.col("line_no").isNotNull(), F.concat(F.lit(" "), "line_no", F.lit("행"))).otherwise(""))
+    wide = F.concat(F.repeat(F.lit(" "), F.greatest(10 - F.length(where), F.lit(0))), where)
+    detail = F.when(F.startswith("detail", F.lit("->")), F.col("detail")).otherwise(F.concat(F.lit("-> "), "detail"))
+    pad = "              "
+    line = F.concat_ws(
+        "\n", F.concat(F.lit("  ["), F.when(F.col("auto"), "자동").otherwise("확인"), F.lit("] "), wide, F.lit("  "), "rule_id", F.lit(" "), "clause"),
+        F.when(F.col("excerpt") != "", F.concat(F.lit(f"{pad}| "), "excerpt")), F.concat(F.lit(pad), "message"), F.when(F.col("detail") != "", F.concat(F.lit(pad), detail)),
+    )
+    out = files.select("file_id", "name").join(_listed(found, [F.col("idx"), F.col("rule_id"), F.coalesce("line_no", F.lit(0))], line, "findings"), "file_id", "left")
+    counts = found.groupBy("file_id", "rule_id", "message").agg(F.count("*").alias("n"))
+    number = F.col("n").cast("string")
+    counted = F.concat(F.lit("    "), F.repeat(F.lit(" "), F.greatest(4 - F.length(number), F.lit(0))), number, F.lit("건  "), "rule_id", F.lit("  "), "message")
+    out = out.join(_listed(counts, [-F.col("n"), F.col("rule_id"), F.col("message")], counted, "counts"), "file_id", "left")
+    if warnings is not None:
+        out = out.join(_listed(warnings, [F.col("warning")], F.concat(F.lit("  ⚠ "), "warning"), "warned"), "file_id", "left")
+    if suggestions is not None:
+        said = F.concat(F.lit("    #"), "idx", F.lit(" "), "field", F.lit(" "), "current", F.lit(" -> "), "suggested", F.lit("ms"))
+        out = out.join(_listed(suggestions, [F.col("idx"), F.col("field")], said, "suggested"), "file_id", "left")
+    missing = none
     if unimplemented is not None:
-        body = body.crossJoin(F.broadcast(unimplemented.agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("missing"))))
-        rest = F.concat(F.lit("\nnot implemented: "), "missing")
-    return body.select("file_id", F.concat(F.lit("findings: "), "n", F.lit("\n"), F.array_join("lines", "\n"), rest).alias("report"))
+        # One row, of the labels of a profile.
+        names = unimplemented.agg(F.array_sort(F.collect_set("label")).alias("missing"))
+        out = out.join(F.broadcast(names), F.lit(True))
+        missing = F.when(F.size("missing") > 0, F.array(F.concat(F.lit("  미구현 검사 "), F.size("missing").cast("string"), F.lit("건: "), F.array_join("missing", ", ")))).otherwise(none)
+    some = lambda c: F.coalesce(F.col(c), none)
+    head = F.array(F.concat("name", F.lit(f" — {header}")), *([F.lit(f"  기준: {basis}")] if basis else []))
+    by_rule = F.when(F.col("counts").isNotNull(), F.concat(F.array(F.lit("  규칙별 집계")), some("counts"), F.array(F.lit("")))).otherwise(none)
+    parts = [head, some("warned") if warnings is not None else none, F.coalesce("findings", F.array(F.lit("  위반 없음"))), F.array(F.lit("")), by_rule, F.array(F.concat(F.lit("  위반 "), F.coalesce(F.size("findings"), F.lit(0)).cast("string"), F.lit("건")))]
+    if suggestions is not None:
+        n = F.size("suggested")
+        more = F.when(n > shown, F.array(F.concat(F.lit("    … 외 "), (n - shown).cast("string"), F.lit("건")))).otherwise(none)
+        parts.append(F.when(F.col("suggested").isNotNull(), F.concat(F.array(F.concat(F.lit("  스포팅 제안 "), n.cast("string"), F.lit("건 (자동 적용 안 함)"))), F.slice("suggested", 1, shown), more)).otherwise(none))
+    parts += [missing, F.array(*[F.lit(f"  돌지 못한 검사: {r}") for r in skipped]).cast("array<string>")]
+    return out.select("file_id", F.array_join(F.concat(*parts), "\n").alias("report"))

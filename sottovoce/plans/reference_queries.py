@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions.text import TAGS
 from sottovoce.operators import checks, reference_data
+from sottovoce.plans import file_queries, language_queries, timing_queries
 from sottovoce.plans.file_queries import SAMPLE_RULES, violation_report
 from sottovoce.plans.profiles import FULL, rules_table
-from sottovoce.sources.fixtures import CUES_SQL, cues
+from sottovoce.sources.fixtures import CUES_SQL, cues, table
 
 LEXICON = [
     ("문", "[문이 닫힌다]"), ("문", "[닫히는 문]"), ("문", "[문이 쾅 닫힌다]"), ("문", "[문을 두드린다]"), ("차", "[자동차 경적]"), ("차", "[자동차가 급히 멈춘다]"), ("쾅", "[쾅 소리]"), ("음악", "[잔잔한 음악]"), ("음악", "[음악이 멈춘다]"),
@@ -45,9 +46,15 @@ def cast_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_data.cast_research(people, pages)
 
 
+SKIPPED = ("formality_inconsistent (화자별 말투를 정하지 않았습니다)",)
+
+
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all files, with the warning of another platform and the spotting suggestions."""
     rules = rules_table(spark, {"s": {"rules": SAMPLE_RULES}})
-    return reference_data.report_text(violation_report(spark, sf_dir), checks.unimplemented(rules, [*checks.CHECKS, "gap_too_short"]))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("f"), "doc_id", F.lit(".srt")).alias("name"))
+    missing = checks.unimplemented(rules, [*checks.CHECKS, "gap_too_short"])
+    return reference_data.report_text(files, violation_report(spark, sf_dir), "sample sdh", "sample source", language_queries.profile_mismatch(spark, sf_dir), timing_queries.spotting_suggestions(spark, sf_dir), missing, SKIPPED)
 
 
 QUERIES = {f.__name__: f for f in (effect_suggestions, effect_hints, infobox_fields, cast_research, report_text)}
@@ -69,3 +76,11 @@ ORACLE = {
         select file_id, idx, bad.marker || coalesce(' — {reference_data.HINT}' || terms, '') as detail from bad left join hn on bad.marker = hn.marker""",
     "cast_research": f"with {CUES_SQL} select distinct 'P' || file_id as name, case when file_id % 5 = 0 then 'known' else 'd2' end as description, '3 pages' as note from cues",
 }
+ORACLE["report_text"] = f"""with v as ({file_queries.ORACLE["violation_report"]}), wn as ({language_queries.ORACLE["profile_mismatch"]}), sg as ({timing_queries.ORACLE["spotting_suggestions"]}),
+    ln as (select *, '#' || idx || coalesce(' ' || line_no || '행', '') as place from v),
+    fd as (select file_id, count(*) as n, string_agg('  [' || case when auto then '자동' else '확인' end || '] ' || repeat(' ', greatest(10 - length(place), 0)::bigint) || place || '  ' || rule_id || ' ' || clause || case when excerpt <> '' then chr(10) || repeat(' ', 14) || '| ' || excerpt else '' end || chr(10) || repeat(' ', 14) || message || case when detail <> '' then chr(10) || repeat(' ', 14) || '-> ' || detail else '' end, chr(10) order by idx, rule_id, coalesce(line_no, 0)) as t from ln group by 1),
+    ct as (select file_id, '  규칙별 집계' || chr(10) || string_agg('    ' || repeat(' ', greatest(4 - length(n::varchar), 0)::bigint) || n || '건  ' || rule_id || '  ' || message, chr(10) order by n desc, rule_id, message) || chr(10) || chr(10) as t from (select file_id, rule_id, message, count(*) as n from v group by all) group by 1),
+    ss as (select file_id, count(*) as n, list('    #' || idx || ' ' || field || ' ' || "current" || ' -> ' || suggested || 'ms' order by idx, field) as ls from sg group by 1)
+    select doc_id as file_id, 'f' || doc_id || '.srt — sample sdh' || chr(10) || '  기준: sample source' || chr(10) || coalesce('  ⚠ ' || warning || chr(10), '') || coalesce(fd.t, '  위반 없음') || chr(10) || chr(10) || coalesce(ct.t, '') || '  위반 ' || coalesce(fd.n, 0) || '건'
+        || coalesce(chr(10) || '  스포팅 제안 ' || ss.n || '건 (자동 적용 안 함)' || chr(10) || array_to_string(ls[1:8], chr(10)) || case when ss.n > 8 then chr(10) || '    … 외 ' || (ss.n - 8) || '건' else '' end, '') || chr(10) || '  미구현 검사 1건: R04 (glyph_not_allowed)' || chr(10) || '  돌지 못한 검사: {SKIPPED[0]}' as report
+    from documents left join fd on fd.file_id = doc_id left join ct on ct.file_id = doc_id left join wn on wn.file_id = doc_id left join ss on ss.file_id = doc_id"""
