@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of ``documents``. Near-duplicates use five-word
 shingles at a similarity of 0.8.
+
+Edge cases: null and empty texts have under 50 words, so the quality rules reject them; a null source is a source of its
+own; repeated rows are near-duplicates of each other, and as they share an id they stay or go together; null ids are
+carried, and near-duplicates keep them; texts of any length are judged, cut, compared and packed whole; an empty table
+gives an empty result; further columns of the documents, of whatever name, are carried up to the packing.
 """
 
 from __future__ import annotations
@@ -51,7 +56,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_windows),
 ]
-#: Near-duplicate search and tokenisation have no SQL form; a test holds the pipeline against a plain version.
+#: Near-duplicate search and tokenisation have no SQL form; a test holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
