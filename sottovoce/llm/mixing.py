@@ -132,14 +132,35 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "source", "n_tokens", F.col("pass").alias("copy"), "block", "block_key", "order_key")
 
 
-SQL = r"""with recursive d as (select doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as n_tokens,
-  ('0x' || substr(md5('17:block:' || doc_id), 1, 8))::bigint as bits from documents),
-t as (select source, count(*) as n_docs, sum(n_tokens)::bigint as all_tokens from d group by 1),
-r as (select min(all_tokens) / max(all_tokens)::double as q, max(all_tokens) as most from t),
+def op8_mixing_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the corpus's words, from its sources so far evened out that they reach 2.5 bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    budget = (docs.agg(F.sum(n_words(F.col("text")))).first()[0] or 0) // 2
+    out = mix(docs, max_repeats=None, target_entropy=2.5, budget=budget)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "source", "n_tokens", F.col("pass").alias("copy"), "block", "block_key", "order_key")
+
+
+#: Repeats of each source in cover mode with a limit of 2.
+_COVER = r"""r as (select min(all_tokens) / max(all_tokens)::double as q, max(all_tokens) as most from t),
 b(i, low, high) as (select 0, 0.0::double, 1.0::double union all
   select i + 1, case when pow(q, (low + high) / 2 - 1) <= 2.0 then low else (low + high) / 2 end, case when pow(q, (low + high) / 2 - 1) <= 2.0 then (low + high) / 2 else high end from b, r where i < 48),
 e as (select round(case when pow(q, -1.0) <= 2.0 then 0.0 else (select high from b where i = 48) end, 6) as x, most from r),
-p as (select source, n_docs, all_tokens, round(pow(all_tokens / most::double, x - 1), 6) as repeats from t, e),
+p as (select source, n_docs, all_tokens, round(pow(all_tokens / most::double, x - 1), 6) as repeats from t, e),"""
+#: Repeats of each source for an entropy of 2.5 bits and half of all words.
+_BUDGET = r"""a as (select sum(all_tokens)::double as total, sum(all_tokens)::bigint // 2 as budget from t),
+l as (select list_sort(list(all_tokens / total)) as ps from t, a where all_tokens > 0),
+b(i, low, high, ps) as (select 0, 0.0::double, 1.0::double, ps from l union all
+  select i + 1, case when flat then low else mid end, case when flat then mid else high end, ps from (select *, -list_sum(list_transform(qs, lambda q: q / list_sum(qs) * log2(q / list_sum(qs)))) < 2.5 as flat from
+    (select *, list_transform(ps, lambda p: pow(p, mid)) as qs from (select *, (low + high) / 2 as mid from b where i < 48)))),
+e as (select case when log2(len(ps)) < 2.5 then 0.0 else round(low, 6) end as x, ps from b where i = 48),
+p as (select source, n_docs, all_tokens, case when all_tokens > 0 then round(pow(all_tokens / total, x - 1) / list_sum(list_transform(ps, lambda p: pow(p, x))) * budget / total, 6) else 0.0 end as repeats from t, e, a),"""
+
+
+def _sql(plan: str) -> str:
+    return rf"""with recursive d as (select doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as n_tokens,
+  ('0x' || substr(md5('17:block:' || doc_id), 1, 8))::bigint as bits from documents),
+t as (select source, count(*) as n_docs, sum(n_tokens)::bigint as all_tokens from d group by 1),
+{plan}
 p2 as (select *, floor(repeats)::bigint as passes, (all_tokens::hugeint * round(repeats * 1000000)::hugeint // 1000000)::bigint - floor(repeats)::bigint * all_tokens as rest from p),
 k as (select d.*, bits % ceil(n_docs / 1024.0)::bigint as block, passes, rest from d join p2 using (source)),
 g as (select source, block, sum(n_tokens) as n, max(rest) as rest, max(passes) + 1 as copy from k where rest > 0 group by 1, 2),
@@ -148,5 +169,7 @@ u as (select k.*, before + sum(n_tokens) over (partition by source, block order
 o as (select doc_id, source, n_tokens, unnest(range(1, passes + 1))::bigint as copy, block from k where passes > 0
 union all select doc_id, source, n_tokens, passes + 1, block from u where upto <= rest)
 select *, md5('17:turn:' || copy || ':' || source || ':' || block) as block_key, md5('17:doc:' || copy || ':' || doc_id) as order_key from o"""
-QUERIES = {"op8_mixing": op8_mixing}
-ORACLE = {"op8_mixing": SQL}
+
+
+QUERIES = {"op8_mixing": op8_mixing, "op8_mixing_to_budget": op8_mixing_to_budget}
+ORACLE = {"op8_mixing": _sql(_COVER), "op8_mixing_to_budget": _sql(_BUDGET)}
