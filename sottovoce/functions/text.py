@@ -15,11 +15,16 @@ def strip_tags(text: Column) -> Column:
 
 
 def weighted_chars(text: Column, wide: float | Column = 1.0, other: float | Column = 1.0) -> Column:
-    """Length without markup and line breaks, wide characters and others by weight."""
-    plain = F.regexp_replace(text, TAGS + r"|[\r\n]", "")
-    rest = F.length(F.regexp_replace(plain, f"[{WIDE}]", ""))
+    """Length without markup and line breaks, wide characters and others by weight.
+
+    Steps are bound in lambdas, so that a text is looked through once for each pattern wherever the result is used;
+    a text without an opening mark holds no markup.
+    """
     wide, other = (w if isinstance(w, Column) else F.lit(float(w)) for w in (wide, other))
-    return (F.length(plain) - rest) * wide + rest * other
+    marked = F.contains(text, F.lit("<")) | F.contains(text, F.lit("{"))
+    plain = F.translate(F.when(marked, F.regexp_replace(text, TAGS, "")).otherwise(text), "\r\n", "")
+    sizes = F.transform(F.array(plain), lambda p: F.struct(F.length(p).alias("all"), F.when(F.octet_length(p) == F.length(p), F.length(p)).otherwise(F.length(F.regexp_replace(p, f"[{WIDE}]", ""))).alias("other")))
+    return F.transform(sizes, lambda n: (n["all"] - n["other"]) * wide + n["other"] * other)[0]
 
 
 def chars_per_second(text: Column, duration_ms: Column, wide: float | Column = 1.0, other: float | Column = 1.0) -> Column:

@@ -113,7 +113,8 @@ def too_many_lines(p: Profile) -> Column | None:
 @check
 def line_length_exceeded(p: Profile) -> Column | None:
     if limit := _section(p, "limits", "chars_per_line"):
-        return each(lines_(), lambda x: weighted_chars(x, *_weights(p)) > limit, lambda x: F.concat(short_number(weighted_chars(x, *_weights(p))), F.lit(f"자 — 최대 {limit}자")))
+        sizes = F.transform(lines_(), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), weighted_chars(x, *_weights(p)).alias("size")))
+        return F.transform(F.filter(sizes, lambda s: s["size"] > limit), lambda s: F.struct(s["line_no"].alias("line_no"), F.concat(short_number(s["size"]), F.lit(f"자 — 최대 {limit}자")).alias("detail"))).cast(FOUND)
 
 
 def _speed(p: Profile) -> Column:

@@ -236,12 +236,12 @@ def profile_mismatch(cues: DataFrame, platform: str, kind: str, margin: int = 4)
 
 
 def cast_extract(cues: DataFrame) -> DataFrame:
-    """(file_id, label, lines, first_idx): speakers by file."""
+    """(file_id, label, lines, first_idx): how much each label of a file says; ``names.cast_profile`` adds times and levels of politeness."""
     return speaker_lines(cues).groupBy("file_id", "label").agg(F.count("*").alias("lines"), F.min("idx").alias("first_idx"))
 
 
 def cast_cross_reference(cues: DataFrame) -> DataFrame:
-    """(file_id, speaker, other, mentions): cues in which a speaker names another of the same file."""
+    """(file_id, speaker, other, mentions): in how many of its lines a label names another one of its file. ``names.cross_reference`` counts whole cues and says how the other is addressed."""
     spoken = speaker_lines(cues).groupBy("file_id", "idx", F.col("label").alias("speaker")).agg(F.array_join(F.collect_list("said"), " ").alias("body"))
     names = cast_extract(cues).select("file_id", F.col("label").alias("other"))
     hit = spoken.join(names, "file_id").filter((F.col("speaker") != F.col("other")) & F.contains("body", F.col("other")))
@@ -253,13 +253,13 @@ PLAIN_CAPITALS = ["I", "A", "OK"]
 
 
 def acronyms(cues: DataFrame) -> DataFrame:
-    """(file_id, term, n, first_idx): runs of two to six capitals."""
+    """(file_id, term, n, first_idx): runs of two to six capitals, each in its own row; ``names.term_extract`` weighs them against the names of a file."""
     each = cues.select("file_id", "idx", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Z]{2,6})\b"), F.lit(1))).alias("term"))
     return each.filter(~F.col("term").isin(PLAIN_CAPITALS)).groupBy("file_id", "term").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
 
 
 def proper_nouns(cues: DataFrame, common: list[str]) -> DataFrame:
-    """(file_id, term, n, first_idx): capitalised words that are not common and are not seen in lower case in the file."""
+    """(file_id, term, n, first_idx): single capitalised words that are not common and are not seen in lower case in the file; ``names.term_extract`` has names of several words."""
     each = cues.select("file_id", "idx", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Z][a-z'’\-]+)"), F.lit(1))).alias("term"))
     lower = cues.select("file_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b([a-z][a-z'’\-]+)\b"), F.lit(1))).alias("low")).distinct()
     named = each.withColumn("low", F.lower("term")).filter(~F.col("low").isin(common) & ~F.col("term").rlike("['’]")).join(lower, ["file_id", "low"], "left_anti")
