@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sottovoce.plans import jobs
+from sottovoce.plans import check_queries, file_queries, jobs
 from sottovoce.plans.profiles import FULL, merge
 from sottovoce.sources import sheets
 from sottovoce.sources.fixtures import CUES_SQL, SPEECH_SQL, cues, dialogue, second_track, speech, table
@@ -115,3 +115,19 @@ ORACLE = {
     "revision_rounds": f"with {CUES_SQL} select file_id, idx, case when idx % 5 = 0 and trim(text) <> '' then text else {_THRICE} end as text from cues",
     "preferred_speech": f"with {CUES_SQL}, {SPEECH_SQL} select file_id, start_ms, end_ms, 'loudness' as method from speech where file_id % 3 <> 0 union all select file_id, start_ms + 1, end_ms, 'vad' from speech where file_id % 3 = 0",
 }
+
+
+def _counts() -> str:
+    """Findings of all checks by file and check, in one statement: those that need no more than the common tables share them."""
+    by_file = {name: file_queries.ORACLE[f"check_{name}"] for name in ("gap_too_short", "speaker_id_inconsistent")}
+    by_file["position_collides_with_forced_narrative"] = file_queries.ORACLE["check_position_collides"]
+    mixed = "case when idx % 5 = 0 then replace(text, '...', '…') else text end"
+    by_file["ellipsis_style_inconsistent"] = file_queries.ORACLE["check_ellipsis_style_inconsistent"].replace(mixed, "text")
+    by_file["first_event_at_zero"] = file_queries.ORACLE["check_first_event_at_zero"].replace("<= 1000", "<= 0")
+    cue = {name: check_queries.ORACLE[f"check_{name}"] for name in check_queries.CHECKS}
+    cue = {name: sql.removeprefix(check_queries.BASE) if sql.startswith(f"{check_queries.BASE} select") else sql for name, sql in cue.items()}
+    return check_queries.BASE + " union all ".join(f"""select file_id, '{name}' as "check", count(*) as n from ({sql}) group by 1""" for name, sql in (cue | by_file).items())
+
+
+ORACLE["lint_job"] = _counts()
+ORACLE["whole_lint_folder"] = f"with c as ({_counts()}), f as (select file_id, sum(n)::bigint as n from c group by 1), k as (with {CUES_SQL} select file_id, count(*) as cues from cues group by 1) select k.file_id, cues, coalesce(n, 0) as findings, n is not null as failed from k left join f on k.file_id = f.file_id"
