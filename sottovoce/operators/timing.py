@@ -155,6 +155,7 @@ def resplit_cues(cues: DataFrame, profile: Mapping[str, Any], speech: DataFrame
     laid = F.aggregate(shares, F.array("start_ms"), lambda a, x: F.concat(a, F.array(F.rint(F.element_at(a, -1) + x).cast("long"))))
     split = split.select("file_id", "origin_idx", "pieces", F.concat(laid, F.array("end_ms")).alias("bounds"))
     if speech is not None:
+        split = scratch(split, "split-cues")  # looked at twice: for the silences near its bounds, and to move them
         order = Window.partitionBy("file_id").orderBy("start_ms", "end_ms")
         quiet = speech.select("file_id", F.col("end_ms").alias("a"), F.lead("start_ms").over(order).alias("b")).filter("b is not null").select("file_id", F.floor((F.col("a") + F.col("b")) / 2).alias("middle"), "a")
         inner = split.select("file_id", "origin_idx", F.posexplode("bounds").alias("pos", "bound"), F.size("pieces").alias("n")).filter("pos > 0 and pos < n")
