@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from sottovoce.operators import names
+import random
+import re
+from difflib import SequenceMatcher
+
+from pyspark.sql import functions as F
+
+from sottovoce.functions.similar import similarity, words_of
+from sottovoce.operators import matching, names, tracks
+from sottovoce.sources import fixtures, subtitles
 
 
 def _labelled(n: int, file_id: int) -> list[tuple]:
@@ -25,3 +33,62 @@ def test_cross_reference_of_many_names_equals_that_of_few(spark, monkeypatch):
     monkeypatch.setattr(names, "FEW_NAMES", 1000)
     assert both == each()
     assert len(both) == 2 * 98
+
+
+def test_a_walk_compares_as_far_as_shared_words_leave_a_chance():
+    rnd, window = random.Random(4), 6
+    for _ in range(300):
+        line = lambda: " ".join(rnd.choice("a b c d e f".split()) for _ in range(rnd.choice((0, 1, 2, 5, 9))))
+        told, said, free = [line() for _ in range(rnd.randrange(12))], line(), rnd.randrange(4)
+        ratios = [similarity(said, x) for x in told[free : free + window]] or [0.0]
+        best, at = tracks._nearest([words_of(x) for x in told], window)(words_of(said), free)
+        assert best == max(ratios) and (not best or at == free + ratios.index(best))
+
+
+def test_a_walk_makes_few_comparisons(monkeypatch):
+    made = []
+    monkeypatch.setattr(tracks, "SequenceMatcher", lambda *a: made.append(a) or SequenceMatcher(*a))
+    told = [[f"w{i}", f"v{i}", "the"] for i in range(50)]
+    nearest, free = tracks._nearest(told, 6), 0
+    for i in range(50):
+        score, at = nearest([f"w{i}", f"v{i}"], free)
+        free = at + 1
+        assert (score, at) == (0.8, i)
+    assert len(made) == 50  # one index a line, not one for each of 285 pairs
+
+
+def test_glossaries_of_a_folder_are_not_paired_with_all_its_subtitles(spark):
+    n = 3000
+    paths = lambda form: spark.range(n).select(F.format_string(form, "id").alias("path"))
+    got = subtitles.pair_glossary_with_subtitle(paths("/w/t%05d_TL.fixed.srt"), paths("/w/x t%05d KNP.xlsx").filter("path not like '%7 KNP%'"))
+    assert "contains(book" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    rows = {r.path: r.book for r in got.collect()}
+    assert len(rows) == n and all(b == (f"/w/x {p[3:9]} KNP.xlsx" if p[8] != "7" else "/w/x t00000 KNP.xlsx") for p, b in rows.items())
+
+
+def test_candidates_are_scored_once_and_numbered_in_one_pass(spark):
+    cols = "file_id long, o_idx int, t_idx int, turn struct<a: long, b: int>, wish struct<s: double, a: long, b: int>, score double"
+    rows = [(1, o, t, (t * 10, t), (-1.0, o * 10, o), 1.0) for o, t in ((1, 1), (2, 1), (2, 2), (4, 3), (5, 4), (4, 4), (9, 6))]
+    got = matching.with_islands(spark.createDataFrame(rows, cols))
+    islands = {}
+    for r in got.collect():
+        islands.setdefault(r.island, set()).add((r.o_idx, r.t_idx))
+    assert sorted(map(sorted, islands.values())) == [[(1, 1), (2, 1), (2, 2)], [(4, 3), (4, 4), (5, 4)], [(9, 6)]]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cues_of_long_texts_are_timed_without_a_shuffle_of_cues(spark, tmp_path):
+    texts = [(7, "\n".join(f"line {i} " + "x" * (i % 90) for i in range(500))), (8, ""), (9, None), (10, "one")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cues = fixtures.cues(spark, str(tmp_path))
+    plan = cues._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    rows = {(r.file_id, r.idx): r for r in cues.collect()}
+    assert {f for f, _ in rows} == {7, 10}
+    for file_id, text in ((7, texts[0][1]), (10, "one")):
+        pieces, end = [p.strip() for x in text.split("\n") for p in re.findall("(?s).{1,60}", x.strip()) if p.strip()], 1000
+        assert len(pieces) == sum(f == file_id for f, _ in rows)
+        for i, p in enumerate(pieces, 1):
+            dur = 300 + (len(p) * 37 + i * 101) % 8200
+            end += (i * 7919 + file_id * 104729) % 1500 - 300 + dur
+            assert (rows[file_id, i].start_ms, rows[file_id, i].end_ms) == (end - dur, end)
