@@ -18,17 +18,13 @@ from sottovoce.sources.scratch import scratch
 
 
 def with_islands(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the number of their island in their file."""
-    by_turn = Window.partitionBy("file_id").orderBy("turn")
-    turns = pairs.select("file_id", "turn").distinct().withColumn("at", F.row_number().over(by_turn))
-    placed = pairs.join(turns, ["file_id", "turn"])
-    reach = placed.groupBy("file_id", "o_idx").agg(F.max("at").alias("reach"))
-    far = placed.select("file_id", "o_idx", "at").join(reach, ["file_id", "o_idx"]).groupBy("file_id", "at").agg(F.max("reach").alias("reach"))
-    order = Window.partitionBy("file_id").orderBy("at")
-    before = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = far.select("file_id", "at", F.coalesce(before < F.col("at"), F.lit(True)).cast("int").alias("begins"))
-    islands = begins.select("file_id", "at", F.sum("begins").over(order).alias("island"))
-    return placed.join(islands, ["file_id", "at"]).drop("at")
+    """``pairs`` with the place, among the turns of their file, at which their island begins."""
+    in_file = Window.partitionBy("file_id")
+    # Rows are dealt by file once, and all numbers are windows over them.
+    placed = pairs.withColumn("at", F.dense_rank().over(in_file.orderBy("turn"))).withColumn("reach", F.max("at").over(Window.partitionBy("file_id", "o_idx")))
+    earlier, so_far = in_file.orderBy("at").rangeBetween(Window.unboundedPreceding, -1), in_file.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce(F.max("reach").over(earlier) < F.col("at"), F.lit(True))
+    return placed.withColumn("begins", F.when(begins, F.col("at"))).withColumn("island", F.max("begins").over(so_far)).drop("at", "reach", "begins")
 
 
 def in_turn(pairs: DataFrame) -> DataFrame:
