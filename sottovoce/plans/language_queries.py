@@ -50,7 +50,7 @@ def glossary_misses_of_many_words(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def translation_flags_with_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.translation_flags(_pairs(spark, sf_dir), spark.createDataFrame(GLOSSARY, "term string, korean string")).filter("kind = 'glossary'")
+    return language.translation_flags(_pairs(spark, sf_dir), spark.createDataFrame(GLOSSARY, "term string, korean string"), ("glossary",))
 
 
 def back_translation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

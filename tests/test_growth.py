@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from sottovoce.functions.similar import similarity, words_of
-from sottovoce.operators import matching, names, tracks
+from sottovoce.operators import language, matching, names, tracks
 from sottovoce.sources import fixtures, subtitles
 
 
@@ -95,3 +95,31 @@ def test_cues_are_shuffled_with_one_text(spark, tmp_path):
             dur = 300 + (len(p) * 37 + i * 101) % 8200
             end += (i * 7919 + file_id * 104729) % 1500 - 300 + dur
             assert (rows[file_id, i].start_ms, rows[file_id, i].end_ms) == (end - dur, end)
+
+
+def test_glossaries_are_searched_for_without_rows_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(language, "keys_in", lambda *a: 1 / 0)
+    rnd, letters = random.Random(5), "ab Ab\u00e9\u00c9_-'.\n가"
+    text = lambda n: "".join(rnd.choice(letters) for _ in range(rnd.randrange(n)))
+    rows = [(1, i, text(40), rnd.choice(["x", "xy", "z", None])) for i in range(300)] + [(2, 1, None, "x"), (2, 2, "", "x")]
+    terms = sorted({(text(5), rnd.choice("xyz")) for _ in range(400)} | {("", "x"), ("a", "")})
+    for most in (5, len(terms)):
+        chosen = terms[:most]
+        want = {}
+        for f, i, s, t in rows:
+            said = {f"{a} -> {b}" for a, b in chosen if a and b and s is not None and t is not None and a.lower() in s.lower() and b not in t}
+            if said:
+                want[f, i] = sorted(said)
+        got = language.glossary_misses(spark.createDataFrame(rows, "file_id long, idx int, source string, target string"), spark.createDataFrame(chosen, "term string, korean string"))
+        assert {(r.file_id, r.idx): r.missed for r in got.collect()} == want
+        assert "Exchange hashpartitioning(file_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_and_short_glossaries_miss_the_same_whole_words(spark, monkeypatch):
+    rows = [(1, i, s, "그") for i, s in enumerate(["The end", "bathe the-cat", "it_the", "éthe", "C++ is", "ok. Go", "no", "a b  c"])]
+    pairs = spark.createDataFrame(rows, "file_id long, idx int, source string, target string")
+    glossary = spark.createDataFrame([("the", "것"), ("c++", "씨"), ("is", "그"), ("ok. go", "가"), ("b", "비"), ("...", "점")], "term string, korean string")
+    few = sorted(map(tuple, language.glossary_misses(pairs, glossary, whole_words=True).collect()))
+    monkeypatch.setattr(language, "FEW_TERMS", 0)
+    assert few == sorted(map(tuple, language.glossary_misses(pairs, glossary, whole_words=True).collect()))
+    assert few and [r[1] for r in language.translation_flags(pairs, glossary, ("glossary",)).select("file_id", "idx").collect()]
