@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from sottovoce.functions.similar import similarity, words_of
-from sottovoce.operators import language, matching, names, tracks
+from sottovoce.operators import language, matching, names, proofread, tracks
 from sottovoce.sources import fixtures, subtitles
 
 
@@ -123,3 +123,14 @@ def test_long_and_short_glossaries_miss_the_same_whole_words(spark, monkeypatch)
     monkeypatch.setattr(language, "FEW_TERMS", 0)
     assert few == sorted(map(tuple, language.glossary_misses(pairs, glossary, whole_words=True).collect()))
     assert few and [r[1] for r in language.translation_flags(pairs, glossary, ("glossary",)).select("file_id", "idx").collect()]
+
+
+def test_a_corrector_gets_batches_of_files(spark):
+    cues = spark.createDataFrame([(f, i, f"[x] a{f}  b{i}") for f in (1, 2, 3) for i in (2, 1, 10)], "file_id long, idx int, text string")
+    seen = lambda texts: (["|".join(texts)] + texts[1:], [{"line_index": 2, "reason": "r"}, {"line_index": 9, "reason": "far"}])
+    got = proofread.corrected(cues, seen)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.file_id, r.idx): (r.after, [f.reason for f in r.flags]) for r in got.collect()}
+    for f in (1, 2, 3):
+        said = [f" a{f}  b{i}" for i in (1, 2, 10)]
+        assert [rows[f, i] for i in (1, 2, 10)] == [("|".join(said), []), (said[1], ["r"]), (said[2], [])]
