@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from sottovoce.functions import split
 from sottovoce.functions.similar import similarity, words_of
 from sottovoce.operators import language, matching, names, proofread, tracks
 from sottovoce.sources import fixtures, subtitles
@@ -134,3 +135,12 @@ def test_a_corrector_gets_batches_of_files(spark):
     for f in (1, 2, 3):
         said = [f" a{f}  b{i}" for i in (1, 2, 10)]
         assert [rows[f, i] for i in (1, 2, 10)] == [("|".join(said), []), (said[1], ["r"]), (said[2], [])]
+
+
+def test_plain_texts_are_not_measured_by_patterns_for_each_character(monkeypatch):
+    class Never:
+        def __getattr__(self, name):
+            raise AssertionError(name)
+
+    monkeypatch.setattr(split, "_WIDE", Never())
+    assert split.pieces("one two, three four five", 10) == ["one two,", "three", "four five"]
