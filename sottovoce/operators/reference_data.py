@@ -45,10 +45,10 @@ def effect_suggestions(markers: DataFrame, lexicon: DataFrame, limit: int = 3) -
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select("marker", "term", "rank")
 
 
-#: What is dropped from a wiki value or put in its place, in this order.
+#: What is dropped from a wiki value or put in its place, in this order, and the marks without which there is none.
 WIKI = [
-    (re.compile(r"<ref[^>]*?/>"), ""), (re.compile(r"(?s)<ref[^>]*?>.*?</ref>"), ""), (re.compile(r"(?s)<!--.*?-->"), ""), (re.compile(r"(?i)<br\s*/?>"), " "), (re.compile(r"<[^>]+>"), ""),
-    (re.compile(r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]"), r"\1"), (re.compile(r"\[\[|\]\]|'{2,3}"), ""),
+    (re.compile(r"<ref[^>]*?/>"), "", ["<"]), (re.compile(r"(?s)<ref[^>]*?>.*?</ref>"), "", ["<"]), (re.compile(r"(?s)<!--.*?-->"), "", ["<"]), (re.compile(r"(?i)<br\s*/?>"), " ", ["<"]), (re.compile(r"<[^>]+>"), "", ["<"]),
+    (re.compile(r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]"), r"\1", ["[["]), (re.compile(r"\[\[|\]\]|'{2,3}"), "", ["[[", "]]", "''"]),
 ]
 LIST_MARK, EDGES, TEMPLATES = re.compile(r"\s*[*•]\s*"), " /*•-", 8
 BOX = re.compile(r"\{\{\s*[^|}\n]*[Ii]nfobox")
@@ -57,11 +57,15 @@ INNERMOST = re.compile(r"\{\{([^{}]*)\}\}")
 
 def _readable(value: str) -> str:
     """A wiki value as text. Of a template what is said stays: its arguments without a name."""
-    for pattern, instead in WIKI:
-        value = pattern.sub(instead, value)
+    # A pattern is tried only where its mark is.
+    for pattern, instead, marks in WIKI:
+        if any(m in value for m in marks):
+            value = pattern.sub(instead, value)
     said = lambda m: f" {' '.join(a for a in m[1].split('|')[1:] if '=' not in a)} "
     for _ in range(TEMPLATES):
-        value = INNERMOST.sub(said, value, count=1)
+        value, found = INNERMOST.subn(said, value, count=1)
+        if not found:
+            break
     return LIST_MARK.sub(" / ", re.sub(r"\s+", " ", value)).strip(EDGES)
 
 
@@ -88,9 +92,9 @@ def _fields(page: str) -> dict[str, str]:
         brackets += (mark[0] == "[") - (mark[0] == "]")
         if mark[0] == "|" and braces == brackets == 0:
             bars.append(mark.start())
-    named = (box[a + 1 : b].partition("=") for a, b in zip(bars, [*bars[1:], len(box)], strict=True))
-    values = {key.strip().lower(): _readable(value) for key, there, value in named if there and key.strip() and _readable(value)}
-    return values
+    named = (box[a + 1 : b].partition("=") for a, b in zip(bars, [*bars, len(box)][1:], strict=True))
+    values = ((key.strip().lower(), _readable(value)) for key, there, value in named if there and key.strip())
+    return {key: value for key, value in values if value}
 
 
 def infobox(page: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions import split
 from sottovoce.functions.similar import similarity, words_of
-from sottovoce.operators import language, matching, names, proofread, tracks
+from sottovoce.operators import language, matching, names, proofread, reference_data, tracks
 from sottovoce.sources import fixtures, subtitles
 
 
@@ -144,3 +144,11 @@ def test_plain_texts_are_not_measured_by_patterns_for_each_character(monkeypatch
 
     monkeypatch.setattr(split, "_WIDE", Never())
     assert split.pieces("one two, three four five", 10) == ["one two,", "three", "four five"]
+
+
+def test_values_of_an_infobox_are_read_once_and_only_for_marks_they_have(monkeypatch):
+    read, plain = [], reference_data._readable
+    monkeypatch.setattr(reference_data, "_readable", lambda v: read.append(v) or plain(v))
+    assert reference_data._fields("{{Infobox c | a = x | b = [[l|y]] {{t|z}} | c = <ref/> }}") == {"a": "x", "b": "y z"}
+    assert len(read) == 3
+    assert reference_data._fields("{{Infobox c}} none") == {}
