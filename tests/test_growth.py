@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sottovoce.functions import split
 from sottovoce.functions.similar import similarity, words_of
 from sottovoce.operators import language, matching, names, proofread, reference_data, tracks
+from sottovoce.plans import jobs
 from sottovoce.sources import fixtures, subtitles
 
 
@@ -152,3 +153,12 @@ def test_values_of_an_infobox_are_read_once_and_only_for_marks_they_have(monkeyp
     assert reference_data._fields("{{Infobox c | a = x | b = [[l|y]] {{t|z}} | c = <ref/> }}") == {"a": "x", "b": "y z"}
     assert len(read) == 3
     assert reference_data._fields("{{Infobox c}} none") == {}
+
+
+def test_a_round_of_revision_joins_once(spark, monkeypatch):
+    plans, write = [], jobs.scratch
+    monkeypatch.setattr(jobs, "scratch", lambda d, name: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or write(d, name))
+    cues = spark.createDataFrame([(1, 1, "a  b"), (1, 2, "c"), (1, 3, None)], "file_id long, idx int, text string")
+    out, changed, end = jobs.revision_rounds(cues, lambda c: c.filter("idx <> 2").withColumn("text", F.replace("text", F.lit("  "), F.lit(" "))))
+    assert sorted((r.idx, r.text) for r in out.collect()) == [(1, "a b"), (2, "c"), (3, None)]
+    assert (changed, end) == ([1, 0], "settled") and [p.count("Join ") for p in plans] == [1, 1]
