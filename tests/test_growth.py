@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions import split
 from sottovoce.functions.similar import similarity, words_of
-from sottovoce.operators import language, matching, names, proofread, reference_data, tracks
+from sottovoce.functions.text import trimmed
+from sottovoce.operators import checks, files, language, matching, names, proofread, reference_data, tracks
 from sottovoce.plans import jobs
+from sottovoce.plans.profiles import FULL
 from sottovoce.sources import fixtures, subtitles
 
 
@@ -162,3 +164,23 @@ def test_a_round_of_revision_joins_once(spark, monkeypatch):
     out, changed, end = jobs.revision_rounds(cues, lambda c: c.filter("idx <> 2").withColumn("text", F.replace("text", F.lit("  "), F.lit(" "))))
     assert sorted((r.idx, r.text) for r in out.collect()) == [(1, "a b"), (2, "c"), (3, None)]
     assert (changed, end) == ([1, 0], "settled") and [p.count("Join ") for p in plans] == [1, 1]
+
+
+def test_checks_measure_a_text_once_and_move_no_text(spark):
+    cues = spark.createDataFrame([(1, 1, 0, 1000, "“[a] b. c”　"), (1, 2, 500, 900, "{\\an8}x"), (1, 3, 950, 990, None)], "file_id long, idx int, start_ms long, end_ms long, text string")
+    speed = checks.findings(cues, FULL, ["reading_speed_exceeded", "optimal_cps_exceeded"])._jdf.queryExecution().optimizedPlan().toString()
+    assert speed.count("octet_length") <= 4
+    found = files.position_collides_with_forced_narrative(cues, {"marker": "double_quote", "policy": "move_dialogue", "move_to": "top_left"})
+    assert [(r.idx, r.detail) for r in found.collect()] == [(2, "화면자막(1번)과 겹칩니다 — 말자막을 좌측 상단으로")]
+    node = found._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "text#" not in node.left().output().mkString(",")
+    # A missing text takes no other finding with it.
+    assert {r.check for r in checks.findings(cues, FULL, ["duration_out_of_range", "line_length_exceeded"]).filter("idx = 3").collect()} == {"duration_out_of_range"}
+
+
+def test_trimming_cuts_what_patterns_call_blank(spark):
+    chars = spark.range(1, 0x10000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    text = F.concat("c", F.lit("\n"), "c", F.lit("a"), "c", F.lit("b"), "c", F.lit(" "))
+    assert chars.filter(trimmed(text) != F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).count() == 0 and chars.count() > 60000
