@@ -6,15 +6,17 @@ a file, or an aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sottovoce.functions.split import pieces as pieces_of
-from sottovoce.functions.text import trimmed, weighted_chars
+from sottovoce.functions.text import BLANKS, trimmed, weighted_chars
 from sottovoce.operators.moves import apply_spotting, converge
 from sottovoce.operators.near import meeting
 from sottovoce.sources.scratch import scratch
@@ -30,54 +32,52 @@ def by_idx() -> WindowSpec:
     return Window.partitionBy("file_id").orderBy("idx")
 
 
-def _next_starts(long: DataFrame, max_duration_ms: int) -> DataFrame:
-    """(file_id, idx, to): the first later cue of the run that ends too late to stand with this one; none if all do."""
-    even = long.filter("not uneven")
-    # Ends ascend in a run, so among ends and limits in order the first end after a limit is the one looked for.
-    ends = even.select("file_id", "run", F.col("end_ms").alias("at"), F.lit(0).alias("asks"), "idx")
-    limits = even.select("file_id", "run", (F.col("start_ms") + max_duration_ms).alias("at"), F.lit(1).alias("asks"), "idx")
-    order = Window.partitionBy("file_id", "run").orderBy(F.col("at").desc(), F.col("asks").desc(), F.col("idx").desc())
-    after = F.last(F.when(F.col("asks") == 0, F.col("idx")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    found = ends.unionByName(limits).select("file_id", "run", "asks", "idx", after.alias("after")).filter("asks = 1 and after is not null")
-    follows = even.select("file_id", "run", "idx", F.lead("idx").over(Window.partitionBy("file_id", "run").orderBy("idx")).alias("following"))
-    # A cue that is too long by itself is the first such end; then its neighbour is the next start.
-    pointers = found.join(follows, ["file_id", "run", "idx"]).select("file_id", "idx", F.greatest("after", "following").alias("to")).filter("to > idx")
-    # Cues that end before they start may turn ends around; their runs are searched as they are.
-    back = long.filter("uneven")
-    later = back.select("file_id", "run", F.col("idx").alias("to"), F.col("end_ms").alias("late"))
-    searched = back.join(later, ["file_id", "run"]).filter((F.col("to") > F.col("idx")) & (F.col("late") - F.col("start_ms") > max_duration_ms))
-    return pointers.unionByName(searched.groupBy("file_id", "idx").agg(F.min("to").alias("to")))
-
-
-def _followed(starts: DataFrame, pointers: DataFrame) -> DataFrame:
-    """(file_id, idx) of all that is reached from ``starts``; each round doubles the pointers' reach."""
-    marked, jump = starts, scratch(pointers, "pointers")
-    while not jump.isEmpty():
-        hop = marked.join(jump, ["file_id", "idx"]).select("file_id", F.col("to").alias("idx"))
-        marked = scratch(marked.unionByName(hop), "marked")
-        jump = scratch(jump.join(jump.select("file_id", F.col("idx").alias("to"), F.col("to").alias("further")), ["file_id", "to"]).select("file_id", "idx", F.col("further").alias("to")), "pointers")
-    return marked
+def _walk(max_duration_ms: int, max_gap_ms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cues by file and number, in any batches, to merged ones; only the last cue is kept from one row to the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[Any] | None = None  # file, number, start, end, texts
+        done: list[list[Any]] = []
+
+        def given() -> pa.RecordBatch:
+            rows, done[:] = list(done), []
+            # A part is cut at both ends as it is added, so what stood at the ends of the whole goes; a missing text leaves none.
+            texts = [None if None in parts else parts[0] if len(parts) == 1 else reduce(lambda said, x: f"{said} {x}".strip(BLANKS), parts) for *_, parts in rows]
+            return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in enumerate((file_type, pa.int32(), pa.int64(), pa.int64()))), pa.array(texts, pa.string())], names=["file_id", "idx", "start_ms", "end_ms", "text"])
+
+        file_type = pa.int64()
+        for batch in batches:
+            file_type = batch.schema.field("file_id").type
+            for file, start, end, text in zip(*(batch.column(c).to_pylist() for c in ("file_id", "start_ms", "end_ms", "text")), strict=True):
+                same = last is not None and last[0] == file
+                if same and None not in (start, end, last[2], last[3]) and 0 <= start - last[3] <= max_gap_ms and end - last[2] <= max_duration_ms:
+                    last[3] = end
+                    last[4].append(text)
+                    continue
+                if last is not None:
+                    done.append(last)
+                last = [file, last[1] + 1 if same else 1, start, end, [text]]
+            if done:
+                yield given()
+        if last is not None:
+            done.append(last)
+            yield given()
+
+    return run
 
 
 def merge_fragments(cues: DataFrame, max_duration_ms: int = 4000, max_gap_ms: int = 250) -> DataFrame:
     """Join a cue to the last output cue where the gap is small and the whole stays short; renumbered per file.
 
-    Small gaps make runs. A run that is short as a whole is one cue. In the others each cue points to the first one
-    that could not stand with it, and the starts are what the pointers reach from the run's first cue.
+    Whether a cue joins depends on the one merged before it, so the rows of a file are walked once in the order that a
+    window by file gives them, in the partition where they lie; a text is not moved or held again for it.
     """
-    if max_duration_ms <= 0:
-        return cues.select("file_id", "idx", "start_ms", "end_ms", "text")
     c = cues.select("file_id", "idx", "start_ms", "end_ms", "text")
-    joins = F.coalesce((F.col("start_ms") - F.lag("end_ms").over(by_idx())).between(0, max_gap_ms), F.lit(False))
-    c = scratch(c.withColumn("fresh", (~joins).cast("int")).withColumn("run", F.sum("fresh").over(by_idx())).drop("fresh"), "runs")
-    runs = c.groupBy("file_id", "run").agg(F.min("idx").alias("first"), (F.max("end_ms") - F.min_by("start_ms", "idx") > max_duration_ms).alias("long"), F.bool_or(F.col("end_ms") < F.col("start_ms")).alias("uneven"))
-    long = scratch(c.join(runs.filter("long").drop("long"), ["file_id", "run"]).select("file_id", "run", "idx", "start_ms", "end_ms", "first", "uneven"), "long-runs")
-    reached = _followed(long.filter("idx = first").select("file_id", "idx"), _next_starts(long, max_duration_ms))
-    starts = runs.filter("not long").select("file_id", F.col("first").alias("idx")).unionByName(reached)
-    numbered = c.join(starts.withColumn("begins", F.lit(1)), ["file_id", "idx"], "left").withColumn("g", F.count("begins").over(by_idx()))
-    groups = numbered.groupBy("file_id", F.col("g").cast("int").alias("idx")).agg(F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("parts"))
-    text = F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), lambda said, x: trimmed(F.concat(said, F.lit(" "), x)))
-    return groups.select("file_id", "idx", "start_ms", "end_ms", text.alias("text"))
+    if max_duration_ms <= 0:
+        return c
+    dealt = c.withColumn("at", F.row_number().over(by_idx())).sortWithinPartitions("file_id", "idx")
+    kind = c.schema["file_id"].dataType.simpleString()
+    return dealt.mapInArrow(_walk(max_duration_ms, max_gap_ms), f"file_id {kind}, idx int, start_ms long, end_ms long, text string")
 
 
 def limits_of(profile: Mapping[str, Any], fps: float = 23.976) -> dict[str, Any]:
