@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sottovoce.functions import split
 from sottovoce.functions.similar import similarity, words_of
 from sottovoce.functions.text import trimmed
-from sottovoce.operators import checks, files, language, matching, names, proofread, reference_data, tracks
+from sottovoce.operators import checks, files, language, matching, names, proofread, reference_data, timing, tracks
 from sottovoce.plans import jobs
 from sottovoce.plans.profiles import FULL
 from sottovoce.sources import fixtures, subtitles
@@ -184,3 +184,25 @@ def test_trimming_cuts_what_patterns_call_blank(spark):
     chars = spark.range(1, 0x10000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
     text = F.concat("c", F.lit("\n"), "c", F.lit("a"), "c", F.lit("b"), "c", F.lit(" "))
     assert chars.filter(trimmed(text) != F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).count() == 0 and chars.count() > 60000
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_merging_and_translating_shuffle_texts_once(spark):
+    cues = spark.createDataFrame([(f, i, i * 1000, i * 1000 + 900, f"t{i}\nu") for f in (1, 2) for i in range(1, 40)] + [(3, 1, 0, 1, None)], "file_id long, idx int, start_ms long, end_ms long, text string")
+    assert _exchanges(timing.merge_fragments(cues)) == 1
+    out, flags = jobs.translate_job(cues, lambda lines: lines.upper() + "\n13) again\nmore")
+    assert _exchanges(out) == _exchanges(flags) == 1
+    rows = {(r.file_id, r.idx): (r.start_ms, r.text, r.kept_source) for r in out.collect()}
+    assert rows[2, 13] == (13000, "again\nmore", False) and rows[2, 39][1:] == ("T39 U\n13) again\nmore", False) and rows[3, 1] == (0, None, True) and len(rows) == 79
+
+
+def test_replies_are_read_in_their_rows_as_by_joins(spark):
+    rnd = random.Random(6)
+    piece = lambda: rnd.choice(["1.", "2)", " 03 : ", "4", "99.", "9999999999.", "a", " b ", "\n", "\n", "\n", "\r\n", "\r", " ", "　", "1", "٢."])
+    replies = [(n, "".join(piece() for _ in range(rnd.randrange(20)))) for n in range(300)]
+    joined = language.parse_numbered_reply(spark.createDataFrame(replies, "batch int, reply string"), spark.createDataFrame([(n, i) for n in range(300) for i in (1, 2, 3, 4)], "batch int, idx int"))
+    want = {(r.batch, r.idx): r.text for r in joined.collect()}
+    assert {(n, i): t for n, x in replies for i, t in language.numbered_texts(x, range(1, 5)).items()} == want and len(want) > 100
