@@ -206,3 +206,10 @@ def test_replies_are_read_in_their_rows_as_by_joins(spark):
     joined = language.parse_numbered_reply(spark.createDataFrame(replies, "batch int, reply string"), spark.createDataFrame([(n, i) for n in range(300) for i in (1, 2, 3, 4)], "batch int, idx int"))
     want = {(r.batch, r.idx): r.text for r in joined.collect()}
     assert {(n, i): t for n, x in replies for i, t in language.numbered_texts(x, range(1, 5)).items()} == want and len(want) > 100
+
+
+def test_names_make_patterns_only_where_they_lie_in_longer_ones(spark):
+    cues = spark.createDataFrame([(1, i, t) for i, t in enumerate(["go to Ivo Vann and Ivo Vann Lund", "see Vann", "an Ivo-Maria, Ivo", "FBI or Lun"], 1)], "file_id long, idx int, text string")
+    got = names.term_extract(cues)
+    assert {r.term for r in got.collect()} == {"Ivo Vann Lund", "Ivo-Maria", "FBI", "Lun"}
+    assert "contains(longer#" in got._jdf.queryExecution().optimizedPlan().toString().lower()
