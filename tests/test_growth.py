@@ -213,3 +213,11 @@ def test_names_make_patterns_only_where_they_lie_in_longer_ones(spark):
     got = names.term_extract(cues)
     assert {r.term for r in got.collect()} == {"Ivo Vann Lund", "Ivo-Maria", "FBI", "Lun"}
     assert "contains(longer#" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_terms_are_extracted_once_for_their_look_up(spark, monkeypatch):
+    cues = spark.createDataFrame([(1, 1, "go to Ivo Vann"), (2, 1, "FBI")], "file_id long, idx int, text string")
+    none = spark.createDataFrame([], "source string, korean string, pos int, title string, target string")
+    got = jobs.terms_job(cues, spark.createDataFrame([("FBI", "연방")], "term string, korean string"), none.select("source", "korean", "pos"), none.select("title", "target"))
+    assert {(r.file_id, r.term, r.korean, r.origin) for r in got.collect()} == {(1, "Ivo Vann", None, None), (2, "FBI", "연방", "glossary")}
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
