@@ -2,23 +2,47 @@
 
 A step is written first and recorded then, by appending to the manifest, so a run that dies in between leaves no step
 behind and the step before is still the last one. A step that is saved again takes its own place: the latest record
-counts, and its order stays. The first step of a file fixes its timecodes; later steps record how many cues have moved.
+counts, and its order stays. The first recorded save of a file fixes its timecodes; later steps record how many cues have
+moved, for which the times of both saves, and no texts, are dealt by file once.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = "file_id long, step string, save string, nth long, seq long, saved_at timestamp, cues long, model string, seconds double, note string, moved_count long, moved array<int>"
-TIMES = "file_id long, at long, idx int, start_ms long, end_ms long"
 #: How many moved cues a record names.
 NAMED = 20
 
 
+def _times(kept: DataFrame, nth: int) -> DataFrame:
+    return kept.select(F.col("file_id").cast("long").alias("file_id"), F.lit(nth).cast("long").alias("nth"), F.col("idx").cast("int").alias("idx"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
+
+
+def _compared(times: DataFrame, nth: int) -> DataFrame:
+    """(file_id, cues, first_cues, differ, moved) of the files in save ``nth``: its cues beside those of the file's first save, by place."""
+    by_save = Window.partitionBy("file_id").orderBy("nth", "idx").rowsBetween(Window.unboundedPreceding, 0)
+    t = times.repartition("file_id").withColumn("first", F.first("nth").over(by_save)).withColumn("at", F.row_number().over(Window.partitionBy("file_id", "nth").orderBy("idx")))
+    t = t.filter((F.col("nth") == nth) | (F.col("nth") == F.col("first")))
+    # Of one place, the first save comes before this one.
+    by_place = Window.partitionBy("file_id").orderBy("at", "nth")
+    is_now, cue = F.col("nth") == nth, F.struct("idx", "start_ms", "end_ms")
+    t = t.withColumn("was", F.lag(F.struct("at", cue.alias("cue"))).over(by_place))
+    t = t.withColumn("differs", is_now & F.coalesce((F.col("was.at") == F.col("at")) & (F.col("was.cue") != cue), F.lit(False)))
+    t = t.withColumn("rank", F.sum(F.col("differs").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    named = F.collect_list(F.when(F.col("differs") & (F.col("rank") <= NAMED), F.struct("at", "idx")))
+    found = t.groupBy("file_id").agg(
+        F.count(F.when(is_now, 1)).alias("cues"), F.count(F.when(F.col("nth") == F.col("first"), 1)).alias("first_cues"), F.count(F.when(F.col("differs"), 1)).alias("differ"),
+        F.transform(F.array_sort(named), lambda x: x["idx"]).alias("moved"),
+    )
+    return found.filter("cues > 0")
+
+
 class StageStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -30,28 +54,30 @@ class StageStore:
         except AnalysisException:  # there is no such folder yet
             return self.spark.createDataFrame([], schema)
 
-    def save(self, cues: DataFrame, step: str, *, model: str = "", seconds: float | None = None, note: str = "") -> None:
-        """Keep a step of all files in ``cues``, and a record for each of them."""
-        records = self._table("manifest", RECORD)
-        save, nth = uuid.uuid4().hex, (records.agg(F.max("nth")).first()[0] or 0) + 1
-        cues.write.parquet(f"{self.folder}/steps/step={step}/save={save}")
-        kept = self.spark.read.parquet(f"{self.folder}/steps/step={step}/save={save}")
-        at = F.row_number().over(Window.partitionBy("file_id").orderBy("idx")).cast("long")
-        now = kept.select(F.col("file_id").cast("long").alias("file_id"), at.alias("at"), F.col("idx").cast("int").alias("idx"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
-        first = self._table("timecodes", TIMES)
-        now.join(first.select("file_id").distinct(), "file_id", "left_anti").write.mode("append").parquet(f"{self.folder}/timecodes")
-        first = self._table("timecodes", TIMES)
-        was = first.select("file_id", "at", F.struct("idx", "start_ms", "end_ms").alias("was"))
-        both = now.select("file_id", "at", "idx", F.struct("idx", "start_ms", "end_ms").alias("now")).join(was, ["file_id", "at"])
-        moved = both.filter("now <> was").groupBy("file_id").agg(F.count("*").alias("differ"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "idx"))), lambda x: x["idx"]), 1, NAMED).alias("moved"))
-        sizes = now.groupBy("file_id").agg(F.count("*").alias("cues")).join(first.groupBy("file_id").agg(F.count("*").alias("first_cues")), "file_id")
+    def save(self, cues: DataFrame, step: str, *, model: str = "", seconds: float | None = None, note: str = "") -> DataFrame:
+        """Keep a step of all files in ``cues``, and a record for each of them; returns the cues as kept, which the next step may start from."""
+        records, path, save = self._table("manifest", RECORD), f"{self.folder}/steps/step={step}", uuid.uuid4().hex
+        # Few rows: one for each save that was the first of some file.
+        first = records.groupBy("file_id").agg(F.min(F.struct("nth", "step", "save")).alias("f")).select("f.*").distinct().collect()
+        nth = (records.agg(F.max("nth")).first()[0] or 0) + 1
+        cues.write.option("compression", "zstd").parquet(f"{path}/save={save}")
+        kept = self.spark.read.schema(cues.schema).parquet(f"{path}/save={save}")
+        low, high = kept.agg(F.min(F.col("file_id").cast("long")), F.max(F.col("file_id").cast("long"))).first()
+        if low is None:  # no file, no record
+            return kept
+        now = _times(kept, nth).filter("file_id is not null")
+        if first:
+            earlier = [_times(self.spark.read.parquet(f"{self.folder}/steps/step={f.step}/save={f.save}"), f.nth).filter(F.col("file_id").between(low, high)) for f in first]
+            rows = _compared(reduce(DataFrame.unionByName, earlier, now), nth)
+        else:
+            rows = now.groupBy("file_id").agg(F.count("*").alias("cues")).select("*", F.col("cues").alias("first_cues"), F.lit(0).alias("differ"), F.array().cast("array<int>").alias("moved"))
         order = records.groupBy("file_id").agg(F.max("seq").alias("last"), F.max(F.when(F.col("step") == step, F.col("seq"))).alias("own"))
-        rows = sizes.join(moved, "file_id", "left").join(order, "file_id", "left")
-        count = F.when(F.col("cues") == F.col("first_cues"), F.coalesce("differ", F.lit(0))).otherwise(F.abs(F.col("cues") - F.col("first_cues")))
-        rows.select(
+        count = F.when(F.col("cues") == F.col("first_cues"), F.col("differ")).otherwise(F.abs(F.col("cues") - F.col("first_cues")))
+        rows.join(order, "file_id", "left").select(
             "file_id", F.lit(step).alias("step"), F.lit(save).alias("save"), F.lit(nth).cast("long").alias("nth"), F.coalesce("own", F.col("last") + 1, F.lit(1)).cast("long").alias("seq"), F.current_timestamp().alias("saved_at"), "cues", F.lit(model).alias("model"),
-            F.lit(seconds).cast("double").alias("seconds"), F.lit(note).alias("note"), count.cast("long").alias("moved_count"), F.coalesce("moved", F.array().cast("array<int>")).alias("moved"),
+            F.lit(seconds).cast("double").alias("seconds"), F.lit(note).alias("note"), count.cast("long").alias("moved_count"), "moved",
         ).write.mode("append").parquet(f"{self.folder}/manifest")
+        return kept
 
     def steps(self) -> DataFrame:
         """The record of each step of each file; of a step that was saved again, the latest."""

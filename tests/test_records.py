@@ -40,6 +40,23 @@ def test_stage_store_records_steps_and_goes_on_from_the_last(spark, tmp_path):
     assert [tuple(r) for r in store.read_source().collect()] == [(2, 1, "c")]
 
 
+def test_stage_store_deals_times_by_file_once_and_hands_on_what_it_kept(spark, tmp_path):
+    store = stage_store.StageStore(spark, str(tmp_path / "store"))
+    rows = [(1, i, 10 * i, 10 * i + 5, "a") for i in range(1, 31)]
+    kept = store.save(cues(spark, *rows), "draft")
+    assert sorted(map(tuple, kept.collect())) == rows and kept.inputFiles()
+    # The second file comes later; the first save of each file is what later ones are held against.
+    moved = kept.withColumn("end_ms", F.col("end_ms") + (F.col("idx") > 3).cast("int")).unionByName(cues(spark, (2, 7, 0, 5, "b"), (2, 9, 6, 9, "b"), (None, 1, 0, 1, "x")))
+    store.save(moved, "timing")
+    store.save(cues(spark, (2, 7, 0, 5, "b"), (2, 9, 6, 8, "b"), *rows[:2], (1, 4, 30, 35, "a")), "cut")
+    store.save(kept.limit(0), "none")
+    got = {(r.file_id, r.step): (r.seq, r.cues, r.moved_count, list(r.moved)) for r in store.steps().collect()}
+    assert got == {(1, "draft"): (1, 30, 0, []), (1, "timing"): (2, 30, 27, list(range(4, 24))), (2, "timing"): (1, 2, 0, []), (1, "cut"): (3, 3, 27, [4]), (2, "cut"): (2, 2, 1, [9])}
+    times = stage_store._times(kept, 1).unionByName(stage_store._times(moved, 2))
+    plan = stage_store._compared(times, 2)._jdf.queryExecution().executedPlan().toString()
+    assert times.columns == ["file_id", "nth", "idx", "start_ms", "end_ms"] and plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_cast_sheets_are_read_by_their_headers(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("﻿나이\t이름\t말투 지정\t관계\t대사 수\n42\t민수\t격 식\t영희: 동료; 철수:;:x;영희:상사\t7\n확인 필요\t-\t해요체\t\t\n\n정해 주세요\t영희\t이상\n", encoding="utf-8")
     (tmp_path / "b.tsv").write_text("이름\t대사 수\t관계\n철수\tmany\t-\n", encoding="utf-8")
