@@ -135,24 +135,33 @@ def report_text(
     how many more there are, what is not implemented and what could not run.
     """
     none = F.array().cast("array<string>")
-    where = F.concat(F.lit("#"), "idx", F.when(F.col("line_no").isNotNull(), F.concat(F.lit(" "), "line_no", F.lit("행"))).otherwise(""))
-    wide = F.concat(F.repeat(F.lit(" "), F.greatest(10 - F.length(where), F.lit(0))), where)
-    detail = F.when(F.startswith("detail", F.lit("->")), F.col("detail")).otherwise(F.concat(F.lit("-> "), "detail"))
     pad = "              "
-    line = F.concat_ws(
-        "\n", F.concat(F.lit("  ["), F.when(F.col("auto"), "자동").otherwise("확인"), F.lit("] "), wide, F.lit("  "), "rule_id", F.lit(" "), "clause"),
-        F.when(F.col("excerpt") != "", F.concat(F.lit(f"{pad}| "), "excerpt")), F.concat(F.lit(pad), "message"), F.when(F.col("detail") != "", F.concat(F.lit(pad), detail)),
-    )
-    out = files.select("file_id", "name").join(_listed(found, [F.col("idx"), F.col("rule_id"), F.coalesce("line_no", F.lit(0))], line, "findings"), "file_id", "left")
-    counts = found.groupBy("file_id", "rule_id", "message").agg(F.count("*").alias("n"))
-    number = F.col("n").cast("string")
-    counted = F.concat(F.lit("    "), F.repeat(F.lit(" "), F.greatest(4 - F.length(number), F.lit(0))), number, F.lit("건  "), "rule_id", F.lit("  "), "message")
-    out = out.join(_listed(counts, [-F.col("n"), F.col("rule_id"), F.col("message")], counted, "counts"), "file_id", "left")
+
+    def line(x: Column, rule: Column) -> Column:
+        where = F.concat(F.lit("#"), x["idx"], F.when(x["line_no"].isNotNull(), F.concat(F.lit(" "), x["line_no"], F.lit("행"))).otherwise(""))
+        wide = F.concat(F.repeat(F.lit(" "), F.greatest(10 - F.length(where), F.lit(0))), where)
+        detail = F.when(F.startswith(x["detail"], F.lit("->")), x["detail"]).otherwise(F.concat(F.lit("-> "), x["detail"]))
+        return F.concat_ws(
+            "\n", F.concat(F.lit("  ["), F.when(x["auto"], "자동").otherwise("확인"), F.lit("] "), wide, F.lit("  "), rule["rule_id"], F.lit(" "), x["clause"]),
+            F.when(x["excerpt"] != "", F.concat(F.lit(f"{pad}| "), x["excerpt"])), F.concat(F.lit(pad), rule["message"]), F.when(x["detail"] != "", F.concat(F.lit(pad), detail)),
+        )
+
+    def counted(rule: Column) -> Column:
+        number = F.size(rule["rows"]).cast("string")
+        return F.concat(F.lit("    "), F.repeat(F.lit(" "), F.greatest(4 - F.length(number), F.lit(0))), number, F.lit("건  "), rule["rule_id"], F.lit("  "), rule["message"])
+
+    # Findings are made once and dealt by file without what they share; lines and counts are made of them there.
+    by_rule = found.select("file_id", "rule_id", "message", "idx", "line_no", "auto", "clause", "excerpt", "detail").repartition("file_id").groupBy("file_id", "rule_id", "message").agg(F.collect_list(F.struct("idx", "line_no", "auto", "clause", "excerpt", "detail")).alias("rows"))
+    by_file = by_rule.groupBy("file_id").agg(F.collect_list(F.struct("rule_id", "message", "rows")).alias("rules"))
+    lines = F.flatten(F.transform("rules", lambda r: F.transform(r["rows"], lambda x: F.struct(x["idx"].alias("o0"), r["rule_id"].alias("o1"), F.coalesce(x["line_no"], F.lit(0)).alias("o2"), line(x, r).alias("line")))))
+    counts = F.transform("rules", lambda r: F.struct((-F.size(r["rows"])).alias("o0"), r["rule_id"].alias("o1"), r["message"].alias("o2"), counted(r).alias("line")))
+    said = lambda rows: F.transform(F.sort_array(rows), lambda x: x["line"])
+    out = files.select("file_id", "name").join(by_file.select("file_id", said(lines).alias("findings"), said(counts).alias("counts")), "file_id", "left")
     if warnings is not None:
         out = out.join(_listed(warnings, [F.col("warning")], F.concat(F.lit("  ⚠ "), "warning"), "warned"), "file_id", "left")
     if suggestions is not None:
-        said = F.concat(F.lit("    #"), "idx", F.lit(" "), "field", F.lit(" "), "current", F.lit(" -> "), "suggested", F.lit("ms"))
-        out = out.join(_listed(suggestions, [F.col("idx"), F.col("field")], said, "suggested"), "file_id", "left")
+        each = F.struct("idx", "field", "current", "suggested")
+        out = out.join(suggestions.groupBy("file_id").agg(F.sort_array(F.collect_list(each)).alias("suggested")), "file_id", "left")
     missing = none
     if unimplemented is not None:
         # One row, of the labels of a profile.
@@ -165,7 +174,8 @@ def report_text(
     parts = [head, some("warned") if warnings is not None else none, F.coalesce("findings", F.array(F.lit("  위반 없음"))), F.array(F.lit("")), by_rule, F.array(F.concat(F.lit("  위반 "), F.coalesce(F.size("findings"), F.lit(0)).cast("string"), F.lit("건")))]
     if suggestions is not None:
         n = F.size("suggested")
+        first = F.transform(F.slice("suggested", 1, shown), lambda x: F.concat(F.lit("    #"), x["idx"], F.lit(" "), x["field"], F.lit(" "), x["current"], F.lit(" -> "), x["suggested"], F.lit("ms")))
         more = F.when(n > shown, F.array(F.concat(F.lit("    … 외 "), (n - shown).cast("string"), F.lit("건")))).otherwise(none)
-        parts.append(F.when(F.col("suggested").isNotNull(), F.concat(F.array(F.concat(F.lit("  스포팅 제안 "), n.cast("string"), F.lit("건 (자동 적용 안 함)"))), F.slice("suggested", 1, shown), more)).otherwise(none))
+        parts.append(F.when(F.col("suggested").isNotNull(), F.concat(F.array(F.concat(F.lit("  스포팅 제안 "), n.cast("string"), F.lit("건 (자동 적용 안 함)"))), first, more)).otherwise(none))
     parts += [missing, F.array(*[F.lit(f"  돌지 못한 검사: {r}") for r in skipped]).cast("array<string>")]
     return out.select("file_id", F.array_join(F.concat(*parts), "\n").alias("report"))

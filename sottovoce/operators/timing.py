@@ -92,14 +92,31 @@ def limits_of(profile: Mapping[str, Any], fps: float = 23.976) -> dict[str, Any]
 LEADS = {"loudness": ((2, 3), (6, 9), 6), "vad": ((1, 2), (3, 4), 0)}
 
 
+def _heard(cues: DataFrame, speech: DataFrame) -> DataFrame:
+    """Cues with the next start in their file, and where the speech that overlaps them begins (``voice``) and ends (``quiet``).
+
+    Spans in order of their starts have a latest end so far. That of the spans which start before a cue ends is the end
+    sought, if it lies behind the cue's start; and the first span with a latest end behind the cue's start is the first one
+    to overlap it. So cues and spans are dealt by file once, and put in order for the one and the other.
+    """
+    spans = speech.filter("start_ms is not null and end_ms is not null").select("file_id", F.lit(1).alias("kind"), F.lit(None).cast(cues.schema["idx"].dataType).alias("idx"), "start_ms", "end_ms")
+    rows = cues.select("file_id", F.lit(0).alias("kind"), "idx", "start_ms", "end_ms").unionByName(spans).repartition("file_id")
+    is_cue, so_far = F.col("kind") == 0, (Window.unboundedPreceding, 0)
+    # Where they meet, the cue comes first, since spans that only touch do not overlap.
+    by_reach = Window.partitionBy("file_id").orderBy(F.when(is_cue, F.col("end_ms")).otherwise(F.col("start_ms")), "kind").rowsBetween(*so_far)
+    rows = rows.withColumn("latest", F.max(F.when(~is_cue, F.col("end_ms"))).over(by_reach))
+    by_latest = Window.partitionBy("file_id").orderBy(F.when(is_cue, F.col("start_ms")).otherwise(F.col("latest")).desc(), "kind").rowsBetween(*so_far)
+    rows = rows.withColumn("first", F.min(F.when(~is_cue, F.col("start_ms"))).over(by_latest)).filter(is_cue)
+    over = F.col("latest") > F.col("start_ms")
+    rows = rows.select("file_id", "idx", *[F.col(c).cast(cues.schema[c].dataType).alias(c) for c in ("start_ms", "end_ms")], F.when(over, F.col("first")).alias("voice"), F.when(over, F.col("latest")).alias("quiet"))
+    return rows.withColumn("following", F.lead("start_ms").over(by_start()))
+
+
 def spotting_suggestions(cues: DataFrame, speech: DataFrame, fps: float = 23.976, tolerance_frames: int = 4, detector: str = "loudness") -> DataFrame:
     """(file_id, idx, field, current, suggested): in- and out-points that are too far from the speech below them."""
     (low_in, lead_in), (lead_out, _), tail = LEADS[detector]
     frame = 1000.0 / fps
-    heard = speech.select("file_id", F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"))
-    c = cues.select("file_id", "idx", "start_ms", "end_ms", F.lead("start_ms").over(by_start()).alias("following"))
-    met = meeting(c.select("file_id", "idx", "start_ms", "end_ms"), heard, (F.col("start_ms"), F.col("end_ms")), (F.col("ss"), F.col("se"))).filter("se > start_ms and ss < end_ms")
-    near = c.join(met.groupBy("file_id", "idx").agg(F.min("ss").alias("voice"), F.max("se").alias("quiet")), ["file_id", "idx"], "left")
+    near = _heard(cues, speech)
     near = near.withColumn("quiet", F.when(F.col("quiet").isNotNull(), F.least("quiet", "following")))
     want_in = F.col("voice") - lead_in * frame
     want_out = F.least(F.col("quiet") + (tail + lead_out) * frame, F.col("following").cast("double"))

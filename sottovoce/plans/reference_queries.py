@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sottovoce.functions.text import TAGS
-from sottovoce.operators import checks, reference_data
+from sottovoce.operators import checks, language, reference_data, timing
 from sottovoce.plans import file_queries, language_queries, timing_queries
-from sottovoce.plans.file_queries import SAMPLE_RULES, violation_report
+from sottovoce.plans.file_queries import SAMPLE_RULES, violations
 from sottovoce.plans.profiles import FULL, rules_table
-from sottovoce.sources.fixtures import CUES_SQL, cues, table
+from sottovoce.sources.fixtures import CUES_SQL, cues, speech, table
+from sottovoce.sources.scratch import scratch
 
 LEXICON = [
     ("문", "[문이 닫힌다]"), ("문", "[닫히는 문]"), ("문", "[문이 쾅 닫힌다]"), ("문", "[문을 두드린다]"), ("차", "[자동차 경적]"), ("차", "[자동차가 급히 멈춘다]"), ("쾅", "[쾅 소리]"), ("음악", "[잔잔한 음악]"), ("음악", "[음악이 멈춘다]"),
@@ -54,7 +55,10 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rules_table(spark, {"s": {"rules": SAMPLE_RULES}})
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("f"), "doc_id", F.lit(".srt")).alias("name"))
     missing = checks.unimplemented(rules, [*checks.CHECKS, "gap_too_short"])
-    return reference_data.report_text(files, violation_report(spark, sf_dir), "sample sdh", "sample source", language_queries.profile_mismatch(spark, sf_dir), timing_queries.spotting_suggestions(spark, sf_dir), missing, SKIPPED)
+    # The parts of a report look at other columns of the same cues, which are made once.
+    c = scratch(cues(spark, sf_dir), "report", "zstd")
+    warnings, suggestions = language.profile_mismatch(c, "netflix", "sdh"), timing.spotting_suggestions(c, speech(c))
+    return reference_data.report_text(files, violations(c), "sample sdh", "sample source", warnings, suggestions, missing, SKIPPED)
 
 
 QUERIES = {f.__name__: f for f in (effect_suggestions, effect_hints, infobox_fields, cast_research, report_text)}

@@ -25,7 +25,7 @@ def srt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, rules = cues(spark, sf_dir), rules_table(spark, {"s": {"rules": SAMPLE_RULES}})
-    found = checks.report(c, checks.findings(c, FULL, ["double_space", "three_dot_ellipsis", "too_many_lines"]), rules, {})
+    found = checks.report(c, checks.findings(c, FULL, ["double_space", "three_dot_ellipsis", "too_many_lines"], kept=("text",)), rules, {})
     return subtitles.review_cues(c, found, shown=1).select("file_id", "idx", "text")
 
 

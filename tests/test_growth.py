@@ -12,7 +12,7 @@ from sottovoce.functions import split
 from sottovoce.functions.similar import similarity, words_of
 from sottovoce.functions.text import trimmed
 from sottovoce.operators import checks, files, language, matching, names, proofread, reference_data, timing, tracks
-from sottovoce.plans import jobs
+from sottovoce.plans import jobs, reference_queries
 from sottovoce.plans.profiles import FULL
 from sottovoce.sources import fixtures, subtitles
 
@@ -221,3 +221,32 @@ def test_terms_are_extracted_once_for_their_look_up(spark, monkeypatch):
     got = jobs.terms_job(cues, spark.createDataFrame([("FBI", "연방")], "term string, korean string"), none.select("source", "korean", "pos"), none.select("title", "target"))
     assert {(r.file_id, r.term, r.korean, r.origin) for r in got.collect()} == {(1, "Ivo Vann", None, None), (2, "FBI", "연방", "glossary")}
     assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_report_makes_its_cues_and_findings_once(spark, tmp_path):
+    texts = [(7, "\n".join(f"line {i}  " + "가" * (i % 50) for i in range(40))), (8, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = reference_queries.report_text(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 0 and plan.count("CPS — 최대") == 1 and "cell" not in plan
+    reports = {r.file_id: r.report for r in got.collect()}
+    assert set(reports) == {7, 8} and "위반 없음" in reports[8]
+    said = [x for x in reports[7].split("\n") if x.startswith(("  [자동]", "  [확인]"))]
+    counted = [int(x.split("건")[0]) for x in reports[7].split("규칙별 집계\n")[1].split("\n\n")[0].split("\n")]
+    assert len(said) == sum(counted) > 0 and f"  위반 {len(said)}건" in reports[7] and counted == sorted(counted, reverse=True)
+
+
+def test_what_speech_overlaps_a_cue_is_found_without_pairs(spark):
+    rng = random.Random(3)
+    span = lambda: (lambda a: (a, a + rng.choice([-5, 0, 1, 3, 20, 90])))(rng.randrange(200))
+    cues = [(f, i, *span()) for f in (1, 2) for i in range(60)] + [(3, 1, 5, 9), (4, 1, None, 9), (4, 2, 3, None)]
+    speech = [(f, *span()) for f in (1, 2) for _ in range(25)] + [(4, 0, 50), (4, None, 7), (4, 2, None), (5, 0, 9)]
+    c, s = spark.createDataFrame(cues, "file_id long, idx int, start_ms long, end_ms long"), spark.createDataFrame(speech, "file_id long, start_ms long, end_ms long")
+    heard = timing._heard(c, s)
+    plan = heard._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    got = {(r.file_id, r.idx): (r.voice, r.quiet) for r in heard.collect()}
+    assert len(got) == len(cues)
+    for f, i, start, end in cues:
+        met = [(a, b) for g, a, b in speech if g == f and None not in (a, b, start, end) and a < end and b > start]
+        assert got[f, i] == (min((a for a, _ in met), default=None), max((b for _, b in met), default=None))
