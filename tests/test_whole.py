@@ -1,7 +1,7 @@
 """Whole lines reach the operators."""
 
 from pyspark.sql import functions as F
-from sottovoce.operators import timing
+from sottovoce.operators import fixes, timing
 from sottovoce.plans import jobs
 from sottovoce.plans.profiles import FULL
 from sottovoce.plans.registry import QUERIES
@@ -64,3 +64,24 @@ def test_translation_and_transcript_take_every_cue(spark, tmp_path):
     said = {r.text for r in fixtures.cues(spark, at).collect()}
     aligned = QUERIES["align_transcript"](spark, at).collect()
     assert len([r for r in aligned if r.start_ms < r.end_ms]) == n and {r.text for r in aligned if r.source == "transcript"} <= said
+
+
+def test_whole_correction_has_an_effect_on_the_checks(spark, tmp_path):
+    at = tables(spark, tmp_path)
+    count = lambda df: {r["check"]: r["count"] for r in df.groupBy("check").count().collect()}
+    before, after = count(jobs.lint_job(fixtures.cues(spark, at), FULL)), count(QUERIES["whole_correct_and_check"](spark, at))
+    settled = {"three_dot_ellipsis", "double_space", "italics_present", "acronym_with_periods", "dual_speaker_marker_format", "currency_bul", "colon_speaker_prefix", "space_between_markers", "music_note_spacing", "ellipsis_style_mismatch", "position_collides_with_forced_narrative"}
+    assert settled & set(before) >= settled - {"position_collides_with_forced_narrative"} and not settled & set(after)
+    # What no fixer settles stays.
+    assert {"tilde_used", "double_punctuation", "gap_too_short"} <= set(after)
+    assert fixes.fix_names(FULL) == (list(fixes.FIXES), []) and fixes.moves_positions(FULL)
+
+
+def test_dialogue_goes_away_from_shown_text_before_texts_are_fixed(spark):
+    rows = [(1, 1, 0, 2000, "3천 불을..."), (1, 2, 1000, 3000, '"서울"'), (2, 1, 0, 2000, "가자")]
+    c = spark.createDataFrame(rows, "file_id long, idx int, start_ms long, end_ms long, text string")
+    fixed, found = jobs.correct_and_check(c, FULL)
+    assert {(r.file_id, r.idx): r.text for r in fixed.collect()} == {(1, 1): "{\\an8}3천 달러를…", (1, 2): '"서울"', (2, 1): "가자"}
+    assert "position_collides_with_forced_narrative" not in {r.check for r in found.collect()}
+    kept, _ = jobs.correct_and_check(c, {**FULL, "rules": []})
+    assert {r.text for r in kept.collect()} == {r[4] for r in rows}
