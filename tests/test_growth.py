@@ -6,13 +6,14 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from sottovoce.functions import split
 from sottovoce.functions.similar import similarity, words_of
 from sottovoce.functions.text import trimmed
 from sottovoce.operators import checks, files, language, matching, names, proofread, reference_data, timing, tracks
-from sottovoce.plans import jobs, reference_queries
+from sottovoce.plans import jobs, reference_queries, source_queries
 from sottovoce.plans.profiles import FULL
 from sottovoce.sources import fixtures, subtitles
 
@@ -70,6 +71,27 @@ def test_glossaries_of_a_folder_are_not_paired_with_all_its_subtitles(spark):
     assert len(rows) == n and all(b == (f"/w/x {p[3:9]} KNP.xlsx" if p[8] != "7" else "/w/x t00000 KNP.xlsx") for p, b in rows.items())
 
 
+def test_a_glossary_does_not_name_a_subtitle_by_a_part_of_a_number(spark):
+    paths = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    books = paths("/w/t100003 KNP.xlsx", "/w/t10000 KNP.xlsx", "/w/a12 KNP.xlsx", "/v/12KNP.xlsx", "/v/0 KNP.xlsx", "/t9/1 KNP.xlsx", "/t9/2 t9 KNP.xlsx")
+    got = subtitles.pair_glossary_with_subtitle(paths("/w/t10000_TL.srt", "/w/t1000.srt", "/w/2.srt", "/w/t100003.srt", "/v/12.srt", "/v/1.srt", "/t9/t9.srt"), books)
+    first = {"/w": "/w/a12 KNP.xlsx", "/v": "/v/0 KNP.xlsx"}
+    assert {r.path: r.book for r in got.collect()} == {
+        "/w/t10000_TL.srt": "/w/t10000 KNP.xlsx", "/w/t1000.srt": first["/w"], "/w/2.srt": first["/w"], "/w/t100003.srt": "/w/t100003 KNP.xlsx",
+        "/v/12.srt": "/v/12KNP.xlsx", "/v/1.srt": first["/v"], "/t9/t9.srt": "/t9/2 t9 KNP.xlsx",
+    }
+
+
+def test_glossary_of_subtitle_equals_its_sql_beyond_five_digits(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    ids = [*range(120), *range(12340, 12360), *range(123400, 123600)]
+    spark.createDataFrame([(i, "one two") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = set(db.sql(source_queries.ORACLE["glossary_of_subtitle"]).fetchall())
+    assert {tuple(r) for r in source_queries.QUERIES["glossary_of_subtitle"](spark, str(tmp_path)).collect()} == want
+
+
 def test_candidates_are_scored_once_and_numbered_in_one_pass(spark):
     cols = "file_id long, o_idx int, t_idx int, turn struct<a: long, b: int>, wish struct<s: double, a: long, b: int>, score double"
     rows = [(1, o, t, (t * 10, t), (-1.0, o * 10, o), 1.0) for o, t in ((1, 1), (2, 1), (2, 2), (4, 3), (5, 4), (4, 4), (9, 6))]
