@@ -23,7 +23,7 @@ from sottovoce.functions.similar import words_of
 ROWS = 2048
 
 
-def walked(rows: DataFrame, order: list[str | Column], walk: Callable[[], Any], result: StructType) -> DataFrame:
+def walked(rows: DataFrame, order: list[str | Column], walk: Callable[[], Any], result: StructType, at_once: int = ROWS) -> DataFrame:
     """``rows`` by file in ``order`` through a walk: an object that ``take``s rows as tuples, a file's ``end``, and gives lists of results.
 
     A file's rows are numbered by the window that puts them in order, so rows that lie by file already are not dealt again.
@@ -46,7 +46,7 @@ def walked(rows: DataFrame, order: list[str | Column], walk: Callable[[], Any],
                     own.end()
                 last, started = row[0], True
                 own.take(row)
-                if len(own.done) >= ROWS:
+                if len(own.done) >= at_once:
                     yield given()
         if started:
             own.end()
@@ -56,6 +56,26 @@ def walked(rows: DataFrame, order: list[str | Column], walk: Callable[[], Any],
     return dealt.mapInArrow(run, result)
 
 
+class Lines:
+    """Word lists of a script's lines, each made when it is first looked at; what lies before ``free`` is let go."""
+
+    def __init__(self) -> None:
+        self.texts: list[str | None] = []
+        self.words: dict[int, list[str]] = {}
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, j: int) -> list[str]:
+        if j not in self.words:
+            self.words[j] = words_of(self.texts[j] or "")
+        return self.words[j]
+
+    def passed(self, free: int) -> None:
+        for j in [j for j in self.words if j < free]:
+            del self.words[j]
+
+
 class _Cue:
     __slots__ = ("row", "words", "known", "limit", "open", "used", "gone", "wishes", "matcher")
 

@@ -32,3 +32,15 @@ def test_matching_leaves_no_cue_out(spark):
     got = tracks.match_to_reference_track(spark.createDataFrame(ours, CUES), spark.createDataFrame(truth, CUES)).collect()
     assert sorted((r.our_idx for r in got if r.our_idx), key=int) == [1, 1, 2, 3, 4, 5, 6] and sorted(r.truth_idx for r in got if r.truth_idx) == [1, 2, 3, 4, 5]
     assert {(r.our_idx, r.truth_idx, r.score) for r in got if r.our_idx and r.truth_idx} == {(5, 1, 0.3), (6, 3, 0.3)}
+
+
+def test_alignment_joins_and_writes_nothing(spark):
+    segments = spark.createDataFrame([(1, 1, 0, 900, "go home now"), (1, 2, 1000, 1900, None), (3, 1, 5, 9, "alone")], CUES)
+    script = spark.createDataFrame([(1, 1, "go home now"), (1, 2, None), (1, 3, "the end"), (2, 1, "unsaid")], "file_id long, pos int, text string")
+    df = tracks.align_transcript(segments, script)
+    got = [tuple(r)[:6] for r in df.orderBy("file_id", "pos").collect()]
+    assert "Join" not in plan_of(df) and "CoGroup" not in plan_of(df) and "FileScan" not in plan_of(df)
+    assert got == [
+        (1, 1, 0, 900, "go home now", "script"), (1, 2, 1000, 1900, "", "transcript"), (1, 3, 1900, 1900, None, "script"), (1, 4, 1900, 1900, "the end", "script"),
+        (2, 1, 0, 0, "unsaid", "script"), (3, 1, 5, 9, "alone", "transcript"),
+    ]
