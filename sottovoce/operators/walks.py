@@ -100,14 +100,17 @@ class Matching:
     def score(self, o: _Cue, t: _Cue) -> float:
         """Likeness of the words, and the accepting bound for shared time; 0 where the bound is not reached."""
         bonus = 0.3 if min(o.row[4], t.row[4]) > max(o.row[3], t.row[3]) else 0.0
-        if o.known.isdisjoint(t.known):
+        both = o.known & t.known
+        if not both:
             return bonus if bonus >= self.least else 0.0
         # The ratio is at most twice the words in both over all words; below the bound, texts need not be aligned.
-        shared = min(sum(w in t.known for w in o.words), len(t.words))
-        if 2 * shared / (len(o.words) + len(t.words)) + bonus < self.least:
+        own, theirs = [w for w in o.words if w in both], [w for w in t.words if w in both]
+        most = 2.0 * min(len(own), len(theirs)) / (len(o.words) + len(t.words))
+        if most + bonus < self.least:
             return 0.0
-        if o.words == t.words and len(o.words) < 200:  # of longer texts frequent words are left out
-            return 1.0 + bonus
+        # Words that stand once, in the same order, are all found; of texts of 200 words, frequent ones are left out.
+        if own == theirs and len(own) == len(both) and len(t.words) < 200:
+            return most + bonus
         if t.matcher is None:
             t.matcher = SequenceMatcher(None, [], t.words)
         t.matcher.set_seq1(o.words)
