@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,11 +102,75 @@ def cast_markdown(people: DataFrame, relations: DataFrame, untagged: DataFrame,
     return parts.join(untagged, "file_id").select("file_id", F.concat_ws("\n", head, F.array_join("people", "\n"), F.lit("---\n\n성격 칸은 위키 소개 문단을 그대로 옮긴 것입니다. 요약이므로 읽고 고쳐 쓰십시오.")).alias("markdown"))
 
 
+#: Title files in a folder, and bytes of texts that are read together.
+FOLDER_FILES, READ_BYTES = 1000, 4 << 20
+
+
+def _open_folder(path: str) -> str | None:
+    """The path of a folder that tasks can open by themselves, as on a disk that all share; None for other stores."""
+    scheme, _, rest = path.partition(":") if ":/" in path else ("file", "", path)
+    return re.sub("^/+", "/", rest) if scheme == "file" else None
+
+
 def write_titles(texts: DataFrame, path: str, text: str) -> None:
-    """One file for each title of (file_id, text), in a folder of its own; all of them appear when the write is committed, or none."""
-    texts.select("file_id", F.col(text).alias("value")).repartition("file_id").write.partitionBy("file_id").text(path)
+    """One file for each title of (file_id, text); all of them appear when the write is done, or none.
+
+    On a shared disk tasks write files in folders of a thousand beside ``path``, which get its name at the end: a writer, a
+    checksum and a commit for each title cost far more than its text. Other stores get a folder for each title from Spark.
+    """
+    texts = texts.select("file_id", F.col(text).alias("value"))
+    folder = _open_folder(path)
+    if folder is None:
+        texts.repartition("file_id").write.partitionBy("file_id").text(path)
+        return
+    if os.path.exists(folder):
+        raise FileExistsError(folder)
+    unfinished = f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for file_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = f"{unfinished}/{part:06d}-{n // FOLDER_FILES:06d}"
+                if n % FOLDER_FILES == 0:
+                    os.makedirs(at, exist_ok=True)
+                # A task that is run again writes the same files; a file appears whole.
+                name = f"{at}/{'null' if file_id is None else file_id}.txt"
+                with open(f"{name}.{os.getpid()}", "w", encoding="utf-8", newline="") as out:
+                    out.write(value or "")
+                os.replace(out.name, name)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    os.makedirs(unfinished)
+    texts.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    os.rename(unfinished, folder)
 
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, value) of what ``write_titles`` wrote."""
-    return spark.read.text(path, wholetext=True).select(F.col("file_id").cast("long").alias("file_id"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+    folder = _open_folder(path)
+    if folder is None:
+        return spark.read.text(path, wholetext=True).select(F.col("file_id").cast("long").alias("file_id"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                ids, values, size = [], [], 0
+                for entry in os.scandir(f"{folder}/{at}"):
+                    stem, _, ending = entry.name.rpartition(".")
+                    if ending != "txt":  # left by a task that was lost
+                        continue
+                    with open(entry.path, encoding="utf-8", newline="") as text:
+                        values.append(text.read())
+                    ids.append(None if stem == "null" else int(stem))
+                    size += len(values[-1])
+                    if size >= READ_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], ["file_id", "value"])
+                        ids, values, size = [], [], 0
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], ["file_id", "value"])
+
+    folders = sorted(os.listdir(folder))  # one name for a thousand titles
+    names = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders)))
+    return names.mapInArrow(read, "file_id long, value string")

@@ -1,7 +1,10 @@
 """Two tracks walked as one: nothing meets in joins, and what is kept does not grow with the file."""
 
+import pytest
+from pyspark.sql import functions as F
 from sottovoce.operators import tracks, walks
 from sottovoce.plans import jobs
+from sottovoce.sources import sheets
 
 CUES = "file_id long, idx int, start_ms long, end_ms long, text string"
 
@@ -44,3 +47,19 @@ def test_alignment_joins_and_writes_nothing(spark):
         (1, 1, 0, 900, "go home now", "script"), (1, 2, 1000, 1900, "", "transcript"), (1, 3, 1900, 1900, None, "script"), (1, 4, 1900, 1900, "the end", "script"),
         (2, 1, 0, 0, "unsaid", "script"), (3, 1, 5, 9, "alone", "transcript"),
     ]
+
+
+def test_titles_cost_no_folder_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "FOLDER_FILES", 10)
+    monkeypatch.setattr(sheets, "READ_BYTES", 50)
+    texts = spark.range(95).selectExpr("id as file_id", "concat('{\"a\": \"', id, '\\r\\n가\"}\\n') as json").repartition(2)
+    sheets.write_titles(texts, f"file://{tmp_path}/t", "json")
+    folders = [p for p in (tmp_path / "t").iterdir()]
+    assert len(folders) <= 11 and sorted(int(f.stem) for p in folders for f in p.iterdir()) == list(range(95)) and [p.name for p in tmp_path.iterdir()] == ["t"]
+    read = sheets.read_titles(spark, f"file://{tmp_path}/t")
+    assert {tuple(r) for r in read.collect()} == {tuple(r) for r in texts.collect()}
+    with pytest.raises(FileExistsError):
+        sheets.write_titles(texts, str(tmp_path / "t"), "json")
+    with pytest.raises(Exception):
+        sheets.write_titles(texts.withColumn("json", F.expr("if(file_id = 50, raise_error('lost'), json)")), str(tmp_path / "u"), "json")
+    assert not (tmp_path / "u").exists()  # all files appear, or none
