@@ -6,20 +6,22 @@ a file, or an aggregation.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sottovoce.functions.split import pieces as pieces_of
-from sottovoce.functions.text import BLANKS, trimmed, weighted_chars
+from sottovoce.functions.split import weighted
+from sottovoce.functions.text import BLANKS, trimmed
 from sottovoce.operators.moves import apply_spotting, converge
 from sottovoce.operators.near import meeting
-from sottovoce.sources.scratch import scratch
+from sottovoce.operators.walks import walked
 
 __all__ = ["apply_spotting", "converge"]
 
@@ -147,52 +149,77 @@ def shot_change_suggestions(cues: DataFrame, shots: DataFrame, fps: float = 23.9
     return side("start_ms", F.col("shot_ms").cast("double")).unionByName(side("end_ms", F.bround(F.col("shot_ms") - 2 * frame)))
 
 
+class _Resplitting:
+    """Rows (file_id, side, idx, start_ms, end_ms, text), a file's speech (side 0) before its cues, to the pieces of the cues."""
+
+    def __init__(self, capacity: float, wide: float, other: float, tolerance_ms: int) -> None:
+        self.capacity, self.weights, self.tolerance, self.done = capacity, (wide, other), tolerance_ms, []
+        self.end()
+
+    def end(self) -> None:
+        self.middles: list[tuple[int, int]] = []
+        self.before, self.n, self.sorted = None, 0, False
+
+    def take(self, row: tuple) -> None:
+        file, side, idx, start, end, text = row
+        if side == 0:
+            # A silence lies between a span's end and the next one's start; spans come in order.
+            if None not in (self.before, start):
+                self.middles.append(((self.before + start) // 2, self.before))
+            self.before = end
+            return
+        if not self.sorted:
+            self.middles.sort()
+            self.sorted = True
+        pieces = [text]
+        if text is not None and weighted(text, *self.weights) > self.capacity:
+            cut = pieces_of(text, self.capacity, *self.weights)
+            pieces = cut if len(cut) > 1 else pieces
+        bounds = self.settled(self.laid(pieces, start, end)) if len(pieces) > 1 else [start, end]
+        for i, piece in enumerate(pieces):
+            self.n += 1
+            self.done.append((file, self.n, idx, bounds[i], bounds[i + 1], piece))
+
+    def laid(self, pieces: list[str], start: int | None, end: int | None) -> list[int | None]:
+        """Bounds by weighted length: each is rounded before the next share is laid on it; the last piece ends with the cue."""
+        if start is None or end is None:
+            return [start, *[None] * (len(pieces) - 1), end]
+        sizes = [max(weighted(p, *self.weights), 0.5) for p in pieces]
+        total, bounds = reduce(lambda a, x: a + x, sizes), [start]  # in order, without the compensation of sum()
+        for size in sizes[:-1]:
+            bounds.append(round(bounds[-1] + (end - start) * size / total))
+        return [*bounds, end]
+
+    def settled(self, bounds: list[int | None]) -> list[int | None]:
+        """A bound goes into its silence if that lies between the bound before, as it is by now, and the one after."""
+        out = bounds[:1]
+        for i, bound in enumerate(bounds[1:-1], 1):
+            if bound is not None:
+                first = bisect_left(self.middles, (bound - self.tolerance,))
+                last = bisect_left(self.middles, (bound + self.tolerance + 1,), first)
+                near = min(((abs(m - bound), a, m) for m, a in self.middles[first:last]), default=None)
+                if near and out[-1] < near[2] < bounds[i + 1]:
+                    bound = near[2]
+            out.append(bound)
+        return [*out, bounds[-1]]
+
+
 def resplit_cues(cues: DataFrame, profile: Mapping[str, Any], speech: DataFrame | None = None, tolerance_ms: int = 400) -> DataFrame:
     """Cues too long for the lines they may have, cut and timed by weighted length; boundaries move into silences.
 
-    Returns (file_id, idx, origin_idx, start_ms, end_ms, text), renumbered, with the cue each piece comes from.
+    Returns (file_id, idx, origin_idx, start_ms, end_ms, text), renumbered, with the cue each piece comes from. Speech and
+    cues are walked as one, by file, the speech first: a task holds the silences of one file, and no text is dealt for them.
     """
     limits = profile.get("limits") or {}
     weights = limits.get("char_weights") or {}
     wide, other = float(weights.get("cjk", 1.0)), float(weights.get("other", 1.0))
     capacity = (limits.get("chars_per_line") or 42) * (limits.get("max_lines") or 2)
-
-    @F.pandas_udf("array<string>")
-    def pieces(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: pieces_of(t, capacity, wide, other) if t is not None else None)
-
-    # Most cues are short whatever they hold; only long ones are measured, and only their texts go to Python.
-    long = (F.length("text") * max(wide, other) > capacity) & (weighted_chars(F.col("text"), wide, other) > capacity)
-    cut = cues.select("file_id", F.col("idx").alias("origin_idx"), "start_ms", "end_ms", "text", pieces(F.when(long, F.col("text"))).alias("cut"))
-    split = cut.select("file_id", "origin_idx", "start_ms", "end_ms", F.when(F.size("cut") > 1, F.col("cut")).otherwise(F.array("text")).alias("pieces"))
-    sizes = F.transform("pieces", lambda p: F.greatest(weighted_chars(p, wide, other), F.lit(0.5)))
-    split = split.select("*", sizes.alias("sizes"), F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x).alias("total"))
-    # Each bound is rounded before the next share is laid on it; the last piece ends with the cue.
-    shares = F.transform(F.slice("sizes", 1, F.greatest(F.size("sizes") - 1, F.lit(0))), lambda x: (F.col("end_ms") - F.col("start_ms")) * x / F.col("total"))
-    laid = F.aggregate(shares, F.array("start_ms"), lambda a, x: F.concat(a, F.array(F.rint(F.element_at(a, -1) + x).cast("long"))))
-    split = split.select("file_id", "origin_idx", "pieces", F.concat(laid, F.array("end_ms")).alias("bounds"))
+    times = [F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms")]
+    rows = cues.select("file_id", F.lit(1).alias("side"), "idx", *times, "text")
     if speech is not None:
-        split = scratch(split, "split-cues")  # looked at twice: for the silences near its bounds, and to move them
-        order = Window.partitionBy("file_id").orderBy("start_ms", "end_ms")
-        quiet = speech.select("file_id", F.col("end_ms").alias("a"), F.lead("start_ms").over(order).alias("b")).filter("b is not null").select("file_id", F.floor((F.col("a") + F.col("b")) / 2).alias("middle"), "a")
-        inner = split.select("file_id", "origin_idx", F.posexplode("bounds").alias("pos", "bound"), F.size("pieces").alias("n")).filter("pos > 0 and pos < n")
-        near = meeting(inner, quiet, (F.col("bound") - tolerance_ms, F.col("bound") + tolerance_ms), (F.col("middle"), F.col("middle")))
-        best = near.groupBy("file_id", "origin_idx", "pos").agg(F.min(F.struct(F.abs(F.col("middle") - F.col("bound")).alias("d"), "a", "middle")).alias("q"))
-        snaps = best.groupBy("file_id", "origin_idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "q.middle"))).alias("snaps"))
-        split = split.join(snaps, ["file_id", "origin_idx"], "left")
-
-        def moved(done: Column, i: Column) -> Column:
-            """A bound goes into its silence if that lies between the bound before, as it is by now, and the one after."""
-            to, here = F.col("snaps")[i], F.get("bounds", i)
-            fits = F.coalesce((to > F.element_at(done, -1)) & (to < F.get("bounds", i + 1)), F.lit(False))
-            return F.concat(done, F.array(F.when(fits, to).otherwise(here)))
-
-        inside = F.filter(F.sequence(F.lit(0), F.size("pieces")), lambda i: (i > 0) & (i < F.size("pieces")))
-        settled = F.concat(F.aggregate(inside, F.array(F.get("bounds", F.lit(0))), moved), F.array(F.element_at("bounds", -1)))
-        split = split.select("file_id", "origin_idx", "pieces", F.when(F.col("snaps").isNull(), F.col("bounds")).otherwise(settled).alias("bounds"))
-    out = split.select("file_id", "origin_idx", "bounds", F.posexplode("pieces").alias("pos", "text"))
-    out = out.select("file_id", "origin_idx", "pos", F.get("bounds", F.col("pos")).alias("start_ms"), F.get("bounds", F.col("pos") + 1).alias("end_ms"), "text")
-    return out.select("file_id", F.row_number().over(Window.partitionBy("file_id").orderBy("origin_idx", "pos")).alias("idx"), "origin_idx", "start_ms", "end_ms", "text")
+        rows = speech.select("file_id", F.lit(0).alias("side"), F.lit(None).cast(cues.schema["idx"].dataType).alias("idx"), *times, F.lit(None).cast("string").alias("text")).unionByName(rows)
+    result = StructType().add("file_id", cues.schema["file_id"].dataType).add("idx", "integer").add("origin_idx", cues.schema["idx"].dataType).add("start_ms", "long").add("end_ms", "long").add("text", "string")
+    return walked(rows, ["side", "idx", "start_ms", "end_ms"], lambda: _Resplitting(capacity, wide, other, tolerance_ms), result)
 
 
 def carry_notes(split: DataFrame, notes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from sottovoce.operators import tracks, walks
+from sottovoce.operators import timing, tracks, walks
 from sottovoce.plans import jobs
 from sottovoce.sources import sheets
 
@@ -63,3 +63,11 @@ def test_titles_cost_no_folder_each(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception):
         sheets.write_titles(texts.withColumn("json", F.expr("if(file_id = 50, raise_error('lost'), json)")), str(tmp_path / "u"), "json")
     assert not (tmp_path / "u").exists()  # all files appear, or none
+
+
+def test_resplitting_joins_no_texts(spark):
+    cues = spark.createDataFrame([(1, 1, 0, 4000, "one two. three four"), (1, 2, 5000, None, "five six. seven"), (1, 3, 6000, 7000, None)], CUES)
+    speech = spark.createDataFrame([(1, 0, 2000), (1, 2300, 4000), (1, None, 5), (1, 9000, None)], "file_id long, start_ms long, end_ms long")
+    df = timing.resplit_cues(cues, {"limits": {"chars_per_line": 10, "max_lines": 1}}, speech)
+    assert "Join" not in plan_of(df) and "FileScan" not in plan_of(df)
+    assert [tuple(r)[1:] for r in df.orderBy("idx").collect()] == [(1, 1, 0, 2150, "one two."), (2, 1, 2150, 4000, "three four"), (3, 2, 5000, None, "five six."), (4, 2, None, None, "seven"), (5, 3, 6000, 7000, None)]
