@@ -43,7 +43,8 @@ CHANGE = "struct<field:string,before:bigint,after:bigint,reason:string>"
 class _Round:
     """One round of the rules over (file_id, pos, idx, s, e, chars, log)."""
 
-    def __init__(self, limits: Mapping[str, Any]) -> None:
+    def __init__(self, limits: Mapping[str, Any], kept: tuple[str, ...] = ()) -> None:
+        self.kept = kept
         self.least, self.most, self.gap, self.cps = (limits[k] for k in ("least", "most", "gap", "cps"))
 
     def spaced(self, s: Column, e: Column, edge: Column) -> Column:
@@ -93,7 +94,7 @@ class _Round:
         c = c.withColumn("e2", self.spaced(F.col("s1"), F.col("e1"), F.col("edge")))
         c = c.withColumn("e3", self.capped(F.col("s1"), F.col("e2")))
         c = c.withColumn("e4", self.readable(F.col("s1"), F.col("e3"), F.col("edge"), F.col("chars")))
-        return c.select("file_id", "pos", "idx", F.col("s1").alias("s"), F.col("e4").alias("e"), "chars", F.concat("log", self.changes()).alias("log"))
+        return c.select("file_id", "pos", "idx", F.col("s1").alias("s"), F.col("e4").alias("e"), "chars", F.concat("log", self.changes()).alias("log"), *self.kept)
 
     def changes(self) -> Column:
         def change(field: str, before: str, after: str, reason: Column | str) -> Column:
@@ -123,17 +124,17 @@ class _Round:
         return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def converge(cues: DataFrame, limits: Mapping[str, Any], rounds: int = 3) -> DataFrame:
+def converge(cues: DataFrame, limits: Mapping[str, Any], rounds: int = 3, kept: tuple[str, ...] = ()) -> DataFrame:
     """Cues moved into the limits, the changes made, and what stays unresolved: one table, told apart by ``kind``.
 
     A round that changes nothing would change nothing again, so the rounds are simply laid one on the other. A cue
-    hangs on the cue before only where it is too short and has no room after it.
+    hangs on the cue before only where it is too short and has no room after it. The columns ``kept`` go along.
     """
-    run = _Round(limits)
+    run = _Round(limits, kept)
     order = Window.partitionBy("file_id").orderBy("pos")
     pos = F.row_number().over(Window.partitionBy("file_id").orderBy("start_ms", "idx"))
     none = F.array().cast(f"array<{CHANGE}>")
-    c = cues.select("file_id", pos.alias("pos"), "idx", F.col("start_ms").cast("long").alias("s"), F.col("end_ms").cast("long").alias("e"), weighted_chars(F.col("text"), limits["wide"], limits["other"]).alias("chars"), none.alias("log"))
+    c = cues.select("file_id", pos.alias("pos"), "idx", F.col("start_ms").cast("long").alias("s"), F.col("end_ms").cast("long").alias("e"), weighted_chars(F.col("text"), limits["wide"], limits["other"]).alias("chars"), none.alias("log"), *kept)
     for _ in range(rounds):
         c = run(c)
     c = c.withColumns({"next_s": F.lead("s").over(order), "next_idx": F.lead("idx").over(order)})
@@ -143,7 +144,7 @@ def converge(cues: DataFrame, limits: Mapping[str, Any], rounds: int = 3) -> Dat
     moved = F.transform("log", lambda x: F.struct(F.lit("change"), no, no, x["field"], x["before"], x["after"], x["reason"]).cast(row))
     left = F.transform(run.unresolved(), lambda x: F.struct(F.lit("unresolved"), no, no, no, no, no, x).cast(row))
     own = F.array(F.struct(F.lit("cue"), F.col("s"), F.col("e"), no, no, no, no).cast(row))
-    return c.select("file_id", "idx", F.explode(F.concat(own, moved, left)).alias("r")).select("file_id", "r.kind", "idx", "r.start_ms", "r.end_ms", "r.field", "r.before", "r.after", "r.reason")
+    return c.select("file_id", "idx", *kept, F.explode(F.concat(own, moved, left)).alias("r")).select("file_id", "r.kind", "idx", "r.start_ms", "r.end_ms", "r.field", "r.before", "r.after", "r.reason", *kept)
 
 
 def apply_spotting(cues: DataFrame, suggestions: DataFrame) -> DataFrame:
@@ -153,8 +154,13 @@ def apply_spotting(cues: DataFrame, suggestions: DataFrame) -> DataFrame:
     and the suggested in-point disagree about that does a cue hang on the end of the cue before.
     """
     want = suggestions.groupBy("file_id", "idx").agg(F.max(F.when(F.col("field") == "start_ms", F.col("suggested"))).alias("a"), F.max(F.when(F.col("field") == "end_ms", F.col("suggested"))).alias("b"))
+    return take_points(cues.select("file_id", "idx", "start_ms", "end_ms").join(want, ["file_id", "idx"], "left"))
+
+
+def take_points(cues: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``apply_spotting`` for cues that bear their suggested in-point ``a`` and out-point ``b``; the columns ``kept`` go along."""
     pos = F.row_number().over(Window.partitionBy("file_id").orderBy("start_ms", "idx"))
-    c = cues.select("file_id", "idx", F.col("start_ms").cast("long").alias("s"), F.col("end_ms").cast("long").alias("e"), pos.alias("pos")).join(want, ["file_id", "idx"], "left")
+    c = cues.select("file_id", "idx", F.col("start_ms").cast("long").alias("s"), F.col("end_ms").cast("long").alias("e"), pos.alias("pos"), "a", "b", *kept)
     order = Window.partitionBy("file_id").orderBy("pos")
     c = c.withColumns({"room": F.coalesce(F.lead("s").over(order), F.col("b")), "old_end": F.lag("e").over(order)})
 
@@ -168,4 +174,4 @@ def apply_spotting(cues: DataFrame, suggestions: DataFrame) -> DataFrame:
     c = c.withColumn("open", F.coalesce(disagree & (F.col("b") <= F.col("room")), F.lit(False)))
     c = carried(c, F.col("open"), lambda x, before: let(start(lambda n: x[n], F.coalesce(before, x["old_end"])), lambda s: end(lambda n: x[n], s)), "before_end")
     c = c.withColumn("new_end", end(F.col, F.when(F.col("open"), start(F.col, F.col("before_end"))).otherwise(F.col("s"))))
-    return c.select("file_id", "idx", start(F.col, F.lag("new_end").over(order)).alias("start_ms"), F.col("new_end").alias("end_ms"))
+    return c.select("file_id", "idx", start(F.col, F.lag("new_end").over(order)).alias("start_ms"), F.col("new_end").alias("end_ms"), *kept)

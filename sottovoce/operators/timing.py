@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from sottovoce.functions.split import pieces as pieces_of
 from sottovoce.functions.split import weighted
 from sottovoce.functions.text import BLANKS, trimmed
-from sottovoce.operators.moves import apply_spotting, converge
+from sottovoce.operators.moves import apply_spotting, converge, take_points
 from sottovoce.operators.near import meeting
 from sottovoce.operators.walks import walked
 
@@ -94,15 +94,15 @@ def limits_of(profile: Mapping[str, Any], fps: float = 23.976) -> dict[str, Any]
 LEADS = {"loudness": ((2, 3), (6, 9), 6), "vad": ((1, 2), (3, 4), 0)}
 
 
-def _heard(cues: DataFrame, speech: DataFrame) -> DataFrame:
-    """Cues with the next start in their file, and where the speech that overlaps them begins (``voice``) and ends (``quiet``).
+def _heard(cues: DataFrame, speech: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Cues with the next start in their file, and where the speech that overlaps them begins (``voice``) and ends (``quiet``); the columns ``kept`` go along.
 
     Spans in order of their starts have a latest end so far. That of the spans which start before a cue ends is the end
     sought, if it lies behind the cue's start; and the first span with a latest end behind the cue's start is the first one
     to overlap it. So cues and spans are dealt by file once, and put in order for the one and the other.
     """
-    spans = speech.filter("start_ms is not null and end_ms is not null").select("file_id", F.lit(1).alias("kind"), F.lit(None).cast(cues.schema["idx"].dataType).alias("idx"), "start_ms", "end_ms")
-    rows = cues.select("file_id", F.lit(0).alias("kind"), "idx", "start_ms", "end_ms").unionByName(spans).repartition("file_id")
+    spans = speech.filter("start_ms is not null and end_ms is not null").select("file_id", F.lit(1).alias("kind"), F.lit(None).cast(cues.schema["idx"].dataType).alias("idx"), "start_ms", "end_ms", *[F.lit(None).cast(cues.schema[c].dataType).alias(c) for c in kept])
+    rows = cues.select("file_id", F.lit(0).alias("kind"), "idx", "start_ms", "end_ms", *kept).unionByName(spans).repartition("file_id")
     is_cue, so_far = F.col("kind") == 0, (Window.unboundedPreceding, 0)
     # Where they meet, the cue comes first, since spans that only touch do not overlap.
     by_reach = Window.partitionBy("file_id").orderBy(F.when(is_cue, F.col("end_ms")).otherwise(F.col("start_ms")), "kind").rowsBetween(*so_far)
@@ -110,26 +110,35 @@ def _heard(cues: DataFrame, speech: DataFrame) -> DataFrame:
     by_latest = Window.partitionBy("file_id").orderBy(F.when(is_cue, F.col("start_ms")).otherwise(F.col("latest")).desc(), "kind").rowsBetween(*so_far)
     rows = rows.withColumn("first", F.min(F.when(~is_cue, F.col("start_ms"))).over(by_latest)).filter(is_cue)
     over = F.col("latest") > F.col("start_ms")
-    rows = rows.select("file_id", "idx", *[F.col(c).cast(cues.schema[c].dataType).alias(c) for c in ("start_ms", "end_ms")], F.when(over, F.col("first")).alias("voice"), F.when(over, F.col("latest")).alias("quiet"))
+    rows = rows.select("file_id", "idx", *[F.col(c).cast(cues.schema[c].dataType).alias(c) for c in ("start_ms", "end_ms")], F.when(over, F.col("first")).alias("voice"), F.when(over, F.col("latest")).alias("quiet"), *kept)
     return rows.withColumn("following", F.lead("start_ms").over(by_start()))
 
 
-def spotting_suggestions(cues: DataFrame, speech: DataFrame, fps: float = 23.976, tolerance_frames: int = 4, detector: str = "loudness") -> DataFrame:
-    """(file_id, idx, field, current, suggested): in- and out-points that are too far from the speech below them."""
+def _points(cues: DataFrame, speech: DataFrame, fps: float, tolerance_frames: int, detector: str, kept: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[str, Column, Column]]]:
+    """Rows of ``_heard``, and (field, condition, suggestion): in-points without speech, or too far from it, and out-points."""
     (low_in, lead_in), (lead_out, _), tail = LEADS[detector]
     frame = 1000.0 / fps
-    near = _heard(cues, speech)
+    near = _heard(cues, speech, kept)
     near = near.withColumn("quiet", F.when(F.col("quiet").isNotNull(), F.least("quiet", "following")))
     want_in = F.col("voice") - lead_in * frame
     want_out = F.least(F.col("quiet") + (tail + lead_out) * frame, F.col("following").cast("double"))
+    far = lambda field, want: F.abs(F.col(field) - want) > tolerance_frames * frame
+    points = [("start_ms", F.col("voice").isNull(), F.col("start_ms")), ("start_ms", far("start_ms", want_in), F.bround(want_in)), ("end_ms", F.col("voice").isNotNull() & far("end_ms", want_out), F.bround(want_out))]
+    return near, [(field, when, to.cast("long")) for field, when, to in points]
+
+
+def spotting_suggestions(cues: DataFrame, speech: DataFrame, fps: float = 23.976, tolerance_frames: int = 4, detector: str = "loudness") -> DataFrame:
+    """(file_id, idx, field, current, suggested): in- and out-points that are too far from the speech below them."""
+    near, points = _points(cues, speech, fps, tolerance_frames, detector)
+    said = [F.when(when, F.struct(F.lit(field).alias("field"), F.col(field).alias("current"), to.alias("suggested"))) for field, when, to in points]
+    return near.select("file_id", "idx", F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("s")).select("file_id", "idx", "s.*")
 
-    def said(field: str, suggested: Column) -> Column:
-        return F.struct(F.lit(field).alias("field"), F.col(field).alias("current"), suggested.cast("long").alias("suggested"))
 
-    none = F.when(F.col("voice").isNull(), said("start_ms", F.col("start_ms")))
-    first = F.when(F.abs(F.col("start_ms") - want_in) > tolerance_frames * frame, said("start_ms", F.bround(want_in)))
-    second = F.when(F.col("voice").isNotNull() & (F.abs(F.col("end_ms") - want_out) > tolerance_frames * frame), said("end_ms", F.bround(want_out)))
-    return near.select("file_id", "idx", F.explode(F.filter(F.array(none, first, second), lambda x: x.isNotNull())).alias("s")).select("file_id", "idx", "s.*")
+def spotted(cues: DataFrame, speech: DataFrame, fps: float = 23.976, tolerance_frames: int = 4, detector: str = "loudness", kept: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, idx, start_ms, end_ms, kept): cues with what is safe of their suggestions, which stay in the rows of their cues."""
+    near, points = _points(cues, speech, fps, tolerance_frames, detector, kept)
+    first = lambda wanted: F.coalesce(*[F.when(when, to) for field, when, to in points if field == wanted])
+    return take_points(near.select("file_id", "idx", "start_ms", "end_ms", first("start_ms").alias("a"), first("end_ms").alias("b"), *kept), kept)
 
 
 def shot_change_suggestions(cues: DataFrame, shots: DataFrame, fps: float = 23.976, clearance_ms: int = 500) -> DataFrame:

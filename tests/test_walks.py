@@ -71,3 +71,16 @@ def test_resplitting_joins_no_texts(spark):
     df = timing.resplit_cues(cues, {"limits": {"chars_per_line": 10, "max_lines": 1}}, speech)
     assert "Join" not in plan_of(df) and "FileScan" not in plan_of(df)
     assert [tuple(r)[1:] for r in df.orderBy("idx").collect()] == [(1, 1, 0, 2150, "one two."), (2, 1, 2150, 4000, "three four"), (3, 2, 5000, None, "five six."), (4, 2, None, None, "seven"), (5, 3, 6000, 7000, None)]
+
+
+def test_drafting_keeps_texts_in_their_rows(spark):
+    segments = spark.createDataFrame([(1, 1, 0, 3000, "one two. three four"), (1, 2, 3100, 4000, "five"), (2, 1, 500, 900, "alone")], CUES)
+    speech = spark.createDataFrame([(1, 100, 1400), (1, 1600, 3900)], "file_id long, start_ms long, end_ms long")
+    profile = {"limits": {"chars_per_line": 10, "max_lines": 1, "duration_ms": {"min": 500, "max": 7000}}}
+    df = jobs.draft_job(segments, profile, None, speech)
+    assert "Join" not in plan_of(df) and "FileScan" not in plan_of(df)
+    cues = timing.resplit_cues(timing.merge_fragments(segments), profile, speech).drop("origin_idx")
+    moved = timing.apply_spotting(cues, timing.spotting_suggestions(cues, speech, detector="vad")).join(cues.select("file_id", "idx", "text"), ["file_id", "idx"])
+    want = timing.converge(moved, timing.limits_of(profile)).filter("kind = 'cue'").join(cues.select("file_id", "idx", "text"), ["file_id", "idx"])
+    rows = lambda d: sorted(map(tuple, d.select("file_id", "idx", "start_ms", "end_ms", "text").collect()))
+    assert rows(df) == rows(want) and len(rows(df)) > 3
