@@ -85,3 +85,11 @@ def test_dialogue_goes_away_from_shown_text_before_texts_are_fixed(spark):
     assert "position_collides_with_forced_narrative" not in {r.check for r in found.collect()}
     kept, _ = jobs.correct_and_check(c, {**FULL, "rules": []})
     assert {r.text for r in kept.collect()} == {r[4] for r in rows}
+
+
+def test_findings_are_counted_without_rows(spark):
+    rows = [(1, 1, 0, 2000, "3천 불을... [쾅 소리] 가자~"), (1, 2, 1000, 3000, '"서울"'), (1, 3, 5000, 5100, None), (2, 1, 90000, 93000, "가자")]
+    c = spark.createDataFrame(rows, "file_id long, idx int, start_ms long, end_ms long, text string")
+    counts = jobs.lint_counts(c, FULL)
+    found = {r.file_id: r["count"] for r in jobs.lint_job(c, FULL).groupBy("file_id").count().collect()}
+    assert {(r.file_id, r.cues, r.findings) for r in counts.collect()} == {(1, 3, found[1]), (2, 1, found.get(2, 0))}
